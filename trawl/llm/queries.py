@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawl.llm import kneser_ney, packing
+from trawl.llm import bpe, chat, kneser_ney, licences, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,9 +16,27 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score(docs, labels).select("doc_id", "lang", "n_words", "perplexity", "threshold", "keep")
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf_dir, "documents"), check=True)
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_quality_classifier": op3_quality_classifier, "op10_packing": op10_packing}
+QUERIES = {
+    "op3_quality_classifier": op3_quality_classifier,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op7_chat_formatting": op7_chat_formatting,
+    "op9_licence_scan": op9_licence_scan,
+    "op10_packing": op10_packing,
+}
 ORACLE: dict[str, str] = {}
