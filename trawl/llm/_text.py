@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of a batch that are handled at once; bounds the temporaries of a worker to about 100 MB.
 CHUNK_BYTES = 1 << 21
@@ -98,25 +99,21 @@ def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix((prefix[n:] - prefix[:-n]) * inverse[: len(hashes) - n + 1])
 
 
-def encoded(column: pa.Array, lower: bool = True) -> list[bytes | None]:
-    """Texts as bytes; null stays None."""
-    values = column.to_pylist()
-    if lower:
-        return [None if v is None else v.lower().encode("utf-8", "surrogatepass") for v in values]
-    return [None if v is None else v.encode("utf-8", "surrogatepass") for v in values]
-
-
-def chunks(texts: list[bytes | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``limit`` bytes together, one text at least."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > start and size + n > limit:
-            yield start, i
-            start, size = i, 0
-        size += n
-    if start < len(texts):
-        yield start, len(texts)
+def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Ranges of rows of about ``limit`` bytes of text together, one row at least, with their texts."""
+    total = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(column):
+        before = total[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(total, before + limit, side="right")))
+        yield a, b, column.slice(a, b - a).to_pylist()
+        a = b
+
+
+def encoded_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """As text_chunks, in lower case and as UTF-8; null as an empty text."""
+    for a, b, texts in text_chunks(column, limit):
+        yield a, b, [t.lower().encode() if t else b"" for t in texts]
 
 
 def ragged_take(values: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm._text import chunks, ragged_take
+from trawl.llm._text import ragged_take, text_chunks
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -138,9 +138,7 @@ def decode(vocabulary: tuple[bytes, ...], values: np.ndarray, offsets: np.ndarra
 
 def _texts(batches, encoder: Encoder):
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        for a, b in chunks(texts):
-            part = texts[a:b]
+        for a, b, part in text_chunks(batch.column(1)):
             values, offsets = encoder.encode([t or "" for t in part])
             yield batch.column(0).slice(a, b - a), part, values, offsets
 

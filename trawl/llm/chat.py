@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm._text import chunks
+from trawl.llm._text import text_chunks
 from trawl.llm.bpe import VOCABULARY, Encoder, model_bytes, read_vocabulary
 
 CONTROL = ("<|endoftext|>", "<|im_start|>", "<|im_end|>")
@@ -91,10 +91,9 @@ def format_chats(turns: DataFrame, vocabulary_path: str = VOCABULARY, trained: t
         current: _Conversation | None = None
         for batch in batches:
             convs, roles = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            texts = batch.column(3).to_pylist()
-            for a, b in chunks(texts):
+            for a, b, texts in text_chunks(batch.column(3)):
                 n = b - a
-                values, at = encoder.encode([(r or "") + "\n" for r in roles[a:b]] + [escape(t or "") for t in texts[a:b]])
+                values, at = encoder.encode([(r or "") + "\n" for r in roles[a:b]] + [escape(t or "") for t in texts])
                 done = []
                 for i in range(n):
                     if current is None or current.conv_id != convs[a + i]:

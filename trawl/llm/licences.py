@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm._text import ALNUM, Words, chunks, encoded
+from trawl.llm._text import ALNUM, Words, encoded_chunks
 from trawl.llm.licence_texts import TEMPLATES
 
 
@@ -177,9 +177,8 @@ def scan(
     def run(batches):
         scanner = Scanner(templates, min_run, max_gap, min_coverage)
         for batch in batches:
-            texts = encoded(batch.column(1))
-            for a, b in chunks(texts):
-                words = Words([t or b"" for t in texts[a:b]], ALNUM)
+            for a, _, texts in encoded_chunks(batch.column(1)):
+                words = Words(texts, ALNUM)
                 found = scanner.scan(words)
                 i, t, s, e, coverage, pieces = (list(x) for x in zip(*found)) if found else ([],) * 6
                 first = words.bounds[np.array(i, np.int64)]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trawl.llm._store import written
-from trawl.llm._text import Words, chunks, encoded
+from trawl.llm._text import Words, encoded_chunks
 
 WIDTH = 256  #: of the hashed vectors
 
@@ -79,9 +79,8 @@ def place(docs: DataFrame, dims: int = 4, bits: int = 12) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [t or b"" for t in encoded(batch.column(1))]
-            for a, b in chunks(texts):
-                key, n = keys_of(texts[a:b], dims, bits)
+            for a, b, texts in encoded_chunks(batch.column(1)):
+                key, n = keys_of(texts, dims, bits)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(key), pa.array(n.astype(np.int64))], ["doc_id", "key", "n_words"]
                 )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawl.llm import bpe, chat, kneser_ney, licences, packing
+from trawl.llm import bpe, chat, jaccard, kneser_ney, licences, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(_table(spark, sf_dir, "conversations"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_pairs(_table(spark, sf_dir, "documents"))
+
+
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents"))
 
@@ -32,11 +36,29 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+#: The same pairs by joining n-grams themselves.
+JACCARD_SQL = """
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[^ \\t\\n\\r\\x0b\\f]+') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, unnest([list_aggregate(w[i:i+3], 'string_agg', ' ') FOR i IN range(1, greatest(len(w) - 2, 2))]) AS g
+  FROM words WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS overlap
+  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+)
+SELECT doc_a, doc_b, overlap, overlap / (x.n + y.n - overlap) AS jaccard
+FROM shared JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b
+WHERE overlap / (x.n + y.n - overlap) >= 0.4
+"""
+
 QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_licence_scan": op9_licence_scan,
     "op10_packing": op10_packing,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op8_ngram_jaccard_join": JACCARD_SQL}
