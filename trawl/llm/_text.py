@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of a batch that are handled at once; bounds the temporaries of a worker to about 100 MB.
 CHUNK_BYTES = 1 << 21
@@ -122,3 +123,22 @@ def ragged_take(values: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> t
     out = np.concatenate([[0], np.cumsum(lengths)])
     at = np.arange(out[-1]) + np.repeat(offsets[:-1][which] - out[:-1], lengths)
     return values[at], out
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Differences of ascending numbers, byte plane by byte plane: small ones leave planes of zeros to compression."""
+    steps = np.diff(values, prepend=np.uint64(0))
+    return steps.view(np.uint8).reshape(-1, 8).T[:6].tobytes()
+
+
+def unpack_sorted(block: bytes) -> np.ndarray:
+    planes = np.frombuffer(block, np.uint8).reshape(6, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, :6] = planes.T
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def input_parts(docs: DataFrame) -> int:
+    """Into how many ranges of hashes to divide work over ``docs``, by the size of its files."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return 64 if size > 1 << 60 else max(8, min(1 << 16, size >> 24))

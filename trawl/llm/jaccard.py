@@ -9,10 +9,11 @@ Spark's part, with every document as a query:
 
 1. Token statistics over all documents.  Tokens are sent as sorted, difference-coded blocks of 40 bits to the
    task of their range, which tells those that occur once, and those that occur in more than ``hot`` documents.
-2. Two sets of similarity t share a token among the first (1 - t) |s| + 1 of each, in any global order.  The
-   order puts hot tokens last.  Prefix tokens that occur once cannot meet another document and stay behind (a
-   bitmap of fixed size tells them; as it fills up, more are sent, with the same result).  Where a token meets
-   several documents, its row of the matrix gives (query, group) candidates.
+2. Two sets of similarity t share at least k tokens among the first (1 - t) |s| + k of each, in any global
+   order; k is a tenth of the smaller set.  The order puts hot tokens last.  Prefix tokens that occur once cannot
+   meet another document and stay behind (a bitmap of fixed size tells them; as it fills up, more are sent, with
+   the same result).  Where a token meets several documents, its row of the matrix is counted for each (query,
+   group), and pairs that stay below k are given up.
 3. Each candidate group is opened once, in one task, with its queries: bound first, then overlaps with the
    members as products of 0/1 matrices.
 
@@ -30,30 +31,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.llm._store import load_arrays, new_path, save_arrays, written
-from trawl.llm._text import Words, encoded_chunks, mix, ngram_hashes
+from trawl.llm._text import Words, encoded_chunks, input_parts, mix, ngram_hashes, pack_sorted, unpack_sorted
 
 TOKEN_BITS = 40  #: of a token's hash that statistics and candidates go by; a clash only adds work
 BITMAP_BITS = 28
 HOT_LIMIT = 2_000_000  #: hot tokens that tasks hold; above that ``hot`` is raised
 
 
-def pack_sorted(values: np.ndarray) -> bytes:
-    """Differences of ascending numbers, byte plane by byte plane: small ones leave planes of zeros to compression."""
-    steps = np.diff(values, prepend=np.uint64(0))
-    return steps.view(np.uint8).reshape(-1, 8).T[:6].tobytes()
-
-
-def unpack_sorted(block: bytes) -> np.ndarray:
-    planes = np.frombuffer(block, np.uint8).reshape(6, -1)
-    steps = np.zeros((planes.shape[1], 8), np.uint8)
-    steps[:, :6] = planes.T
-    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
-
-
 def sets_of(words: Words, n: int) -> list[np.ndarray]:
     """Ascending distinct n-gram hashes of each text."""
     grams = ngram_hashes(words.hashes, n)
@@ -77,6 +65,16 @@ def least_overlap(t: float, size: int) -> int:
     return math.ceil(t * size - 1e-9)
 
 
+def prefix_length(t: float, size: int) -> int:
+    """Two sets of similarity t or more, a and b, share at least 1 + min(|a|, |b|) // 10 tokens of these prefixes."""
+    return min(size, size - least_overlap(t, size) + 1 + size // 10)
+
+
+def least_shared(t: float, size: Column) -> Column:
+    """How many of its prefix tokens a set shares with any similar one, whose size is t |s| at least."""
+    return 1 + F.floor(F.ceil(size * t - 1e-9) / 10)
+
+
 def _ranges(sorted_tokens: np.ndarray, parts: int) -> np.ndarray:
     """Where each of ``parts`` equal ranges of the 40-bit tokens begins."""
     edges = (np.arange(1, parts, dtype=np.uint64) << np.uint64(TOKEN_BITS)) // np.uint64(parts)
@@ -87,12 +85,6 @@ def _shorten(tokens: np.ndarray) -> np.ndarray:
     return tokens >> np.uint64(64 - TOKEN_BITS)
 
 
-def _parts(docs: DataFrame) -> int:
-    """Ranges of tokens, by the size of the input."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return 64 if size > 1 << 60 else max(8, min(1 << 16, size >> 24))
-
-
 def _set_batches(batches, n: int):
     for batch in batches:
         for a, b, texts in encoded_chunks(batch.column(1)):
@@ -182,7 +174,7 @@ class _Order:
         if len(self.hot):
             is_hot = self.hot[np.minimum(np.searchsorted(self.hot, s), len(self.hot) - 1)] == s
             s = np.concatenate([s[~is_hot], s[is_hot]])
-        s = s[: len(tokens) - least_overlap(self.t, len(tokens)) + 1]
+        s = s[: prefix_length(self.t, len(tokens))]
         group = mix(s[:1] * np.uint64(64) + np.uint64(int(math.log(len(tokens), 1.5)))) >> np.uint64(32)
         return s, int(group[0])
 
@@ -192,7 +184,7 @@ class _Order:
 
 
 def _matrix_part(table: pa.Table) -> pa.Table:
-    """(entity, group) candidates of one range of tokens."""
+    """(entity, group, shared): the tokens of one range that a query shares with a group's union."""
     tokens = np.concatenate([unpack_sorted(b.as_py()) for b in table.column("tokens")])
     keys = np.concatenate([np.frombuffer(b.as_py(), np.uint64) for b in table.column("keys")])
     at = np.lexsort([keys, tokens])
@@ -221,18 +213,21 @@ def _matrix_part(table: pa.Table) -> pa.Table:
         q = np.repeat(keys[which], n)
         offset = np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n)
         pairs = np.stack([q, groups[np.repeat(begin, n) + offset].astype(np.uint64)], 1)
-        found.append(_distinct(pairs))
+        found.append(_counted(np.column_stack([pairs, np.ones(len(pairs), np.uint64)])))
         if sum(map(len, found)) > 8_000_000:
-            found = [_distinct(np.concatenate(found))]
+            found = [_counted(np.concatenate(found))]
         step = stop
-    pairs = _distinct(np.concatenate(found)) if found else np.zeros((0, 2), np.uint64)
-    return pa.table({"entity": pa.array(pairs[:, 0].astype(np.int64)), "group": pa.array(pairs[:, 1].astype(np.int64))})
+    pairs = _counted(np.concatenate(found)) if found else np.zeros((0, 3), np.uint64)
+    return pa.table({name: pa.array(pairs[:, i].astype(np.int64)) for i, name in enumerate(("entity", "group", "shared"))})
 
 
-def _distinct(pairs: np.ndarray) -> np.ndarray:
-    at = np.lexsort([pairs[:, 1], pairs[:, 0]])
-    pairs = pairs[at]
-    return pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])] if len(pairs) else pairs
+def _counted(pairs: np.ndarray) -> np.ndarray:
+    """Rows of equal first two columns as one, the third summed."""
+    if not len(pairs):
+        return pairs
+    pairs = pairs[np.lexsort([pairs[:, 1], pairs[:, 0]])]
+    first = np.flatnonzero(np.concatenate([[True], (pairs[1:, :2] != pairs[:-1, :2]).any(1)]))
+    return np.column_stack([pairs[first, :2], np.add.reduceat(pairs[:, 2], first)])
 
 
 def open_group(group: int, entities: dict[int, np.ndarray], t: float):
@@ -284,7 +279,7 @@ def join(docs: DataFrame, t: float = 0.4, n: int = 4, hot: int = 16) -> tuple[Da
     """(sets, pairs): sets(doc_id, entity, set_hash, size) has every document with n-grams, equal sets having equal
     entity; pairs(a, b, overlap, size_a, size_b) has each pair of entities of similarity t or more once."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    parts = _parts(docs)
+    parts = input_parts(docs)
     filter_path = token_statistics(docs, n, hot, parts)
 
     def send(batches):
@@ -325,11 +320,13 @@ def join(docs: DataFrame, t: float = 0.4, n: int = 4, hot: int = 16) -> tuple[Da
         docs.mapInArrow(send, "part int, tokens binary, keys binary, sets array<struct<doc_id:long,entity:long,set_hash:long,size:long>>"), "prefixes"
     )
     sets = written(sent.where("part = -1").select(F.inline("sets")), "sets")
+    shared = sent.where("part >= 0").select("part", "tokens", "keys").groupBy("part").applyInArrow(_matrix_part, "entity long, group long, shared long")
+    group_of = F.shiftrightunsigned("entity", 32)
+    one = sets.groupBy("entity").agg(F.min_by(F.struct("doc_id", "set_hash", "size"), "doc_id").alias("r")).select("entity", "r.*")
     candidates = written(
-        sent.where("part >= 0").select("part", "tokens", "keys").groupBy("part").applyInArrow(_matrix_part, "entity long, group long").distinct(), "candidates"
+        shared.groupBy("entity", "group").agg(F.sum("shared").alias("shared")).join(one.select("entity", "size"), "entity").where(F.col("shared") >= least_shared(t, F.col("size"))).select("entity", "group"),
+        "candidates",
     )
-    group_of = F.shiftrightunsigned("entity", 32)
-    one = sets.groupBy("entity").agg(F.min_by(F.struct("doc_id", "set_hash"), "doc_id").alias("r")).select("entity", "r.*")
     groups = candidates.select("group").distinct()
     members = one.select("entity", group_of.alias("group")).join(groups, "group", "left_semi")
     wanted = candidates.select("entity", "group").unionByName(members.select("entity", "group")).distinct()

@@ -28,9 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trawl.llm._store import written
-from trawl.llm._text import Words, encoded_chunks, text_chunks, window_hashes
+from trawl.llm._text import Words, encoded_chunks, input_parts, pack_sorted, text_chunks, unpack_sorted, window_hashes
 
-_TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 OCCURRENCE = "doc_id long, text_hash long, start_word long, end_word long, first_doc_id long, first_start_word long"
 
 
@@ -62,20 +61,80 @@ def phrase_starts(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     return at, phrase[at]
 
 
-def _phrases(docs: DataFrame, window: int) -> DataFrame:
+def _send_phrases(docs: DataFrame, window: int, parts: int) -> DataFrame:
+    """Blocks of (phrase, doc_id, text_hash, at), by range of the phrase's hash."""
+
     def run(batches):
         for batch in batches:
             ids, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            phrases, rows, places = [], [], []
             for a, _, texts in encoded_chunks(batch.column(2)):
                 words = Words(texts)
                 at, phrase = phrase_starts(words, window)
                 i = np.searchsorted(words.bounds, at, side="right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(phrase.astype(np.int64)), pa.array(ids[a + i]), pa.array(hashes[a + i]), pa.array((at - words.bounds[i]).astype(np.int32))],
-                    ["phrase", "doc_id", "text_hash", "at"],
-                )
-
-    return docs.mapInArrow(run, "phrase long, doc_id long, text_hash long, at int")
+                phrases.append(phrase >> np.uint64(16))
+                rows.append(a + i)
+                places.append((at - words.bounds[i]).astype(np.int32))
+            if not phrases:
+                continue
+            phrase, row, place = (np.concatenate(x) for x in (phrases, rows, places))
+            order = np.argsort(phrase, kind="stable")
+            phrase, row, place = phrase[order], row[order], place[order]
+            edges = (np.arange(1, parts, dtype=np.uint64) << np.uint64(48)) // np.uint64(parts)
+            cut = np.concatenate([[0], np.searchsorted(phrase, edges), [len(phrase)]])
+            full = np.flatnonzero(np.diff(cut)).tolist()
+            blocks = [[f(x[cut[p] : cut[p + 1]]) for p in full] for f, x in ((pack_sorted, phrase), (_raw, ids[row]), (_raw, hashes[row]), (_raw, place))]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(b, pa.binary()) for b in blocks)], ["part", "phrase", "doc_id", "text_hash", "at"])
+
+    return docs.mapInArrow(run, "part int, phrase binary, doc_id binary, text_hash binary, at binary")
+
+
+def _raw(a: np.ndarray) -> bytes:
+    return a.tobytes()
+
+
+def _recurring(table: pa.Table) -> pa.Table:
+    """For each document, its phrases of one range that recur, and the first document of each."""
+
+    def column(name: str, kind) -> np.ndarray:
+        return np.concatenate([np.frombuffer(b.as_py(), kind) for b in table.column(name)])
+
+    phrase = np.concatenate([unpack_sorted(b.as_py()) for b in table.column("phrase")])
+    all_of = [phrase, column("doc_id", np.int64), column("text_hash", np.int64), column("at", np.int32)]
+    order = np.lexsort(all_of[::-1])
+    all_of = [x[order] for x in all_of]
+    new = np.ones(len(phrase), bool)  # repeated rows count once
+    new[1:] = np.any([x[1:] != x[:-1] for x in all_of], axis=0)
+    phrase, doc, text, at = (x[new] for x in all_of)
+    first = np.flatnonzero(np.concatenate([[True], phrase[1:] != phrase[:-1]])) if len(phrase) else np.zeros(0, np.int64)
+    size = np.diff(np.concatenate([first, [len(phrase)]]))
+    again = np.repeat(size > 1, size)
+    owner = np.repeat(first, size)[again]
+    doc_owner, text_owner = doc[owner], text[owner]
+    doc, text, at = doc[again], text[again], at[again]
+    order = np.lexsort([at, text, doc])
+    doc, text, at, doc_owner, text_owner = (x[order] for x in (doc, text, at, doc_owner, text_owner))
+    cut = np.flatnonzero((doc[1:] != doc[:-1]) | (text[1:] != text[:-1])) + 1 if len(doc) else np.zeros(0, np.int64)
+    cut = np.concatenate([[0], cut, [len(doc)]]) if len(doc) else np.zeros(1, np.int64)
+    spans = list(zip(cut[:-1].tolist(), cut[1:].tolist()))
+    return pa.table(
+        {
+            "doc_id": pa.array(doc[cut[:-1]]),
+            "text_hash": pa.array(text[cut[:-1]]),
+            "owner_ids": pa.array([doc_owner[a:b].tobytes() for a, b in spans], pa.binary()),
+            "owner_hashes": pa.array([text_owner[a:b].tobytes() for a, b in spans], pa.binary()),
+            "at": pa.array([at[a:b].tobytes() for a, b in spans], pa.binary()),
+        }
+    )
+
+
+def _by_owner(seeds: list[dict]) -> list[tuple[tuple[int, int], np.ndarray]]:
+    """A document's recurring phrases, by the first document that has them, in order."""
+    ids, hashes, at = (np.concatenate([np.frombuffer(s[k], kind) for s in seeds]) for k, kind in (("owner_ids", np.int64), ("owner_hashes", np.int64), ("at", np.int32)))
+    order = np.lexsort([at, hashes, ids])
+    ids, hashes, at = ids[order], hashes[order], at[order].astype(np.int64)
+    cut = np.concatenate([[0], np.flatnonzero((ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])) + 1, [len(ids)]])
+    return [((int(ids[a]), int(hashes[a])), at[a:b]) for a, b in zip(cut, cut[1:])]
 
 
 class _Shard:
@@ -134,10 +193,9 @@ def occurrences(docs: DataFrame, window: int = 50) -> DataFrame:
     overlap."""
     base = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     k = window // 2
-    found = _phrases(base, window).groupBy("phrase").agg(F.collect_set(F.struct("doc_id", "text_hash", "at")).alias("o")).where(F.size("o") > 1)
-    owned = found.select(F.array_min(F.transform("o", lambda x: F.struct(x.doc_id.alias("doc_id"), x.text_hash.alias("text_hash")))).alias("owner"), F.inline("o"))
-    seeds = owned.groupBy("doc_id", "text_hash", "owner").agg(F.sort_array(F.collect_list("at")).alias("at"))
-    per_doc = written(seeds.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("owner", "at")).alias("seeds")), "seeds")
+    parts = input_parts(docs)
+    seeds = _send_phrases(base, window, parts).groupBy("part").applyInArrow(_recurring, "doc_id long, text_hash long, owner_ids binary, owner_hashes binary, at binary")
+    per_doc = written(seeds.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("owner_ids", "owner_hashes", "at")).alias("seeds")), "seeds")
 
     def cut(batches):
         for batch in batches:
@@ -149,14 +207,13 @@ def occurrences(docs: DataFrame, window: int = 50) -> DataFrame:
                 for i in range(len(texts)):
                     doc_id, text_hash, owners = (c[a + i] for c in columns)
                     first, n = int(words.bounds[i]), int(words.bounds[i + 1] - words.bounds[i])
-                    for s in owners:
-                        owner, at = s["owner"], np.array(s["at"])
+                    for owner, at in _by_owner(owners):
                         lo, hi = np.maximum(at - (window - k), 0), np.minimum(at + window, n)
                         gap = np.flatnonzero(lo[1:] > hi[:-1]) + 1
                         for x, y in zip([0, *gap], [*gap, len(at)]):
-                            own = owner["doc_id"] == doc_id and owner["text_hash"] == text_hash
+                            own = owner == (doc_id, text_hash)
                             part = numbers[first + lo[x] : first + hi[y - 1]].tobytes()
-                            rows.append((owner["doc_id"], owner["text_hash"], doc_id, text_hash, int(lo[x]), part, at[x:y].astype(np.int32).tobytes() if own else None))
+                            rows.append((*owner, doc_id, text_hash, int(lo[x]), part, at[x:y].astype(np.int32).tobytes() if own else None))
                 schema = pa.schema([(c, pa.int64()) for c in ("owner_id", "owner_hash", "doc_id", "text_hash", "start")] + [("words", pa.binary()), ("phrases", pa.binary())])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 7, schema)], schema=schema)
 
