@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trawl.llm._components import components
 from trawl.llm._store import load_arrays, new_path, save_arrays, written
 from trawl.llm._text import Words, encoded_chunks, input_parts, mix, ngram_hashes, pack_sorted, unpack_sorted
 
@@ -88,7 +89,7 @@ def _shorten(tokens: np.ndarray) -> np.ndarray:
 def _set_batches(batches, n: int):
     for batch in batches:
         for a, b, texts in encoded_chunks(batch.column(1)):
-            yield batch.column(0).slice(a, b - a), sets_of(Words(texts), n)
+            yield batch.slice(a, b - a), sets_of(Words(texts), n)
 
 
 def token_statistics(docs: DataFrame, n: int, hot: int, parts: int) -> str:
@@ -276,15 +277,15 @@ def open_group(group: int, entities: dict[int, np.ndarray], t: float):
 
 
 def join(docs: DataFrame, t: float = 0.4, n: int = 4, hot: int = 16) -> tuple[DataFrame, DataFrame]:
-    """(sets, pairs): sets(doc_id, entity, set_hash, size) has every document with n-grams, equal sets having equal
-    entity; pairs(a, b, overlap, size_a, size_b) has each pair of entities of similarity t or more once."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    """(sets, pairs): sets(doc_id, text_hash, entity, set_hash, size) has every document with n-grams, equal sets
+    having equal entity; pairs(a, b, overlap, size_a, size_b) has each pair of entities of similarity t or more once."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).where("doc_id is not null")
     parts = input_parts(docs)
     filter_path = token_statistics(docs, n, hot, parts)
 
     def send(batches):
         order = _Order(filter_path, t)
-        for ids, sets in _set_batches(batches, n):
+        for rows, sets in _set_batches(batches, n):
             has = [i for i, s in enumerate(sets) if len(s)]
             prefixes, keys, hashes = [], [], []
             for i in has:
@@ -309,15 +310,15 @@ def join(docs: DataFrame, t: float = 0.4, n: int = 4, hot: int = 16) -> tuple[Da
                     pa.array([*full, -1], pa.int32()),
                     pa.array([pack_sorted(tokens[cut[p] : cut[p + 1]]) for p in full] + [None], pa.binary()),
                     pa.array([owner[cut[p] : cut[p + 1]].tobytes() for p in full] + [None], pa.binary()),
-                    pa.array([None] * m + [[{"doc_id": d, "entity": k, "set_hash": h, "size": s} for d, k, h, s in zip(
-                        ids.take(pa.array(has)).to_pylist(), np.array(keys, np.uint64).astype(np.int64).tolist(), np.array(hashes, np.uint64).astype(np.int64).tolist(), [len(sets[i]) for i in has])]],
-                        pa.list_(pa.struct([("doc_id", pa.int64()), ("entity", pa.int64()), ("set_hash", pa.int64()), ("size", pa.int64())]))),
+                    pa.array([None] * m + [[{"doc_id": d, "text_hash": x, "entity": k, "set_hash": h, "size": s} for d, x, k, h, s in zip(
+                        rows.column(0).take(pa.array(has)).to_pylist(), rows.column(2).take(pa.array(has)).to_pylist(), np.array(keys, np.uint64).astype(np.int64).tolist(), np.array(hashes, np.uint64).astype(np.int64).tolist(), [len(sets[i]) for i in has])]],
+                        pa.list_(pa.struct([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("entity", pa.int64()), ("set_hash", pa.int64()), ("size", pa.int64())]))),
                 ],
                 ["part", "tokens", "keys", "sets"],
             )
 
     sent = written(
-        docs.mapInArrow(send, "part int, tokens binary, keys binary, sets array<struct<doc_id:long,entity:long,set_hash:long,size:long>>"), "prefixes"
+        docs.mapInArrow(send, "part int, tokens binary, keys binary, sets array<struct<doc_id:long,text_hash:long,entity:long,set_hash:long,size:long>>"), "prefixes"
     )
     sets = written(sent.where("part = -1").select(F.inline("sets")), "sets")
     shared = sent.where("part >= 0").select("part", "tokens", "keys").groupBy("part").applyInArrow(_matrix_part, "entity long, group long, shared long")
@@ -330,7 +331,7 @@ def join(docs: DataFrame, t: float = 0.4, n: int = 4, hot: int = 16) -> tuple[Da
     groups = candidates.select("group").distinct()
     members = one.select("entity", group_of.alias("group")).join(groups, "group", "left_semi")
     wanted = candidates.select("entity", "group").unionByName(members.select("entity", "group")).distinct()
-    with_text = wanted.join(one, "entity").join(docs, "doc_id").select("group", "entity", "set_hash", "text")
+    with_text = wanted.join(one, "entity").join(docs.select("doc_id", "text"), "doc_id").select("group", "entity", "set_hash", "text")
 
     def verify(batches):
         group, entities = None, {}
@@ -371,3 +372,26 @@ def similar_pairs(docs: DataFrame, t: float = 0.4, n: int = 4) -> DataFrame:
         )
     )
     return equal.unionByName(near)
+
+
+def deduplicate(docs: DataFrame, t: float = 0.4, n: int = 4) -> DataFrame:
+    """``docs`` with one document of each group, groups being connected by pairs of similarity ``t`` or more; the
+    least doc_id stays (of one doc_id, the text of least hash; of repeated rows, any one).  Documents without
+    n-grams or doc_id stay."""
+    sets, pairs = join(docs, t, n)
+    groups = components(pairs.select("a", "b"))
+    member = (
+        sets.select("doc_id", "text_hash", "entity").join(groups, F.col("entity") == F.col("node"), "left")
+        .select(F.struct("doc_id", "text_hash").alias("d"), F.coalesce("component", "entity").alias("g"))
+    )
+    first = member.groupBy("g").agg(F.min("d").alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = written(member.join(first, "g").where("d <> first").select("d.*").distinct(), "gone")
+    repeated = written(sets.groupBy("doc_id", "text_hash").count().where("count > 1"), "repeated")
+
+    def same(of: DataFrame):
+        return (docs["doc_id"].cast("long") == of["doc_id"]) & (F.xxhash64(docs["text"]) == of["text_hash"])
+
+    kept = docs.join(gone, same(gone), "left_anti")
+    if repeated.isEmpty():
+        return kept
+    return kept.join(repeated, same(repeated), "left_anti").unionByName(kept.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -3,19 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trawl.llm import bpe, chat, jaccard, kneser_ney, licences, packing, repeats
+from trawl.llm import bpe, caps, chat, jaccard, kneser_ney, licences, packing, pitman_yor, repeats, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_pairs(_table(spark, sf_dir, "embeddings"))
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return kneser_ney.score(docs, labels).select("doc_id", "lang", "n_words", "perplexity", "threshold", "keep")
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.neighbours(_table(spark, sf_dir, "embeddings"))
+    return found.select("query_id", "rank", "neighbour_id", F.round("distance", 6).alias("distance"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), check=True)
 
@@ -57,8 +71,25 @@ FROM shared JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b
 WHERE overlap / (x.n + y.n - overlap) >= 0.4
 """
 
+#: The same neighbours by all distances.
+TOP_K_SQL = """
+SELECT query_id, "rank", neighbour_id, round(d, 6) AS distance
+FROM (
+  SELECT query_id, neighbour_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, neighbour_id) AS "rank"
+  FROM (
+    SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id,
+      list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d
+    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+  )
+)
+WHERE "rank" <= 10
+"""
+
 QUERIES = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_exact_top_k": op4_exact_top_k,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_chat_formatting": op7_chat_formatting,
@@ -66,4 +97,4 @@ QUERIES = {
     "op9_licence_scan": op9_licence_scan,
     "op10_packing": op10_packing,
 }
-ORACLE: dict[str, str] = {"op8_ngram_jaccard_join": JACCARD_SQL}
+ORACLE: dict[str, str] = {"op4_exact_top_k": TOP_K_SQL, "op8_ngram_jaccard_join": JACCARD_SQL}
