@@ -8,21 +8,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawl.llm import kneser_ney, packing
+from trawl.llm import jaccard, kneser_ney, packing, repeats
 from trawl.llm._store import written
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return kneser_ney.score(docs, labels).where("keep").select(docs.columns)
+    return kneser_ney.kept(docs, labels)
+
+
+def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones."""
+    return jaccard.deduplicate(docs)
+
+
+def _repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one has."""
+    return repeats.remove(docs)
 
 
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("quality classifier", _quality), ("packing", _packing)]
+STAGES = [
+    ("quality classifier", _quality),
+    ("n-gram jaccard join", _near_duplicates),
+    ("substring dedup", _repeated_passages),
+    ("packing", _packing),
+]
 
 #: A perplexity threshold is not expressible in SQL: tests/llm/test_pipeline.py checks run() by brute force.
 ORACLE_SQL = None
