@@ -3,8 +3,8 @@
 Everything is stored as Parquet in immutable segments: ``files`` (file_id, path, mod_time_ns, content_hash,
 file_length, strategy), ``occurrences`` (file_id, pos, chunk_id, location, byte_start, byte_end, attrs), ``chunks``
 (chunk_id, content; a content is stored once), ``postings`` (trigram, chunk_id, tf; sorted by trigram), and ``removed``
-(file_id).  A manifest names the segments that count; it is replaced as the last step of a change, so a change that
-fails leaves no trace.  Chunk ids are hashes of contents: unchanged contents keep theirs whatever happens to files.
+(file_id).  A manifest names the segments that count; a new one is the last step of a change, so a change that fails has no
+effect.  Chunk ids are hashes of contents: unchanged contents keep theirs whatever happens to files.
 """
 
 from __future__ import annotations
@@ -85,8 +85,8 @@ class Database:
     @classmethod
     def create(cls, spark: SparkSession, root: str, case_insensitive: bool = False, aliases: dict[str, str] | None = None) -> Database:
         Encoding(case_insensitive, aliases or {})
-        db = cls(spark, root, {"version": VERSION, "case_insensitive": case_insensitive, "aliases": aliases or {}, "commands": {}, "next_file_id": 1, "segments": {k: [] for k in SCHEMAS}})
-        fs, p = cls._file(spark, f"{db.root}/manifest.json")
+        db = cls(spark, root, {"version": VERSION, "case_insensitive": case_insensitive, "aliases": aliases or {}, "commands": {}, "number": 0, "next_file_id": 1, "segments": {k: [] for k in SCHEMAS}})
+        fs, p = cls._file(spark, f"{db.root}/manifests")
         if fs.exists(p):
             raise FileExistsError(root)
         db._commit({})
@@ -94,21 +94,23 @@ class Database:
 
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> Database:
-        fs, p = cls._file(spark, f"{root.rstrip('/')}/manifest.json")
+        fs, p = cls._file(spark, f"{root.rstrip('/')}/manifests")
         if not fs.exists(p):
             raise FileNotFoundError(root)
-        text = "".join(r.value for r in spark.read.text(str(p.toString()), wholetext=True).collect())
-        return cls(spark, root, json.loads(text))
+        latest = max(str(f.getPath()) for f in fs.listStatus(p) if f.getPath().getName().endswith(".json"))
+        return cls(spark, root, json.loads(spark.read.text(latest, wholetext=True).first().value))
 
     def _commit(self, segments: dict[str, str], **changes) -> None:
         manifest = self.manifest | changes | {"segments": {k: [*v, *([segments[k]] if k in segments else [])] for k, v in self.manifest["segments"].items()}}
-        fs, aside = self._file(self.spark, f"{self.root}/manifest-{uuid.uuid4().hex}")
+        manifest["number"] = self.manifest["number"] + 1
+        fs, aside = self._file(self.spark, f"{self.root}/manifests/.{uuid.uuid4().hex}")
         out = fs.create(aside)
         out.write(json.dumps(manifest).encode())
         out.close()
-        _, p = self._file(self.spark, f"{self.root}/manifest.json")
-        fs.delete(p, False)
-        fs.rename(aside, p)
+        _, final = self._file(self.spark, f"{self.root}/manifests/{manifest['number']:012d}.json")
+        # a rename does not replace a file: of two writers one fails
+        if fs.exists(final) or not fs.rename(aside, final):
+            raise RuntimeError(f"{self.root} was changed by another writer")
         self.manifest = manifest
 
     def copy(self) -> Database:
