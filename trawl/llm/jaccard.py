@@ -28,6 +28,7 @@ pairs; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ from trawl.llm._text import Words, encoded_chunks, input_parts, mix, ngram_hashe
 
 TOKEN_BITS = 40  #: of a token's hash that statistics and candidates go by; a clash only adds work
 BITMAP_BITS = 28
+COUNTED = 1_000_000  #: rows of the matrix that a task counts at a time
 HOT_LIMIT = 2_000_000  #: hot tokens that tasks hold; above that ``hot`` is raised
 
 
@@ -184,22 +186,29 @@ class _Order:
         return (self.bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _matrix_part(table: pa.Table) -> pa.Table:
-    """(entity, group, shared): the tokens of one range that a query shares with a group's union."""
-    tokens = np.concatenate([unpack_sorted(b.as_py()) for b in table.column("tokens")])
-    keys = np.concatenate([np.frombuffer(b.as_py(), np.uint64) for b in table.column("keys")])
+def _matrix_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(entity, group, shared): the tokens of one range that a query shares with a group's union.  Counts of one
+    (entity, group) come in several rows, so that a task holds no more than about COUNTED of them."""
+    blocks = [(unpack_sorted(t.as_py()), np.frombuffer(k.as_py(), np.uint64)) for b in batches for t, k in zip(b.column("tokens"), b.column("keys"))]
+    tokens, keys = (np.concatenate([b[i] for b in blocks]) for i in (0, 1))
+    del blocks
     at = np.lexsort([keys, tokens])
     tokens, keys = tokens[at], keys[at]
+    del at
     keep = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (keys[1:] != keys[:-1])])  # equal sets are one entity
     tokens, keys = tokens[keep], keys[keep]
     starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(tokens)]]))
     starts, sizes = starts[sizes > 1], sizes[sizes > 1]
-    found: list[np.ndarray] = []
+    pairs, found = np.zeros((0, 3), np.uint64), []
+
+    def batch_of(pairs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, i].astype(np.int64)) for i in range(3)], ["entity", "group", "shared"])
+
     # within a token, keys ascend and begin with the group: entity i meets the groups from its own on
     step = 0
     while step < len(starts):
-        stop = step + max(1, int(np.searchsorted(np.cumsum(sizes[step:].astype(np.float64) ** 2), 4e6)))
+        stop = step + max(1, int(np.searchsorted(np.cumsum(sizes[step:].astype(np.float64) ** 2), COUNTED)))
         which = np.concatenate([np.arange(a, a + n) for a, n in zip(starts[step:stop], sizes[step:stop])])
         run = np.repeat(np.arange(stop - step), sizes[step:stop])[: len(which)]
         g = (keys[which] >> np.uint64(32)).astype(np.int64)
@@ -213,13 +222,14 @@ def _matrix_part(table: pa.Table) -> pa.Table:
         n = last[run] - begin
         q = np.repeat(keys[which], n)
         offset = np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n)
-        pairs = np.stack([q, groups[np.repeat(begin, n) + offset].astype(np.uint64)], 1)
-        found.append(_counted(np.column_stack([pairs, np.ones(len(pairs), np.uint64)])))
-        if sum(map(len, found)) > 8_000_000:
-            found = [_counted(np.concatenate(found))]
+        found.append(_counted(np.column_stack([q, groups[np.repeat(begin, n) + offset].astype(np.uint64), np.ones(len(q), np.uint64)])))
+        if sum(map(len, found)) > COUNTED:
+            pairs, found = _counted(np.concatenate([pairs, *found])), []
+            if len(pairs) > COUNTED:
+                yield batch_of(pairs)
+                pairs = pairs[:0]
         step = stop
-    pairs = _counted(np.concatenate(found)) if found else np.zeros((0, 3), np.uint64)
-    return pa.table({name: pa.array(pairs[:, i].astype(np.int64)) for i, name in enumerate(("entity", "group", "shared"))})
+    yield batch_of(_counted(np.concatenate([pairs, *found])))
 
 
 def _counted(pairs: np.ndarray) -> np.ndarray:
