@@ -39,39 +39,49 @@ DECODE_ROWS = 1024
 COMPARE = 1 << 21
 
 
-def normal_tail(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
+def cap_share(alpha: float, angle: float, dim: int) -> float:
+    """Share of directions that exceed ``alpha`` with each of two unit vectors at an angle (0: with one).
 
+    In the plane of the two, a random direction has a length r with P(r > x) = (1 - x^2)^((dim - 2) / 2), and any
+    angle from their bisector alike; the integral is over s = sqrt(1 - r^2)."""
+    if dim < 3:
+        return 0.5 - angle / (2 * math.pi) if alpha <= 0 else 0.0
+    least = alpha / math.cos(angle / 2)
+    if least >= 1:
+        return 0.0
+    top = math.sqrt(1 - least * least)
+    s = np.linspace(max(0.0, top * (1 - 60 / dim)), top, 4001)
+    r = np.sqrt(1 - s * s)
+    width = np.arccos(np.clip(alpha / np.maximum(r, 1e-300), -1, 1)) - angle / 2
+    y = (dim - 2) * s ** (dim - 3) * np.maximum(width, 0) / math.pi
+    return float(((y[1:] + y[:-1]) / 2).sum() * (s[1] - s[0]))
 
-def tail_point(p: float) -> float:
-    """z with normal_tail(z) = p."""
-    lo, hi = -8.0, 12.0
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if normal_tail(mid) > p else (lo, mid)
-    return lo
 
-
-def joint_tail(z: float, t: float) -> float:
-    """P(X >= z, Y >= z) of standard normal X and Y with correlation t."""
-    x = np.linspace(z, z + 10, 4001)
-    rest = np.array([normal_tail(v) for v in (z - t * x) / math.sqrt(max(1e-12, 1 - t * t))])
-    y = np.exp(-x * x / 2) / math.sqrt(2 * math.pi) * rest
-    return float(((y[1:] + y[:-1]) / 2).sum() * (x[1] - x[0]))
+#: Vectors of fewer dimensions have a code of one block, with at most so many words.
+ONE_BLOCK_DIM, ONE_BLOCK_WORDS = 16, 1 << 14
 
 
 @dataclass(frozen=True)
 class Code:
     blocks: int
     words: int
-    z: float  #: alpha times the square root of the dimension
+    alpha: float
 
     @staticmethod
-    def suited(n: int, t: float, bucket: int, shared: float) -> Code:
-        z = tail_point(min(0.02, bucket / max(n, 1)))
-        filters = shared / joint_tail(z, t)
-        blocks = max(2, math.ceil(math.log(filters) / math.log(256)))
-        return Code(blocks, math.ceil(filters ** (1 / blocks)), z)
+    def suited(n: int, t: float, bucket: int, shared: float, dim: int) -> Code:
+        share, angle = min(0.5, bucket / max(n, 1)), math.acos(t)
+        while True:
+            lo, hi = 0.0, 1.0
+            for _ in range(60 if dim > 2 and share < 0.5 else 0):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if cap_share(mid, 0.0, dim) > share else (lo, mid)
+            joint = cap_share(lo, angle, dim)
+            filters = shared / joint if joint else math.inf
+            if dim >= ONE_BLOCK_DIM or filters <= ONE_BLOCK_WORDS:
+                break
+            share *= 2
+        blocks = max(2, math.ceil(math.log(filters) / math.log(256))) if dim >= ONE_BLOCK_DIM else 1
+        return Code(blocks, math.ceil(filters ** (1 / blocks)), lo)
 
 
 class Decoder:
@@ -88,7 +98,7 @@ class Decoder:
             w = rng.standard_normal((code.words, b - a))
             # weighted by its share of the dimensions, each direction has length 1
             self.books.append((w / np.linalg.norm(w, axis=1, keepdims=True) * math.sqrt((b - a) / dim)).astype(np.float32))
-        self.alpha, self.words, self.dim = code.z / math.sqrt(dim), code.words, dim
+        self.alpha, self.words, self.dim = code.alpha, code.words, dim
 
     def filters(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) of each cap that a unit vector lies in."""
@@ -157,7 +167,7 @@ def near_pairs(vectors: DataFrame, t: float = 0.9, bucket: int = 128, shared: fl
     """(vec_a, vec_b, cosine) of pairs with cosine ``t`` or more, vec_a < vec_b."""
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     base = base.where("vec_id is not null and embedding is not null")
-    code = Code.suited(base.count(), t, bucket, shared)
+    n = base.count()
 
     def send(batches):
         decoders: dict[int, Decoder] = {}
@@ -167,7 +177,7 @@ def near_pairs(vectors: DataFrame, t: float = 0.9, bucket: int = 128, shared: fl
                 ids = part.column(0).to_numpy()
                 for dim, (at, unit) in unit_rows(part.column(1)).items():
                     if dim not in decoders:
-                        decoders[dim] = Decoder(code, dim)
+                        decoders[dim] = Decoder(Code.suited(n, t, bucket, shared, dim), dim)
                     row, name = decoders[dim].filters(unit)
                     q, scale, error = rounded(unit)
                     data = pa.array([x.tobytes() for x in q], pa.binary())
