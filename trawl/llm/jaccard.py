@@ -1,7 +1,7 @@
 """Exact Jaccard self-join of documents' word n-gram sets, through a token-group matrix.
 
-A group holds similar documents: those with the same first token in a global order of tokens (here a token is
-the hash of an n-gram) and about the same size.  The matrix says which groups have which tokens in the union of
+A group holds similar documents: those with the same three least tokens (a token is the hash of an n-gram, so this
+is a min-hash, which near copies mostly share) and about the same size.  The matrix says which groups have which tokens in the union of
 their members' sets.  A document q opens group g only if |q and union(g)| can reach t |q|, which any member with
 Jaccard similarity t or more needs.
 
@@ -178,7 +178,8 @@ class _Order:
             is_hot = self.hot[np.minimum(np.searchsorted(self.hot, s), len(self.hot) - 1)] == s
             s = np.concatenate([s[~is_hot], s[is_hot]])
         s = s[: prefix_length(self.t, len(tokens))]
-        group = mix(s[:1] * np.uint64(64) + np.uint64(int(math.log(len(tokens), 1.5)))) >> np.uint64(32)
+        least = mix(tokens[:3]).sum(dtype=np.uint64, keepdims=True)
+        group = mix(least + np.uint64(int(math.log(len(tokens), 1.5)))) >> np.uint64(32)
         return s, int(group[0])
 
     def met(self, tokens: np.ndarray) -> np.ndarray:
