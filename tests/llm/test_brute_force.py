@@ -70,6 +70,19 @@ def test_list_decoding_is_complete():
     assert len(set(zip(i, j)) ^ set(zip(row, name))) <= 1 + len(i) // 1000  # single precision
 
 
+@pytest.mark.parametrize("n,dim", [(10**5, 16), (10**6, 64), (10**6, 384), (10**7, 64)])
+def test_caps_recall_for_many_vectors(n, dim):
+    rng = np.random.default_rng(n + dim)
+    decoders = caps.Decoders(caps.Code.suited(n, 0.9, 128, 8.0, dim), dim)
+    x, y = _unit(1500, dim, rng), rng.standard_normal((1500, dim))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    own = set(zip(*(a.tolist() for a in decoders.filters(x))))
+    for t in (0.9, 0.96, 1.0):
+        found = {k[0] for k in zip(*(a.tolist() for a in decoders.filters(t * x + math.sqrt(1 - t * t) * y))) if k in own}
+        assert len(found) >= 0.98 * len(x)
+
+
 @pytest.mark.parametrize("alpha,dim", [(0.3, 10), (0.1, 64), (0.5, 3)])
 def test_shares_of_caps(alpha, dim):
     x = _unit(400_000, dim, np.random.default_rng(dim))

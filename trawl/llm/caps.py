@@ -6,9 +6,13 @@ block has ``words`` random unit vectors, and every combination of one vector a b
 filters are found by list decoding: block by block, dropping partial sums that the best words of the blocks to
 come cannot lift to ``alpha``.
 
-``alpha`` is set so that a filter holds about ``bucket`` of n random vectors, and the code is as large as it takes
-for two vectors of the wanted similarity to share ``shared`` filters on average; so the work for a vector grows
-with a small power of n (about (1 - t) / (1 + t)).
+``alpha`` is set so that a filter holds about ``bucket`` of n random vectors, and a code is as large as it takes for
+two vectors of the wanted similarity to share one filter on average.  The filters of a code depend on each other:
+vectors whose blocks have no close words lie in few caps or none.  So there are several codes, each with a rotation
+and words of its own.  Whether a pair shares a filter of a randomly rotated code depends on its angle alone, hence
+the share of pairs that one code misses is simulated with random pairs at the wanted similarity, and as many codes
+are taken as bring the share that all miss to e^-shared.  The work for a vector grows with a small power of n
+(about (1 - t) / (1 + t)).
 
 Vectors are joined on filters.  They travel as 8-bit numbers with a bound of their rounding error; pairs that may
 reach the threshold are then verified with the vectors themselves.
@@ -23,7 +27,7 @@ approximate: a pair at the threshold is missed about once in e^shared times, clo
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -61,11 +65,16 @@ def cap_share(alpha: float, angle: float, dim: int) -> float:
 ONE_BLOCK_DIM, ONE_BLOCK_WORDS = 16, 1 << 14
 
 
+#: Words of a block at most, and pairs for each of some codes whose common filters are simulated.
+BLOCK_WORDS, SIMULATED_CODES, SIMULATED_PAIRS = 1024, 16, 512
+
+
 @dataclass(frozen=True)
 class Code:
     blocks: int
     words: int
     alpha: float
+    codes: int = 1
 
     @staticmethod
     def suited(n: int, t: float, bucket: int, shared: float, dim: int) -> Code:
@@ -80,17 +89,40 @@ class Code:
             if dim >= ONE_BLOCK_DIM or filters <= ONE_BLOCK_WORDS:
                 break
             share *= 2
-        blocks = max(2, math.ceil(math.log(filters) / math.log(256))) if dim >= ONE_BLOCK_DIM else 1
-        return Code(blocks, math.ceil(filters ** (1 / blocks)), lo)
+        if dim < ONE_BLOCK_DIM:
+            return Code(1, math.ceil(filters), lo)
+        filters = 1 / joint if joint else math.inf
+        blocks = max(2, math.ceil(math.log(filters) / math.log(BLOCK_WORDS)))
+        code = Code(blocks, math.ceil(filters ** (1 / blocks)), lo)
+        return replace(code, codes=math.ceil(shared / -math.log(missed(code, t, dim))))
+
+
+def missed(code: Code, t: float, dim: int) -> float:
+    """Share of pairs with cosine ``t`` that have no common filter in one code; simulated."""
+    rng, none = np.random.Generator(np.random.PCG64([12, dim])), 0
+    for i in range(SIMULATED_CODES):
+        x, y = rng.standard_normal((2, SIMULATED_PAIRS, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= (x * y).sum(axis=1, keepdims=True) * x
+        y = t * x + math.sqrt(max(0.0, 1 - t * t)) * y / np.linalg.norm(y, axis=1, keepdims=True)
+        # random pairs need no rotation
+        decoder = Decoder(code, dim, 1000 + i, rotated=False)
+        (a, f), (b, g) = decoder.filters(x), decoder.filters(y)
+        all_filters = code.words**code.blocks
+        none += SIMULATED_PAIRS - len(np.unique(np.intersect1d(a * all_filters + f, b * all_filters + g) // all_filters))
+    pairs = SIMULATED_CODES * SIMULATED_PAIRS
+    return min((none + 1) / (pairs + 1), pairs / (pairs + 1))
 
 
 class Decoder:
-    """The code for vectors of one dimension."""
+    """One code for vectors of one dimension."""
 
-    def __init__(self, code: Code, dim: int, seed: int = 11):
+    def __init__(self, code: Code, dim: int, seed: int = 11, rotated: bool = True):
         rng = np.random.Generator(np.random.PCG64([seed, dim]))
-        q, r = np.linalg.qr(rng.standard_normal((dim, dim)))
-        self.rotation = (q * np.sign(np.diag(r))).astype(np.float32)
+        self.rotation: np.ndarray | None = None
+        if rotated:
+            q, r = np.linalg.qr(rng.standard_normal((dim, dim)))
+            self.rotation = (q * np.sign(np.diag(r))).astype(np.float32)
         blocks = min(code.blocks, dim)
         self.cuts = [dim * i // blocks for i in range(blocks + 1)]
         self.books = []
@@ -102,27 +134,43 @@ class Decoder:
 
     def filters(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) of each cap that a unit vector lies in."""
-        rotated = unit.astype(np.float32) @ self.rotation
+        rotated = unit.astype(np.float32)
+        if self.rotation is not None:
+            rotated = rotated @ self.rotation
         products = [rotated[:, a:b] @ book.T for (a, b), book in zip(zip(self.cuts, self.cuts[1:]), self.books)]
-        order = [np.argsort(-p, axis=1) for p in products]
-        falling = [np.take_along_axis(p, o, 1).astype(np.float64) for p, o in zip(products, order)]
-        best = np.array([f[:, 0] for f in falling])
+        best = np.array([p.max(axis=1) for p in products], np.float64)
         rest = np.concatenate([np.cumsum(best[::-1], axis=0)[::-1][1:], np.zeros((1, len(unit)))])
         row, total, name = np.arange(len(unit)), np.zeros(len(unit)), np.zeros(len(unit), np.int64)
-        for f, o, r in zip(falling, order, rest):
-            # rows of f descend: those that suffice are its first ones
-            keys = (np.arange(len(f))[:, None] * 8.0 - f).ravel()
+        for p, own, r in zip(products, best, rest):
+            # words that the best ones of all other blocks can lift to alpha; by row, falling
+            at, word = np.nonzero(p >= (self.alpha - 1e-9 - (best.sum(axis=0) - own))[:, None])
+            value = p[at, word].astype(np.float64)
+            order = np.argsort(at * 8.0 - value)
+            word, value = word[order], value[order]
+            keys, starts = at[order] * 8.0 - value, np.searchsorted(at, np.arange(len(unit) + 1))
+            # those that suffice are a row's first ones
             need = self.alpha - total - r[row]
-            count = np.searchsorted(keys, row * 8.0 - need, side="right") - row * self.words
-            count = np.clip(count, 0, self.words)
+            count = np.clip(np.searchsorted(keys, row * 8.0 - need, side="right") - starts[row], 0, np.diff(starts)[row])
             which = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             row, total, name = (np.repeat(x, count) for x in (row, total, name))
-            total = total + f[row, which]
-            name = name * self.words + o[row, which]
+            total = total + value[starts[row] + which]
+            name = name * self.words + word[starts[row] + which]
         ok = total >= self.alpha
         return row[ok], name[ok]
 
 
+class Decoders:
+    """All codes for vectors of one dimension."""
+
+    def __init__(self, code: Code, dim: int, seed: int = 11):
+        self.decoders = [Decoder(code, dim, seed + i) for i in range(code.codes)]
+        self.size = code.words**code.blocks
+
+    def filters(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [d.filters(unit) for d in self.decoders]
+        return np.concatenate([row for row, _ in found]), np.concatenate([name + i * self.size for i, (_, name) in enumerate(found)])
+
+
 def unit_rows(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By dimension: positions and unit vectors of the usable rows."""
     offsets = column.offsets.to_numpy()
@@ -167,17 +215,21 @@ def near_pairs(vectors: DataFrame, t: float = 0.9, bucket: int = 128, shared: fl
     """(vec_a, vec_b, cosine) of pairs with cosine ``t`` or more, vec_a < vec_b."""
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     base = base.where("vec_id is not null and embedding is not null")
-    n = base.count()
+    # a number for each different dimension; one vector has no partner
+    sizes = base.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).where("dim > 0 and n > 1").collect()
+    codes = {r.dim: Code.suited(r.n, t, bucket, shared, r.dim) for r in sizes}
 
     def send(batches):
-        decoders: dict[int, Decoder] = {}
+        decoders: dict[int, Decoders] = {}
         for batch in batches:
             for lo in range(0, batch.num_rows, DECODE_ROWS):
                 part = batch.slice(lo, DECODE_ROWS)
                 ids = part.column(0).to_numpy()
                 for dim, (at, unit) in unit_rows(part.column(1)).items():
+                    if dim not in codes:
+                        continue
                     if dim not in decoders:
-                        decoders[dim] = Decoder(Code.suited(n, t, bucket, shared, dim), dim)
+                        decoders[dim] = Decoders(codes[dim], dim)
                     row, name = decoders[dim].filters(unit)
                     q, scale, error = rounded(unit)
                     data = pa.array([x.tobytes() for x in q], pa.binary())
