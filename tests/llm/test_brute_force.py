@@ -227,6 +227,19 @@ def test_quality_classifier_on_held_out_labels(spark):
     assert np.mean(good) > 0.97 and np.mean(bad) < np.mean(good)
 
 
+def test_quality_classifier_keeps_a_rare_language(spark):
+    rng = random.Random(4)
+    text = lambda prefix, words: " ".join(f"{prefix}{rng.randrange(words)}" for _ in range(60))
+    rows = [(i, text("en", 40), "en") for i in range(100)] + [(i, text("rare", 5000), "xx") for i in range(100, 140)]
+    rows += [(i, text("rare", 5000), None) for i in range(140, 160)] + [(i, text("odd", 5000), "en") for i in range(160, 170)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(80), *range(100, 106), *range(140, 143)]], "doc_id long, quality int, toxic int")
+    scored = {r.doc_id: r for r in kneser_ney.score(docs, labels).collect()}
+    for i in range(100, 160):  # clean, in a language with few trusted documents
+        assert scored[i].keep and scored[i].threshold is None and scored[i].perplexity > 0
+    assert not any(scored[i].keep for i in range(160, 170)) and np.mean([scored[i].keep for i in range(100)]) > 0.9
+
+
 @given(st.lists(st.text(max_size=60), max_size=5))
 @settings(max_examples=60, deadline=None)
 def test_bpe_equals_tiktoken(texts):
