@@ -419,6 +419,15 @@ def test_licence_spans(spark):
     assert not out[3] and not out[4] and [(r.start_token, r.end_token) for r in out[5]] == [(0, 3), (3, 6)]
 
 
+def test_licence_notice_that_another_template_continues(spark):
+    notice = "Licensed under the Apache License, Version 2.0"
+    rows = [(1, f"{notice}. The rest is code"), (2, f'{notice} (the "License"); you may not use it'), (3, f"see: {notice}"), (4, licences.TEMPLATES["apache-2.0-header"])]
+    found = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.licence, r.start_token, r.coverage) for r in found] == [
+        (1, "apache-2.0-notice", 0, 1.0), (2, "apache-2.0-notice", 0, 1.0), (3, "apache-2.0-notice", 1, 1.0), (4, "apache-2.0-header", 0, 1.0),
+    ]
+
+
 @pytest.mark.parametrize("dims,bits", [(2, 4), (3, 3), (4, 2)])
 def test_hilbert_curve_visits_neighbours(dims, bits):
     cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)

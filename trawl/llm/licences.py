@@ -1,13 +1,14 @@
 """Licence scan with a generalised suffix automaton.
 
-The automaton accepts every run of tokens of any template.  A document's tokens are streamed through it, which
-gives for each token the length of the longest such run ending there (matching statistics).  Runs of at least
-``min_run`` tokens that cannot be extended are chained per template, in order in both texts and with at most
+A template's automaton accepts every run of its tokens.  A document's tokens are streamed through it, which gives
+for each token the length of the longest such run ending there (matching statistics).  Each template has one of its
+own, so a run that goes on in another template hides nothing.  Runs of at least ``min_run`` tokens that cannot be
+extended are chained, in order in both texts and with at most
 ``max_gap`` tokens between, and a chain that covers at least ``min_coverage`` of its template is reported.
 
 Tokens are runs of letters and digits in lower case.  Templates are few and their tokens known, so a batch is
-first mapped to template tokens in numpy; a token that is in no template resets the automaton, hence only
-stretches of ``min_run`` and more template tokens are streamed.
+first mapped to template tokens in numpy; a token that a template does not have resets its automaton, hence only
+stretches of ``min_run`` and more of its tokens are streamed.
 
 A template of fewer tokens than ``min_run`` is found when whole.  Of chains over overlapping tokens those stay
 that cover most tokens (ties: higher coverage, then name); chains of one template that overlap are alternatives
@@ -127,7 +128,10 @@ class Scanner:
         self.vocabulary, ids = np.unique(words.hashes, return_inverse=True)
         self.sequences = [ids[a:b].tolist() for a, b in zip(words.bounds, words.bounds[1:])]
         self.sizes = [len(s) for s in self.sequences]
-        self.automaton = SuffixAutomaton(self.sequences)
+        self.automata = [SuffixAutomaton([s]) for s in self.sequences]
+        self.has = np.zeros((len(self.sequences), len(self.vocabulary)), bool)
+        for t, s in enumerate(self.sequences):
+            self.has[t, s] = True
         self.min_run, self.max_gap, self.min_coverage = min_run, max_gap, min_coverage
         self.least = min([min_run, *(n for n in self.sizes if n)], default=min_run)
 
@@ -143,14 +147,21 @@ class Scanner:
         starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(known)]])
         keep = known[starts] & (ends - starts >= self.least)
         fragments: dict[int, dict[int, list[tuple[int, int, int]]]] = {}
-        for a, b in zip(starts[keep].tolist(), ends[keep].tolist()):
-            for s, n, state in self.automaton.longest_runs(at[a:b].tolist()):
-                if n < self.least:
-                    continue
+        inside = np.flatnonzero(np.repeat(keep, ends - starts))
+        for t, automaton in enumerate(self.automata):
+            # stretches of the template's own tokens
+            least = min(self.min_run, self.sizes[t])
+            own = inside[self.has[t][at[inside]]]
+            if not len(own):
+                continue
+            cut = np.flatnonzero((own[1:] != own[:-1] + 1) | (text[own[1:]] != text[own[:-1]])) + 1
+            first, size = own[np.concatenate([[0], cut])], np.diff(np.concatenate([[0], cut, [len(own)]]))
+            for a, b in zip(first[size >= least].tolist(), (first + size)[size >= least].tolist()):
                 i = int(text[a])
-                for t, e in self.automaton.ends[state]:
-                    if n >= min(self.min_run, self.sizes[t]):
-                        fragments.setdefault(i, {}).setdefault(t, []).append((a + s - int(words.bounds[i]), e - n, n))
+                for s, n, state in automaton.longest_runs(at[a:b].tolist()):
+                    if n >= least:
+                        for _, e in automaton.ends[state]:
+                            fragments.setdefault(i, {}).setdefault(t, []).append((a + s - int(words.bounds[i]), e - n, n))
         out = []
         for i, by_template in sorted(fragments.items()):
             found = []
