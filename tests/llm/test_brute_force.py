@@ -58,6 +58,25 @@ def test_caps_recall(spark):
     assert all(abs(cosine[k] - v) < 1e-9 for k, v in found.items())
 
 
+def _vectors(spark, x):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+
+
+@pytest.mark.parametrize("tile", [4096, 16])
+def test_classes_of_vectors(spark, monkeypatch, tile):
+    monkeypatch.setattr(caps, "TILE", tile)
+    rng = np.random.default_rng(8)
+    x = _unit(300, 24, rng)
+    x = np.concatenate([x, x[:40] + 0.02 * rng.standard_normal((40, 24)), x[:30], np.repeat(x[:1], 60, axis=0), x[0] + 0.01 * rng.standard_normal((50, 24))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.9, 1)))]
+    links = Counter(i for p in pairs for i in p)
+    got = {r.vec_id: (r.class_id, r.links) for r in caps.classes(_vectors(spark, x)).collect()}
+    assert got == {i: (g, links[i]) for i, g in enumerate(plain_groups(pairs, len(x)))}
+    kept = {r.vec_id for r in caps.deduplicate(_vectors(spark, x)).collect()}
+    assert kept == set(plain_groups(pairs, len(x)))
+
+
 def test_list_decoding_is_complete():
     code = caps.Code(3, 9, 0.27)
     d = caps.Decoder(code, 20)
@@ -106,6 +125,31 @@ def test_topk_is_exact(spark):
         assert [i for i, _ in found[q]] == order and np.allclose([v for _, v in found[q]], d[order])
 
 
+@pytest.mark.parametrize("scale", [1e200, 1e-200, 1e300])
+def test_topk_of_very_large_and_small_numbers(spark, scale):
+    x = np.array([[0.0, 0.0], [0.0, 1.0], [3.0, 4.0], [0.0, 1.5], [0.0, 1.0]]) * scale
+    out = defaultdict(list)
+    for r in topk.neighbours(_vectors(spark, x), k=2).orderBy("query_id", "rank").collect():
+        out[r.query_id].append((r.neighbour_id, r.distance / scale))
+    assert [i for i, _ in out[0]] == [1, 4] and [i for i, _ in out[1]] == [4, 3] and [i for i, _ in out[3]] == [1, 4]
+    assert np.allclose([d for _, d in out[2]], [math.hypot(3, 2.5), math.hypot(3, 3)]) and [i for i, _ in out[2]] == [3, 1]
+
+
+def test_topk_of_numbers_far_apart(spark):
+    x = np.array([[1e-200, 0.0], [2e-200, 0.0], [5e-200, 0.0], [1e200, 0.0]])
+    out = {(r.query_id, r.rank): (r.neighbour_id, r.distance) for r in topk.neighbours(_vectors(spark, x), k=3).collect()}
+    assert out[2, 1] == (1, pytest.approx(3e-200)) and out[2, 2] == (0, pytest.approx(4e-200)) and out[3, 1] == (0, 1e200)
+
+
+def test_topk_of_stated_queries(spark):
+    from pyspark.sql import functions as F
+
+    df = _vectors(spark, np.random.default_rng(1).standard_normal((90, 5)))
+    every = {(r.query_id, r.rank): r.neighbour_id for r in topk.neighbours(df, k=3).collect()}
+    some = {(r.query_id, r.rank): r.neighbour_id for r in topk.neighbours(df, k=3, queries=F.col("vec_id") % 20 == 0).collect()}
+    assert some == {k: v for k, v in every.items() if k[0] % 20 == 0} and len(some) == 15
+
+
 def test_topk_prunes_and_merges_parts(spark, monkeypatch):
     for name, value in (("CHUNK_ROWS", 64), ("QUERY_ROWS", 32), ("PART_CHUNKS", 2)):
         monkeypatch.setattr(topk, name, value)
@@ -349,18 +393,45 @@ def plain_pairs(texts, t, n):
     return out
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_jaccard_pairs(spark, seed):
-    texts = _texts(220, seed)
-    got = {(r.doc_a, r.doc_b): (r.overlap, r.jaccard) for r in jaccard.similar_pairs(_docs(spark, texts)).collect()}
-    assert got == plain_pairs(texts, 0.4, 4) and len(got) > 50
+def plain_classes(texts, t, n):
+    """(class, number of links) of each text."""
+    pairs = plain_pairs(texts, t, n)
+    links = Counter(i for p in pairs for i in p)
+    return {i: (g, links[i]) for i, g in enumerate(plain_groups(pairs, len(texts)))}
 
 
-def test_jaccard_pairs_are_the_same_in_pieces(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "COUNTED", 50)
-    texts = _texts(150, 5)
-    got = {(r.doc_a, r.doc_b) for r in jaccard.similar_pairs(_docs(spark, texts)).collect()}
-    assert got == set(plain_pairs(texts, 0.4, 4))
+@pytest.mark.parametrize("seed", [3, 4])
+def test_jaccard_classes(spark, seed):
+    texts = _texts(220, seed)
+    got = {r.doc_id: (r.class_id, r.links) for r in jaccard.classes(_docs(spark, texts)).collect()}
+    assert got == plain_classes(texts, 0.4, 4) and sum(n for _, n in got.values()) > 100
+
+
+def test_jaccard_classes_are_the_same_in_pieces(spark, monkeypatch):
+    for name, value in (("COUNTED", 50), ("MEMBERS", 3), ("QUERIES", 5)):
+        monkeypatch.setattr(jaccard, name, value)
+    # a group of near copies beyond one cell
+    base = [f"v{i}" for i in range(40)]
+    near = [" ".join(base[:i] + ["x"] + base[i + 1 :]) for i in range(12, 36)]
+    texts = [*_texts(100, 5), *near, *near[:5]]
+    got = {r.doc_id: (r.class_id, r.links) for r in jaccard.classes(_docs(spark, texts)).collect()}
+    assert got == plain_classes(texts, 0.4, 4)
+
+
+@given(st.lists(st.tuples(st.sets(st.integers(0, 12), min_size=1), st.sampled_from([1, 4, 6]), st.integers(1, 3)), min_size=1, max_size=9), st.sampled_from([0.3, 0.5, 0.9]))
+@settings(max_examples=80, deadline=None)
+def test_links_of_a_cell(rows, t):
+    cell = jaccard.Cell()
+    for name, (s, role, copies) in enumerate(rows):
+        cell.add(name, np.array(sorted(s), np.uint64), role, copies)
+    expected = Counter()
+    for i, (a, role_a, copies_a) in enumerate(rows):
+        for j, (b, role_b, copies_b) in enumerate(rows):
+            meets = role_b & 4 and (role_a & 1 or (role_a & 2 and i > j)) and i != j
+            if meets and len(a & b) / len(a | b) >= t:
+                expected[i] += copies_b
+                expected[j] += copies_a
+    assert {name: n for name, _, n in cell.summary(t)} == dict(expected)
 
 
 def plain_groups(pairs, n):

@@ -45,8 +45,9 @@ def test_quality_classifier(docs, labels):
 
 
 def test_jaccard(docs):
-    pairs = {(r.doc_a, r.doc_b) for r in jaccard.similar_pairs(docs).collect()}
-    assert pairs == {(1, 2), (1, 3), (1, 10), (2, 3), (2, 10), (3, 10)}
+    found = sorted((r.doc_id, r.class_id, r.links) for r in jaccard.classes(docs).collect())
+    # the other text of 2 is a document of its own
+    assert found == [(1, 1, 3), (2, 1, 3), (2, 2, 0), (3, 1, 3), (4, 4, 0), (5, 5, 0), (6, 6, 0), (7, 7, 0), (8, 8, 0), (9, 9, 0), (10, 1, 3)]
     kept = jaccard.deduplicate(docs)
     assert kept.columns == docs.columns
     # of the group 1, 2, 2, 3, 10 the first stays; so does the other text of 2, and all without doc_id or words
@@ -57,7 +58,7 @@ def test_jaccard(docs):
 
 def test_jaccard_repeated_rows(spark):
     df = spark.createDataFrame([_row(1, ALIKE), _row(1, ALIKE)], COLUMNS)
-    assert jaccard.deduplicate(df).count() == 1 and jaccard.similar_pairs(df).count() == 0
+    assert jaccard.deduplicate(df).count() == 1 and [tuple(r) for r in jaccard.classes(df).collect()] == [(1, 1, 0)]
 
 
 def test_repeats(docs):
@@ -130,7 +131,10 @@ def test_caps(spark):
     found = {(r.vec_a, r.vec_b): r.cosine for r in caps.near_pairs(df).collect()}
     assert found == {(1, 2): 1.0, (1, 9): 1.0, (2, 9): 1.0}
     kept = caps.deduplicate(df)
-    assert kept.columns == df.columns and sorted(r.vec_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 7, 8, 10]
+    # the other vector of 2 is none of its class
+    assert kept.columns == df.columns and sorted(r.vec_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 7, 8, 10]
+    found = sorted((r.vec_id, r.class_id, r.links) for r in caps.classes(df).collect())
+    assert found == [(1, 1, 2), (2, 1, 2), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 5, 0), (6, 6, 0), (7, 7, 0), (8, 8, 0), (9, 1, 2), (10, 10, 0)]
 
 
 def test_topk(spark):
@@ -145,10 +149,10 @@ def test_topk(spark):
 def test_empty_tables(docs, labels, spark):
     none = docs.where("false")
     assert kneser_ney.score(none, labels).count() == 0
-    assert jaccard.similar_pairs(none).count() == 0 and jaccard.deduplicate(none).count() == 0
+    assert jaccard.classes(none).count() == 0 and jaccard.deduplicate(none).count() == 0
     assert repeats.occurrences(none).count() == 0 and repeats.remove(none).count() == 0
     assert packing.pack(none).count() == 0 and bpe.encode(none).count() == 0 and licences.scan(none).count() == 0
     assert pitman_yor.score(none).count() == 0
     vectors = _vectors(spark, [(1, [1.0])]).where("false")
-    assert caps.near_pairs(vectors).count() == 0 and topk.neighbours(vectors).count() == 0 and caps.deduplicate(vectors).count() == 0
+    assert caps.near_pairs(vectors).count() == 0 and caps.classes(vectors).count() == 0 and topk.neighbours(vectors).count() == 0 and caps.deduplicate(vectors).count() == 0
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0

@@ -21,19 +21,15 @@ def components(pairs: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         # large star: greater neighbours of a node go to the least of it and its neighbours
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, "large-star")
+        large = written(large, "large-star", edges)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         # small star: a node and its lesser neighbours go to the least of these
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        new = written(small.where("u <> v").distinct(), "small-star")
+        new = written(small.where("u <> v").distinct(), "small-star", large)
         # a star forest is a fixed point: nothing is a centre and a leaf
         if new.select("u").join(new.select(F.col("v").alias("u")), "u", "left_semi").isEmpty() and new.groupBy("u").count().where("count > 1").isEmpty():
-            return new.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+            done = new.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 new.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
+            return written(done, "components", new)
         edges = new
-
-
-def keep_one(pairs: DataFrame) -> DataFrame:
-    """(node) of all that are connected to a lesser one."""
-    return components(pairs).where("node <> component").select("node")

@@ -10,25 +10,39 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_own_folders: list[str] = []
+#: Folders made for sessions on one machine, by application.
+_own_folders: dict[str, str] = {}
+#: Drops the shuffle files of a job as soon as it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests, one machine) a folder of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir`` of the session, as a full URI on Hadoop's default filesystem if it names none.  Where
+    it is unset and everything runs in one process (tests, one machine), a folder of our own; else an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="trawl-shared-")
-        _own_folders.append(folder[len("file://") :])
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if "://" not in folder:
-        folder = "file://" + folder
-    return folder.rstrip("/")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _own_folders:
+            _own_folders[app] = tempfile.mkdtemp(prefix="trawl-shared-")
+        folder = "file://" + _own_folders[app]
+    return qualified(spark, folder).rstrip("/")
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The URI that Hadoop takes ``folder`` for."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
 @atexit.register
 def _remove_own_folders() -> None:
-    for folder in _own_folders:
+    for folder in _own_folders.values():
         shutil.rmtree(folder, ignore_errors=True)
 
 
@@ -36,12 +50,36 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Cut the lineage: ``df`` as a Parquet table in the shared folder, which outlives any executor."""
-    path = new_path(df.sparkSession, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
+def written(df: DataFrame, name: str, *used: DataFrame | str) -> DataFrame:
+    """Cut the lineage: ``df`` as a Parquet table in the shared folder, which outlives any executor.  Its shuffle
+    files go at once, and so do ``used``, tables of written() or paths that nothing reads afterwards."""
+    spark = df.sparkSession
+    path, before = new_path(spark, name), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    discard(spark, *used)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(spark: SparkSession, *used: DataFrame | str) -> None:
+    """Delete tables of written(), or paths, of the shared folder."""
+    for x in used:
+        path = spark._jvm.org.apache.hadoop.fs.Path(x if isinstance(x, str) else x.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of (long, long) that are broadcast at most: 8 MB.
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, with the hint to broadcast it if it has no more than ``rows`` rows; beyond that joins shuffle."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
 def filesystem(uri: str):

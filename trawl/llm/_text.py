@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of a batch that are handled at once; bounds the temporaries of a worker to about 100 MB.
 CHUNK_BYTES = 1 << 21
@@ -138,7 +139,7 @@ def unpack_sorted(block: bytes) -> np.ndarray:
     return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def input_parts(docs: DataFrame) -> int:
-    """Into how many ranges of hashes to divide work over ``docs``, by the size of its files."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return 64 if size > 1 << 60 else max(8, min(1 << 16, size >> 24))
+def input_parts(docs: DataFrame, part_bytes: int = 1 << 25) -> int:
+    """Into how many ranges of hashes to divide work over ``docs``, by the bytes of its texts."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(8, -(-size // part_bytes))

@@ -15,13 +15,15 @@ are taken as bring the share that all miss to e^-shared.  The work for a vector
 (about (1 - t) / (1 + t)).
 
 Vectors are joined on filters.  They travel as 8-bit numbers with a bound of their rounding error; pairs that may
-reach the threshold are then verified with the vectors themselves.
+reach the threshold are then verified with the vectors themselves.  Equal vectors are one entity, told by 128 bits
+of hash, so copies cost nothing; a filter of more than TILE vectors is compared tile by tile, in several tasks.
 
 Defined results: similarity is the cosine; a null vector, one with a null, NaN or infinite number, and one without
-length have no pairs; vectors of different dimensions are no pair; rows without vec_id have no pairs; a vec_id is
-never paired with itself, and of several rows with one vec_id the most similar counts; equal rows are one; no
-partner is left out for being one of many; an empty table gives no rows; other columns are ignored.  The search is
-approximate: a pair at the threshold is missed about once in e^shared times, closer pairs less often.
+length have no links; vectors of different dimensions have none; rows without vec_id have no links and no class;
+rows equal in vec_id and vector are one, rows that differ in either are different vectors; no partner is left out
+for being one of many; an empty table gives no rows; other columns are ignored.  The search is approximate: a pair
+at the threshold is missed about once in e^shared times, closer pairs less often.  Below ONE_BLOCK_DIM dimensions a
+code has one block, since a product of shorter blocks would have few directions.
 """
 
 from __future__ import annotations
@@ -33,14 +35,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from trawl.llm._components import keep_one
-from trawl.llm._store import written
+from trawl.llm._components import components
+from trawl.llm._store import broadcast_if_small, written
 
 #: Vectors of a batch that are decoded at once, and pairs of a bucket that are compared at once.
 DECODE_ROWS = 1024
 COMPARE = 1 << 21
+#: Vectors of a filter that are compared in one piece.
+TILE = 4096
 
 
 def cap_share(alpha: float, angle: float, dim: int) -> float:
@@ -197,26 +200,38 @@ def rounded(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, scale, np.linalg.norm(unit - q * scale[:, None], axis=1)
 
 
-def _close(q: np.ndarray, scale: np.ndarray, error: np.ndarray, t: float):
-    """Positions (i < j) of pairs whose cosine may be t or more."""
+def _close(q: np.ndarray, scale: np.ndarray, error: np.ndarray, half: np.ndarray, t: float):
+    """Positions (i, j), i on the left (half & 1) and j on the right (half & 2), of pairs whose cosine may be t or more."""
     v = q.astype(np.float32) * scale[:, None].astype(np.float32)
-    n = len(v)
-    step = max(1, min(n, COMPARE // max(1, min(n, 4096))))
-    for a in range(0, n, step):
-        for b in range(a, n, 4096):
+    left, right = np.flatnonzero(half & 1), np.flatnonzero(half & 2)
+    step = max(1, min(len(left), COMPARE // max(1, min(len(right), 4096))))
+    for a in range(0, len(left), step):
+        x = left[a : a + step]
+        for b in range(0, len(right), 4096):
+            y = right[b : b + 4096]
             # both are unit vectors: the rounding of each moves the product by its error at most, and by both
-            slack = error[a : a + step, None] + error[None, b : b + 4096] + error[a : a + step, None] * error[None, b : b + 4096] + 1e-5
-            i, j = np.nonzero(v[a : a + step] @ v[b : b + 4096].T >= t - slack)
-            i, j = i + a, j + b
-            yield i[i < j], j[i < j]
+            slack = error[x, None] + error[None, y] + error[x, None] * error[None, y] + 1e-5
+            i, j = np.nonzero(v[x] @ v[y].T >= t - slack)
+            yield x[i], y[j]
 
 
-def near_pairs(vectors: DataFrame, t: float = 0.9, bucket: int = 128, shared: float = 8.0) -> DataFrame:
-    """(vec_a, vec_b, cosine) of pairs with cosine ``t`` or more, vec_a < vec_b."""
+def entities(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, distinct): members(vec_id, h1, h2) has each row once; distinct(entity, embedding, copies, h1, h2)
+    each vector once, entity being the least vec_id that has it and copies the number of them."""
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    base = base.where("vec_id is not null and embedding is not null")
+    base = base.where("vec_id is not null").withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(1), "embedding")})
+    usable = base.where("embedding is not null and size(embedding) > 0")
+    distinct = usable.groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.first("embedding").alias("embedding"), F.countDistinct("vec_id").alias("copies"))
+    # a vec_id with two vectors would name both: the name is told apart by the hashes
+    distinct = distinct.select(F.xxhash64("h1", "h2", "least").alias("entity"), "least", "embedding", "copies", "h1", "h2")
+    return base.select("vec_id", "h1", "h2").distinct(), written(distinct, "distinct-vectors")
+
+
+def linked(distinct: DataFrame, t: float, bucket: int, shared: float) -> DataFrame:
+    """(a, b, cosine) of pairs of entities with cosine ``t`` or more."""
+    base = distinct.select("entity", "embedding")
     # a number for each different dimension; one vector has no partner
-    sizes = base.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).where("dim > 0 and n > 1").collect()
+    sizes = base.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).where("n > 1").collect()
     codes = {r.dim: Code.suited(r.n, t, bucket, shared, r.dim) for r in sizes}
 
     def send(batches):
@@ -238,39 +253,50 @@ def near_pairs(vectors: DataFrame, t: float = 0.9, bucket: int = 128, shared: fl
                             pa.array(np.full(len(row), dim, np.int32)), pa.array(name), pa.array(ids[at[row]]),
                             data.take(pa.array(row)), pa.array(scale[row].astype(np.float32)), pa.array(error[row].astype(np.float32)),
                         ],
-                        ["dim", "filter", "vec_id", "q", "scale", "error"],
+                        ["dim", "filter", "entity", "q", "scale", "error"],
                     )
 
     def compare(batches):
         held, key = [], None
 
         def flush():
-            ids, q, scale, error = (np.concatenate([h[i] for h in held]) for i in range(4))
-            for i, j in _close(q, scale, error, t):
+            ids, q, scale, error, half = (np.concatenate([h[i] for h in held]) for i in range(5))
+            for i, j in _close(q, scale, error, half, t):
                 a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
                 pairs = np.unique(np.stack([a, b], 1)[a < b], axis=0)
                 if len(pairs):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["vec_a", "vec_b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
-            dims, names = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            edges = np.flatnonzero((dims[1:] != dims[:-1]) | (names[1:] != names[:-1])) + 1
-            for a, b in zip([0, *edges], [*edges, len(dims)]):
+            keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], 1)
+            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *edges], [*edges, len(keys)]):
                 if a == b:
                     continue
-                if key != (now := (int(dims[a]), int(names[a]))):
+                if key != (now := tuple(keys[a].tolist())):
                     if held:
                         yield from flush()
                     held, key = [], now
-                q = np.frombuffer(b"".join(batch.column(3).slice(a, b - a).to_pylist()), np.int8).reshape(b - a, -1)
-                held.append((batch.column(2).to_numpy()[a:b], q, *(batch.column(i).to_numpy()[a:b].astype(np.float64) for i in (4, 5))))
+                q = np.frombuffer(b"".join(batch.column(6).slice(a, b - a).to_pylist()), np.int8).reshape(b - a, -1)
+                held.append((batch.column(5).to_numpy()[a:b], q, *(batch.column(i).to_numpy()[a:b].astype(np.float64) for i in (7, 8)), batch.column(4).to_numpy()[a:b]))
         if held:
             yield from flush()
 
-    caps = base.mapInArrow(send, "dim int, filter long, vec_id long, q binary, scale float, error float")
-    found = caps.repartition("dim", "filter").sortWithinPartitions("dim", "filter").mapInArrow(compare, "vec_a long, vec_b long")
-    pairs = written(found.distinct(), "cap-pairs")
-    a, b = (base.select(F.col("vec_id").alias(f"vec_{x}"), F.col("embedding").alias(x)) for x in "ab")
+    caps = written(base.mapInArrow(send, "dim int, filter long, entity long, q binary, scale float, error float"), "caps")
+    large = caps.groupBy("dim", "filter").count().where(F.col("count") > TILE)
+    large = written(large.select("dim", "filter", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "large-filters")
+    whole = caps.withColumns({"left": F.lit(0), "right": F.lit(0), "half": F.lit(3)})
+    if not large.isEmpty():
+        many = broadcast_if_small(large)
+        # tile i meets the tiles from itself on: a row of tile i is on the left of (i, j >= i), on the right of (j <= i, i)
+        tiled = caps.join(many, ["dim", "filter"]).withColumn("own", F.pmod(F.xxhash64("entity"), F.col("tiles")).cast("int"))
+        left = tiled.withColumns({"left": F.col("own"), "right": F.explode(F.expr("sequence(own, tiles - 1)"))}).withColumn("half", F.when(F.col("left") == F.col("right"), 3).otherwise(1))
+        right = tiled.withColumns({"left": F.explode(F.expr("sequence(0, own)")), "right": F.col("own"), "half": F.lit(2)}).where("left < right")
+        whole = whole.join(many, ["dim", "filter"], "left_anti").unionByName(left.drop("own", "tiles")).unionByName(right.drop("own", "tiles"))
+    whole = whole.select("dim", "filter", "left", "right", "half", "entity", "q", "scale", "error")
+    found = whole.repartition("dim", "filter", "left", "right").sortWithinPartitions("dim", "filter", "left", "right").mapInArrow(compare, "a long, b long")
+    pairs = written(found.distinct(), "cap-pairs", caps, large)
+    a, b = (base.select(F.col("entity").alias(x), F.col("embedding").alias(f"{x}_vector")) for x in "ab")
 
     def verify(batches):
         for batch in batches:
@@ -281,16 +307,50 @@ def near_pairs(vectors: DataFrame, t: float = 0.9, bucket: int = 128, shared: fl
                 both, x, y = np.intersect1d(i, j, assume_unique=True, return_indices=True)
                 cosine[both] = np.clip((u[x] * v[y]).sum(axis=1), -1, 1)
             ok = np.flatnonzero(cosine >= t)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok)), batch.column(1).take(pa.array(ok)), pa.array(cosine[ok])], ["vec_a", "vec_b", "cosine"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok)), batch.column(1).take(pa.array(ok)), pa.array(cosine[ok])], ["a", "b", "cosine"])
 
-    joined = pairs.join(a, "vec_a").join(b, "vec_b").select("vec_a", "vec_b", "a", "b")
-    exact = joined.mapInArrow(verify, "vec_a long, vec_b long, cosine double")
-    return exact.groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
+    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "a_vector", "b_vector")
+    return written(joined.mapInArrow(verify, "a long, b long, cosine double"), "near-vectors", pairs)
+
+
+def near_pairs(vectors: DataFrame, t: float = 0.9, bucket: int = 128, shared: float = 8.0) -> DataFrame:
+    """(vec_a, vec_b, cosine) of pairs of different vectors with cosine ``t`` or more, each under the least vec_id
+    that has it."""
+    _, distinct = entities(vectors)
+    a, b = (distinct.select(F.col("entity").alias(x), F.col("least").alias(f"vec_{x}")) for x in "ab")
+    found = linked(distinct, t, bucket, shared).join(a, "a").join(b, "b")
+    return found.select(F.least("vec_a", "vec_b").alias("vec_a"), F.greatest("vec_a", "vec_b").alias("vec_b"), "cosine")
+
+
+def classes(vectors: DataFrame, t: float = 0.9, bucket: int = 128, shared: float = 8.0) -> DataFrame:
+    """(vec_id, class_id, links) of each vector: the number of other vectors whose cosine to it is ``t`` or more, equal
+    ones included, and the least vec_id of all that links connect it to."""
+    return _classified(vectors, t, bucket, shared).select("vec_id", "class_id", "links")
+
+
+def _classified(vectors: DataFrame, t: float, bucket: int, shared: float) -> DataFrame:
+    members, distinct = entities(vectors)
+    pairs = linked(distinct, t, bucket, shared)
+    copies = distinct.select("entity", "copies")
+    both = pairs.select(F.col("a").alias("of"), F.col("b").alias("entity")).unionByName(pairs.select(F.col("b").alias("of"), F.col("a").alias("entity")))
+    near = both.join(copies, "entity").groupBy(F.col("of").alias("entity")).agg(F.sum("copies").alias("near"))
+    groups = components(pairs.select("a", "b"))
+    one = distinct.drop("embedding").join(groups, F.col("entity") == F.col("node"), "left").withColumn("component", F.coalesce("component", "entity"))
+    least = one.groupBy("component").agg(F.min("least").alias("class_id"))
+    one = one.join(least, "component").join(near, "entity", "left")
+    # a vector without length is no link of its copies either
+    has_length = F.exists(F.col("embedding"), lambda x: x != 0) & F.forall(F.col("embedding"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    usable = distinct.select("entity", has_length.alias("usable"))
+    one = one.join(usable, "entity").select("h1", "h2", F.when(F.col("usable"), F.col("class_id")).alias("class_id"), F.when(F.col("usable"), F.col("copies") - 1).otherwise(0).alias("equal"), F.coalesce("near", F.lit(0)).alias("near"))
+    # a vector that nothing is known of is a class of its own
+    found = members.join(one, ["h1", "h2"], "left")
+    return found.select("vec_id", F.coalesce("class_id", "vec_id").alias("class_id"), (F.coalesce("equal", F.lit(0)) + F.coalesce("near", F.lit(0))).alias("links"), "h1", "h2")
 
 
 def deduplicate(vectors: DataFrame, t: float = 0.9) -> DataFrame:
-    """``vectors`` with one row of each group of near-duplicates, groups being connected by pairs; the least vec_id
-    stays.  Rows without vec_id stay."""
-    pairs = near_pairs(vectors, t).select(F.col("vec_a").alias("a"), F.col("vec_b").alias("b"))
-    gone = keep_one(pairs).select(F.col("node").alias("vec_id"))
-    return vectors.join(gone, vectors["vec_id"].cast(T.LongType()) == gone["vec_id"], "left_anti")
+    """``vectors`` with the vectors of one vec_id of each class; the least stays.  Rows without vec_id stay."""
+    gone = written(_classified(vectors, t, 128, 8.0).where("vec_id <> class_id").select("vec_id", "h1", "h2"), "gone")
+    gone = broadcast_if_small(gone)
+    own = F.col("embedding").cast("array<double>")
+    same = (vectors["vec_id"].cast("long") == gone["vec_id"]) & (F.xxhash64(own) == gone["h1"]) & (F.xxhash64(F.lit(1), own) == gone["h2"])
+    return vectors.join(gone, same, "left_anti")

@@ -1,6 +1,6 @@
 """Exact Jaccard self-join of documents' word n-gram sets, through a token-group matrix.
 
-A group holds similar documents: those with the same three least tokens (a token is the hash of an n-gram, so this
+A group holds similar documents: those with the same least tokens (a token is the hash of an n-gram, so this
 is a min-hash, which near copies mostly share) and about the same size.  The matrix says which groups have which tokens in the union of
 their members' sets.  A document q opens group g only if |q and union(g)| can reach t |q|, which any member with
 Jaccard similarity t or more needs.
@@ -14,15 +14,17 @@ Spark's part, with every document as a query:
    meet another document and stay behind (a bitmap of fixed size tells them; as it fills up, more are sent, with
    the same result).  Where a token meets several documents, its row of the matrix is counted for each (query,
    group), and pairs that stay below k are given up.
-3. Each candidate group is opened once, in one task, with its queries: bound first, then overlaps with the
-   members as products of 0/1 matrices.
+3. Groups are opened in cells: up to MEMBERS of a group's members with up to QUERIES of its queries, so however
+   large a group is, a task holds one cell at a time.  In a cell the bound comes first, then overlaps with the members as
+   products of 0/1 matrices.  A cell tells of each text how many documents it is linked to, and a spanning forest
+   of the links, never all pairs.
 
-Equal sets are one entity throughout, so copies cost next to nothing until the result is written out.
+Equal sets are one entity throughout, so copies cost next to nothing.
 
 Defined results: n-grams are of words between ASCII white space, in lower case; a text of fewer than n words has
-one n-gram of all of them; a null or empty text, or one without words, has no n-gram and no pair; rows of equal
-doc_id are different documents, except that a doc_id is never paired with itself; rows without doc_id have no
-pairs; an empty table gives no rows; other columns are ignored.
+one n-gram of all of them; a null or empty text, or one without words, has no n-gram and no link; rows equal in
+doc_id and n-gram set are one document, rows that differ in either are different documents; rows without doc_id
+have no links and no class; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,13 +38,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.llm._components import components
-from trawl.llm._store import load_arrays, new_path, save_arrays, written
+from trawl.llm._store import broadcast_if_small, discard, load_arrays, new_path, save_arrays, written
 from trawl.llm._text import Words, encoded_chunks, input_parts, mix, ngram_hashes, pack_sorted, unpack_sorted
 
 TOKEN_BITS = 40  #: of a token's hash that statistics and candidates go by; a clash only adds work
 BITMAP_BITS = 28
 COUNTED = 1_000_000  #: rows of the matrix that a task counts at a time
 HOT_LIMIT = 2_000_000  #: hot tokens that tasks hold; above that ``hot`` is raised
+GROUP_TOKENS = 3  #: least tokens that members of a group share
+MEMBERS, QUERIES = 512, 2048  #: of a group, in one cell
 
 
 def sets_of(words: Words, n: int) -> list[np.ndarray]:
@@ -178,7 +182,7 @@ class _Order:
             is_hot = self.hot[np.minimum(np.searchsorted(self.hot, s), len(self.hot) - 1)] == s
             s = np.concatenate([s[~is_hot], s[is_hot]])
         s = s[: prefix_length(self.t, len(tokens))]
-        least = mix(tokens[:3]).sum(dtype=np.uint64, keepdims=True)
+        least = mix(tokens[:GROUP_TOKENS]).sum(dtype=np.uint64, keepdims=True)
         group = mix(least + np.uint64(int(math.log(len(tokens), 1.5)))) >> np.uint64(32)
         return s, int(group[0])
 
@@ -188,8 +192,8 @@ class _Order:
 
 
 def _matrix_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(entity, group, shared): the tokens of one range that a query shares with a group's union.  Counts of one
-    (entity, group) come in several rows, so that a task holds no more than about COUNTED of them."""
+    """(key, group, shared): the tokens of one range that a query shares with a group's union.  Counts of one
+    (key, group) come in several rows, so that a task holds no more than about COUNTED of them."""
     blocks = [(unpack_sorted(t.as_py()), np.frombuffer(k.as_py(), np.uint64)) for b in batches for t, k in zip(b.column("tokens"), b.column("keys"))]
     tokens, keys = (np.concatenate([b[i] for b in blocks]) for i in (0, 1))
     del blocks
@@ -204,7 +208,7 @@ def _matrix_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pairs, found = np.zeros((0, 3), np.uint64), []
 
     def batch_of(pairs: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, i].astype(np.int64)) for i in range(3)], ["entity", "group", "shared"])
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, i].astype(np.int64)) for i in range(3)], ["key", "group", "shared"])
 
     # within a token, keys ascend and begin with the group: entity i meets the groups from its own on
     step = 0
@@ -221,14 +225,18 @@ def _matrix_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone = np.concatenate([first[1:], [True]])  # the last entity of its group: no partner in its own group
         begin = number + alone
         n = last[run] - begin
-        q = np.repeat(keys[which], n)
-        offset = np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n)
-        found.append(_counted(np.column_stack([q, groups[np.repeat(begin, n) + offset].astype(np.uint64), np.ones(len(q), np.uint64)])))
-        if sum(map(len, found)) > COUNTED:
-            pairs, found = _counted(np.concatenate([pairs, *found])), []
-            if len(pairs) > COUNTED:
-                yield batch_of(pairs)
-                pairs = pairs[:0]
+        key, total, lo = keys[which], np.cumsum(n), 0
+        while lo < len(n):
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + COUNTED, side="right")))
+            q = np.repeat(key[lo:hi], n[lo:hi])
+            offset = np.arange(len(q)) - np.repeat(np.cumsum(n[lo:hi]) - n[lo:hi], n[lo:hi])
+            found.append(_counted(np.column_stack([q, groups[np.repeat(begin[lo:hi], n[lo:hi]) + offset].astype(np.uint64), np.ones(len(q), np.uint64)])))
+            lo = hi
+            if sum(map(len, found)) > COUNTED:
+                pairs, found = _counted(np.concatenate([pairs, *found])), []
+                if len(pairs) > COUNTED:
+                    yield batch_of(pairs)
+                    pairs = pairs[:0]
         step = stop
     yield batch_of(_counted(np.concatenate([pairs, *found])))
 
@@ -242,54 +250,86 @@ def _counted(pairs: np.ndarray) -> np.ndarray:
     return np.column_stack([pairs[first, :2], np.add.reduceat(pairs[:, 2], first)])
 
 
-def open_group(group: int, entities: dict[int, np.ndarray], t: float):
-    """Pairs (a, b, overlap, size a, size b) with Jaccard similarity t or more of a group's members, and of each
-    other entity with the members."""
-    keys = sorted(entities)
-    members = [k for k in keys if k >> 32 == group]
-    queries = [k for k in keys if k >> 32 != group]
-    if not members:
-        return
-    union, count = np.unique(np.concatenate([entities[k] for k in members]), return_counts=True)
-    opened = []
-    for k in queries:
-        s = entities[k]
-        at = np.minimum(np.searchsorted(union, s), len(union) - 1)
-        if (union[at] == s).sum() >= least_overlap(t, len(s)):
-            opened.append(k)
-    if not opened and len(members) < 2:
-        return
-    # only tokens that two of these have take part in an overlap
-    everyone = members + opened
-    tokens, count = np.unique(np.concatenate([entities[k] for k in everyone]), return_counts=True)
-    tokens = tokens[count > 1]
-    sizes = np.array([len(entities[k]) for k in everyone])
-
-    def rows(which: list[int]) -> np.ndarray:
-        m = np.zeros((len(which), len(tokens)), np.float32)
-        for i, k in enumerate(which):
-            s = entities[k]
-            at = np.searchsorted(tokens, s)
-            at[at == len(tokens)] = 0
-            m[i, at[tokens[at] == s] if len(tokens) else []] = 1
-        return m
-
-    block = max(1, min(512, (1 << 23) // max(1, len(tokens))))
-    for lo in range(0, len(members), block):
-        base = rows(members[lo : lo + block])
-        for left in range(lo, len(everyone), block):
-            part = everyone[left : left + block]
-            overlap = rows(part) @ base.T
-            total = sizes[left : left + len(part), None] + sizes[None, lo : lo + len(base)] - overlap
-            i, j = np.nonzero(overlap >= t * total - 1e-6)
-            for x, y in zip((i + left).tolist(), (j + lo).tolist()):
-                if x > y:
-                    yield everyone[y], everyone[x], int(overlap[x - left, y - lo]), int(sizes[y]), int(sizes[x])
+class Cell:
+    """Some members of a group, and some of its queries; members may be queries too."""
+
+    def __init__(self):
+        self.names: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.role: list[int] = []  # 1: query of another group, 2: query that is a member of the group, 4: member here
+        self.copies: list[int] = []
+
+    def add(self, name: int, tokens: np.ndarray, role: int, copies: int) -> None:
+        self.names.append(name)
+        self.sets.append(tokens)
+        self.role.append(role)
+        self.copies.append(copies)
+
+    def links(self, t: float) -> Iterator[tuple[int, int, int, int]]:
+        """(query, member, overlap, size of both together), as positions, of similarity ``t`` or more; of two
+        members of the group the greater is the query."""
+        role = np.array(self.role, np.int64)
+        members = np.flatnonzero(role & 4)
+        if not len(members):
+            return
+        union = np.unique(np.concatenate([self.sets[i] for i in members]))
+        opened = [i for i in np.flatnonzero(role & 3) if len(np.intersect1d(self.sets[i], union, assume_unique=True)) >= least_overlap(t, len(self.sets[i]))]
+        if not opened:
+            return
+        # only tokens that two of these have take part in an overlap
+        everyone = sorted({*members.tolist(), *map(int, opened)})
+        tokens, count = np.unique(np.concatenate([self.sets[i] for i in everyone]), return_counts=True)
+        tokens = tokens[count > 1]
+        sizes = np.array([len(x) for x in self.sets])
+
+        def rows(which) -> np.ndarray:
+            m = np.zeros((len(which), len(tokens)), np.float32)
+            for i, k in enumerate(which):
+                x = self.sets[k]
+                at = np.searchsorted(tokens, x)
+                at[at == len(tokens)] = 0
+                m[i, at[tokens[at] == x] if len(tokens) else []] = 1
+            return m
+
+        block = max(1, min(512, (1 << 23) // max(1, len(tokens))))
+        for lo in range(0, len(members), block):
+            base = members[lo : lo + block]
+            m = rows(base)
+            for left in range(0, len(opened), block):
+                part = np.array(opened[left : left + block])
+                overlap = rows(part) @ m.T
+                together = sizes[part][:, None] + sizes[base][None, :] - overlap
+                for x, y in zip(*np.nonzero(overlap >= t * together - 1e-6)):
+                    q, k = int(part[x]), int(base[y])
+                    if self.role[q] & 1 or self.names[q] > self.names[k]:
+                        yield q, k, int(overlap[x, y]), int(together[x, y])
+
+    def summary(self, t: float) -> list[tuple[int, int, int]]:
+        """(name, root, links): the number of documents that a text is linked to in this cell, and the least name
+        that these links connect it to."""
+        root = list(range(len(self.names)))
+        links = [0] * len(root)
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for q, k, _, _ in self.links(t):
+            links[q] += self.copies[k]
+            links[k] += self.copies[q]
+            a, b = find(q), find(k)
+            if a != b:
+                a, b = (a, b) if self.names[a] < self.names[b] else (b, a)
+                root[b] = a
+        return [(self.names[i], self.names[find(i)], n) for i, n in enumerate(links) if n]
 
 
 def join(docs: DataFrame, t: float = 0.4, n: int = 4, hot: int = 16) -> tuple[DataFrame, DataFrame]:
-    """(sets, pairs): sets(doc_id, text_hash, entity, set_hash, size) has every document with n-grams, equal sets
-    having equal entity; pairs(a, b, overlap, size_a, size_b) has each pair of entities of similarity t or more once."""
+    """(sets, found): sets(doc_id, text_hash, entity, key, size) has every document with n-grams, equal sets having
+    equal entity; found(entity, root, links) tells of the links between different sets of similarity t or more: for
+    each cell that an entity has links in, how many documents it is linked to, and to which entity they connect it."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).where("doc_id is not null")
     parts = input_parts(docs)
     filter_path = token_statistics(docs, n, hot, parts)
@@ -321,83 +361,107 @@ def join(docs: DataFrame, t: float = 0.4, n: int = 4, hot: int = 16) -> tuple[Da
                     pa.array([*full, -1], pa.int32()),
                     pa.array([pack_sorted(tokens[cut[p] : cut[p + 1]]) for p in full] + [None], pa.binary()),
                     pa.array([owner[cut[p] : cut[p + 1]].tobytes() for p in full] + [None], pa.binary()),
-                    pa.array([None] * m + [[{"doc_id": d, "text_hash": x, "entity": k, "set_hash": h, "size": s} for d, x, k, h, s in zip(
+                    pa.array([None] * m + [[{"doc_id": d, "text_hash": x, "entity": h, "key": k, "size": s} for d, x, k, h, s in zip(
                         rows.column(0).take(pa.array(has)).to_pylist(), rows.column(2).take(pa.array(has)).to_pylist(), np.array(keys, np.uint64).astype(np.int64).tolist(), np.array(hashes, np.uint64).astype(np.int64).tolist(), [len(sets[i]) for i in has])]],
-                        pa.list_(pa.struct([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("entity", pa.int64()), ("set_hash", pa.int64()), ("size", pa.int64())]))),
+                        pa.list_(pa.struct([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("entity", pa.int64()), ("key", pa.int64()), ("size", pa.int64())]))),
                 ],
                 ["part", "tokens", "keys", "sets"],
             )
 
     sent = written(
-        docs.mapInArrow(send, "part int, tokens binary, keys binary, sets array<struct<doc_id:long,text_hash:long,entity:long,set_hash:long,size:long>>"), "prefixes"
+        docs.mapInArrow(send, "part int, tokens binary, keys binary, sets array<struct<doc_id:long,text_hash:long,entity:long,key:long,size:long>>"), "prefixes"
     )
     sets = written(sent.where("part = -1").select(F.inline("sets")), "sets")
-    shared = sent.where("part >= 0").select("part", "tokens", "keys").groupBy("part").applyInArrow(_matrix_part, "entity long, group long, shared long")
-    group_of = F.shiftrightunsigned("entity", 32)
-    one = sets.groupBy("entity").agg(F.min_by(F.struct("doc_id", "set_hash", "size"), "doc_id").alias("r")).select("entity", "r.*")
-    candidates = written(
-        shared.groupBy("entity", "group").agg(F.sum("shared").alias("shared")).join(one.select("entity", "size"), "entity").where(F.col("shared") >= least_shared(t, F.col("size"))).select("entity", "group"),
-        "candidates",
-    )
-    groups = candidates.select("group").distinct()
-    members = one.select("entity", group_of.alias("group")).join(groups, "group", "left_semi")
-    wanted = candidates.select("entity", "group").unionByName(members.select("entity", "group")).distinct()
-    with_text = wanted.join(one, "entity").join(docs.select("doc_id", "text"), "doc_id").select("group", "entity", "set_hash", "text")
+    shared = sent.where("part >= 0").select("part", "tokens", "keys").groupBy("part").applyInArrow(_matrix_part, "key long, group long, shared long")
+    one = sets.groupBy("entity", "key").agg(F.min("doc_id").alias("doc_id"), F.countDistinct("doc_id").alias("copies"), F.first("size").alias("size"))
+    one = written(one.withColumn("group", F.shiftrightunsigned("key", 32)), "entities")
+    candidates = (
+        shared.groupBy("key", "group").agg(F.sum("shared").alias("shared")).join(one.drop("group"), "key")
+        .where(F.col("shared") >= least_shared(t, F.col("size"))).select("entity", "doc_id", "copies", "group")
+    )
+    candidates = written(candidates, "candidates", sent)
+    # different sets of one key are alike to the matrix: their groups are opened in any case
+    clash = one.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.shiftrightunsigned("key", 32).alias("group"))
+    opened = candidates.select("group").unionByName(clash).distinct()
+    members = one.join(opened, "group", "left_semi").select("entity", "doc_id", "copies", "group", F.lit(6).alias("role"))
+    queries = candidates.join(members.select("entity", "group"), ["entity", "group"], "left_anti").select("entity", "doc_id", "copies", "group", F.lit(1).alias("role"))
+    rows = written(members.unionByName(queries), "group-rows", candidates)
+    # with a group of more than a cell holds, its members meet its queries (and members) in a grid of cells
+    grid = rows.groupBy("group").agg(F.ceil(F.count_if(F.col("role") == 6) / MEMBERS).alias("across"), F.ceil(F.count("*") / QUERIES).alias("down"), F.count("*").alias("n")).where("n > 1")
+    at = lambda n, seed: F.pmod(F.xxhash64("entity", F.lit(seed)), F.col(n))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    placed = rows.join(grid, "group")
+    as_query = placed.select("entity", "doc_id", "copies", "group", F.explode(every("across")).alias("i"), at("down", 1).alias("j"), F.when(F.col("role") == 6, 2).otherwise(1).alias("role"))
+    as_member = placed.where("role = 6").select("entity", "doc_id", "copies", "group", at("across", 2).alias("i"), F.explode(every("down")).alias("j"), F.lit(4).alias("role"))
+    wanted = as_query.unionByName(as_member).groupBy("group", "i", "j", "entity").agg(F.sum("role").cast("int").alias("role"), F.first("doc_id").alias("doc_id"), F.first("copies").alias("copies"))
+    wanted = written(wanted, "cells", rows)
+    ids = written(wanted.select("doc_id").distinct(), "cell-documents")
+    # text of other documents stays where it is
+    needed = docs.select("doc_id", "text").join(broadcast_if_small(ids), "doc_id", "left_semi")
+    with_text = wanted.join(needed, "doc_id").select("group", "i", "j", "entity", "role", "copies", "text")
 
     def verify(batches):
-        group, entities = None, {}
+        cell, held, taken = None, Cell(), set()
 
         def flush():
-            rows = list(open_group(group, entities, t)) if group is not None else []
-            if rows:
-                a, b, overlap, size_a, size_b = (np.array(x, np.uint64).astype(np.int64) for x in zip(*rows))
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, (a, b, overlap, size_a, size_b))), ["a", "b", "overlap", "size_a", "size_b"])
+            found = held.summary(t)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["entity", "root", "links"])
 
         for batch in batches:
-            g, e = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint64).tolist()
-            h = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint64).tolist()
-            for lo, hi, texts in encoded_chunks(batch.column(3)):
+            columns = [c.to_pylist() for c in batch.columns[:6]]
+            for lo, hi, texts in encoded_chunks(batch.column(6)):
                 for i, s in zip(range(lo, hi), sets_of(Words(texts), n)):
-                    if g[i] != group:
+                    now, (entity, role, copies) = tuple(c[i] for c in columns[:3]), (c[i] for c in columns[3:])
+                    if now != cell:
                         yield from flush()
-                        group, entities = g[i], {}
-                    if e[i] not in entities and set_hash(s) == h[i]:  # else another row with this doc_id
-                        entities[e[i]] = s
+                        cell, held, taken = now, Cell(), set()
+                    # another row with this doc_id may have another text
+                    if entity not in taken and len(s) and np.array(set_hash(s), np.uint64).astype(np.int64) == entity:
+                        taken.add(entity)
+                        held.add(entity, s, role, copies)
         yield from flush()
 
-    pairs = with_text.repartition("group").sortWithinPartitions("group", "entity").mapInArrow(verify, "a long, b long, overlap long, size_a long, size_b long")
-    return sets, written(pairs, "pairs")
-
-
-def similar_pairs(docs: DataFrame, t: float = 0.4, n: int = 4) -> DataFrame:
-    """(doc_a, doc_b, overlap, jaccard) of each pair of documents, doc_a < doc_b."""
-    sets, pairs = join(docs, t, n)
-    one = sets.select("doc_id", "entity", "size").distinct()
-    a, b = (one.select(F.col("doc_id").alias(f"doc_{x}"), F.col("entity").alias(x), F.col("size").alias(f"n_{x}")) for x in "ab")
-    equal = a.join(b, F.col("a") == F.col("b")).where("doc_a < doc_b").select("doc_a", "doc_b", F.col("n_a").alias("overlap"), F.lit(1.0).alias("jaccard"))
-    near = (
-        pairs.join(a.drop("n_a"), "a").join(b.drop("n_b"), "b").where("doc_a <> doc_b")
-        .select(
-            F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "overlap",
-            (F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))).alias("jaccard"),
-        )
-    )
-    return equal.unionByName(near)
+    found = with_text.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(verify, "entity long, root long, links long")
+    found = written(found, "links", wanted, ids)
+    discard(docs.sparkSession, one, filter_path.rpartition("/")[0])
+    return sets, found
+
+
+def _with_classes(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """``sets`` with class_id, the least doc_id that links connect a document to."""
+    groups = components(found.select(F.col("entity").alias("a"), F.col("root").alias("b")))
+    member = sets.join(groups, F.col("entity") == F.col("node"), "left").withColumn("component", F.coalesce("component", "entity")).drop("node")
+    least = member.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    return member.join(least, "component").drop("component")
+
+
+def classes(docs: DataFrame, t: float = 0.4, n: int = 4) -> DataFrame:
+    """(doc_id, class_id, links) of each document: the number of other documents whose similarity to it is ``t`` or
+    more, and the least doc_id of all that links connect it to."""
+    sets, found = join(docs, t, n)
+    one = _with_classes(sets.select("doc_id", "entity").distinct(), found)
+    links = found.groupBy("entity").agg(F.sum("links").alias("near"))
+    copies = sets.groupBy("entity").agg(F.countDistinct("doc_id").alias("copies"))
+    linked = one.join(copies, "entity").join(links, "entity", "left").select("doc_id", "class_id", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    none = every.join(sets.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"))
+    return linked.unionByName(none)
 
 
 def deduplicate(docs: DataFrame, t: float = 0.4, n: int = 4) -> DataFrame:
-    """``docs`` with one document of each group, groups being connected by pairs of similarity ``t`` or more; the
-    least doc_id stays (of one doc_id, the text of least hash; of repeated rows, any one).  Documents without
-    n-grams or doc_id stay."""
-    sets, pairs = join(docs, t, n)
-    groups = components(pairs.select("a", "b"))
+    """``docs`` with one document of each class; the least doc_id stays (of one doc_id, the text of least hash; of
+    repeated rows, any one).  Documents without n-grams or doc_id stay."""
+    sets, found = join(docs, t, n)
+    groups = components(found.select(F.col("entity").alias("a"), F.col("root").alias("b")))
     member = (
         sets.select("doc_id", "text_hash", "entity").join(groups, F.col("entity") == F.col("node"), "left")
         .select(F.struct("doc_id", "text_hash").alias("d"), F.coalesce("component", "entity").alias("g"))
     )
     first = member.groupBy("g").agg(F.min("d").alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = written(member.join(first, "g").where("d <> first").select("d.*").distinct(), "gone")
-    repeated = written(sets.groupBy("doc_id", "text_hash").count().where("count > 1"), "repeated")
+    gone = written(member.join(first, "g").where("d <> first").select("d.*").distinct(), "gone", found)
+    repeated = written(sets.groupBy("doc_id", "text_hash").count().where("count > 1"), "repeated", sets, groups)
+    gone, repeated = broadcast_if_small(gone), broadcast_if_small(repeated)
 
     def same(of: DataFrame):
         return (docs["doc_id"].cast("long") == of["doc_id"]) & (F.xxhash64(docs["text"]) == of["text_hash"])

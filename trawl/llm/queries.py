@@ -13,7 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return caps.near_pairs(_table(spark, sf_dir, "embeddings"))
+    return caps.classes(_table(spark, sf_dir, "embeddings"))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = topk.neighbours(_table(spark, sf_dir, "embeddings"))
+    found = topk.neighbours(_table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 20 == 0)
     return found.select("query_id", "rank", "neighbour_id", F.round("distance", 6).alias("distance"))
 
 
@@ -43,7 +43,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_pairs(_table(spark, sf_dir, "documents"))
+    return jaccard.classes(_table(spark, sf_dir, "documents"))
 
 
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,9 +54,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-#: The same pairs by joining n-grams themselves.
+#: Links by joining n-grams themselves, classes by following links.
 JACCARD_SQL = """
-WITH words AS (
+WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[^ \\t\\n\\r\\x0b\\f]+') AS w FROM documents
 ), grams AS (
   SELECT DISTINCT doc_id, unnest([list_aggregate(w[i:i+3], 'string_agg', ' ') FOR i IN range(1, greatest(len(w) - 2, 2))]) AS g
@@ -64,14 +64,20 @@ WITH words AS (
 ), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
 shared AS (
   SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS overlap
-  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), linked AS (
+  SELECT doc_a, doc_b FROM shared JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b
+  WHERE overlap / (x.n + y.n - overlap) >= 0.4
+), reached AS (
+  SELECT doc_id AS doc_a, doc_id AS doc_b FROM documents
+  UNION
+  SELECT r.doc_a, l.doc_b FROM reached r JOIN linked l ON r.doc_b = l.doc_a
 )
-SELECT doc_a, doc_b, overlap, overlap / (x.n + y.n - overlap) AS jaccard
-FROM shared JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b
-WHERE overlap / (x.n + y.n - overlap) >= 0.4
+SELECT r.doc_a AS doc_id, min(r.doc_b) AS class_id, (SELECT count(*) FROM linked l WHERE l.doc_a = r.doc_a) AS links
+FROM reached r GROUP BY r.doc_a
 """
 
-#: The same neighbours by all distances.
+#: The same neighbours by all distances; the queries are the rows whose id is divisible by 20.
 TOP_K_SQL = """
 SELECT query_id, "rank", neighbour_id, round(d, 6) AS distance
 FROM (
@@ -79,7 +85,7 @@ FROM (
   FROM (
     SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id,
       list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d
-    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id % 20 = 0
   )
 )
 WHERE "rank" <= 10

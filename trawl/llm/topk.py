@@ -11,20 +11,24 @@ Dimensions are first turned to the eigenvectors of their second moments, largest
 they are and puts as much mass as possible into the first blocks.  Work is a grid of query blocks and table parts;
 each part's best k are merged at the end, so neither side must fit into a task.
 
-Distances of the survivors are computed again in double precision, from the vectors as they were, so results are
-exact.
+Distances of the survivors are computed again in double precision, from the vectors as they were and relative to
+their largest difference, so no square overflows or vanishes and results are exact.
+
+The queries are a stated set of rows; with q of them and n vectors there are q n / 2^30 cells, and what a cell costs
+depends on how much pruning saves.
 
 Defined results: a null vector, and one with a null, NaN or infinite number, is neither query nor answer; so is an
 empty one and a row without vec_id; vectors of different dimensions are no neighbours; equal rows (vec_id and
 vector) are one; a vec_id is no neighbour of itself; ties go to the lesser vec_id; a query with fewer than k
-others gets all of them; an empty table gives no rows; other columns are ignored.
+others gets all of them; a distance beyond the largest number is infinite; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,7 +45,7 @@ DENSE = 0.2
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding, dim, version, largest) of distinct rows that take part."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e150))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = v.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite).distinct()
     return v.withColumns({"dim": F.size("embedding"), "version": F.xxhash64("embedding"), "largest": F.array_max(F.transform("embedding", F.abs))})
 
@@ -93,12 +97,12 @@ def vertical(x: np.ndarray, rotation: np.ndarray) -> dict[str, np.ndarray]:
 
 
 class Best:
-    """The k nearest so far of each query, by (distance, id)."""
+    """The k nearest so far of each query, by (distance, id).  ``unit``: what one is in the vertical layout."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, rotation: np.ndarray, k: int):
-        self.ids, self.x, self.k = ids, x, k
-        self.columns = vertical(x, rotation)
-        self.length = np.sqrt((x**2).sum(axis=1))
+    def __init__(self, ids: np.ndarray, x: np.ndarray, rotation: np.ndarray, k: int, unit: float = 1.0):
+        self.ids, self.x, self.k, self.unit = ids, x, k, unit
+        self.columns = vertical(x / unit, rotation)
+        self.length = np.sqrt(((x / unit) ** 2).sum(axis=1))
         self.query = np.zeros(0, np.int64)
         self.other = np.zeros(0, np.int64)
         self.distance = np.zeros(0)
@@ -110,7 +114,7 @@ class Best:
 
     def visit(self, ids: np.ndarray, x: np.ndarray, columns: dict[str, np.ndarray]) -> None:
         blocks = len(columns["own"])
-        slack = self._slack(float(np.sqrt((x**2).sum(axis=1).max())))
+        slack = self._slack(float(np.sqrt(((x / self.unit) ** 2).sum(axis=1).max())))
         bound = (self.limit + slack).astype(np.float32)
         q = self.columns
         dense = np.zeros((len(self.ids), len(ids)), np.float32)
@@ -150,10 +154,15 @@ class Best:
             kth[has] = partial[start[has] + self.k - 1]
             near = partial <= (kth + 2 * slack)[i]
             i, j = i[near], j[near]
-        self._merge(i, ids[j], ((self.x[i] - x[j]) ** 2).sum(axis=1))
+        # halves: the difference of two numbers may be beyond the largest one
+        apart = self.x[i] / 2 - x[j] / 2
+        most = np.abs(apart).max(axis=1, initial=0.0)
+        with np.errstate(over="ignore"):
+            distance = 2 * (most * np.sqrt(((apart / np.where(most > 0, most, 1)[:, None]) ** 2).sum(axis=1)))
+        self._merge(i, ids[j], distance)
 
     def _merge(self, query: np.ndarray, other: np.ndarray, distance: np.ndarray) -> None:
-        ok = distance <= self.limit[query]
+        ok = (distance / self.unit) ** 2 <= self.limit[query] * (1 + 1e-12) + 1e-300
         query = np.concatenate([self.query, query[ok]])
         other = np.concatenate([self.other, other[ok]])
         distance = np.concatenate([self.distance, distance[ok]])
@@ -163,63 +172,66 @@ class Best:
         keep = rank < self.k
         self.query, self.other, self.distance = query[keep], other[keep], distance[keep]
         full = rank == self.k - 1
-        self.limit[query[full]] = distance[full]
+        self.limit[query[full]] = (distance[full] / self.unit) ** 2
 
 
-def neighbours(vectors: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, query_row, rank, neighbour_id, distance) of the k nearest others of every vector; distance is
-    Euclidean.  query_row tells apart several vectors with one vec_id (0, 1, ...)."""
+def neighbours(vectors: DataFrame, k: int = 10, queries: Column | None = None) -> DataFrame:
+    """(query_id, query_row, rank, neighbour_id, distance) of the k nearest others, among all vectors, of every vector for
+    which ``queries`` (a condition on vec_id) holds, or of all; distance is Euclidean.  query_row tells apart several
+    vectors with one vec_id (0, 1, ...)."""
     spark = vectors.sparkSession
     rows = written(usable(vectors), "vectors")
+    asked = rows if queries is None else rows.where(queries)
     n, largest = rows.agg(F.count("*"), F.max("largest")).first()
+    n_asked = asked.count()
     # a power of two, so that scaling is exact; single precision neither overflows nor loses all digits
-    unit = 2.0 ** np.ceil(np.log2(largest)) if largest else 1.0
+    unit = 2.0 ** min(1023.0, np.ceil(np.log2(largest))) if largest else 1.0
     turns = rotations(rows)
     path = new_path(spark, "vertical")
-    n_chunks = max(1, -(-n // CHUNK_ROWS))
-
-    def lay_out(table: pa.Table) -> pa.Table:
-        d, chunk = table.column("dim")[0].as_py(), table.column("chunk")[0].as_py()
-        x = _matrix(table.column("embedding").combine_chunks(), d) / unit
-        columns = {c: table.column(c).to_numpy() for c in ("vec_id", "version")}
-        save_arrays(f"{path}/{d}-{chunk}.npz", x=x, **columns, **vertical(x, turns[d]))
-        return pa.table({"dim": pa.array([d], pa.int32()), "chunk": pa.array([chunk], pa.int32())})
-
-    in_chunks = rows.withColumn("chunk", F.pmod(F.xxhash64("vec_id", "version"), F.lit(n_chunks)).cast("int"))
-    made = in_chunks.groupBy("dim", "chunk").applyInArrow(lay_out, "dim int, chunk int")
-    # two numbers for each chunk of 4,096 vectors
-    chunks: dict[int, list[int]] = {}
-    for r in sorted(made.collect()):
-        chunks.setdefault(r.dim, []).append(r.chunk)
-    pieces = -(-CHUNK_ROWS // QUERY_ROWS)
-    cells = [
-        (d, c, piece, part)
-        for d, of_dim in chunks.items()
-        for c in of_dim
-        for piece in range(pieces)
-        for part in range(0, len(of_dim), PART_CHUNKS)
-    ]
+
+    def layer(of: DataFrame, n_chunks: int, name: str, columnar: bool) -> dict[int, list[int]]:
+        """Write ``of`` in chunks; their numbers, by dimension: two numbers for each chunk."""
+
+        def lay_out(table: pa.Table) -> pa.Table:
+            d, chunk = table.column("dim")[0].as_py(), table.column("chunk")[0].as_py()
+            x = _matrix(table.column("embedding").combine_chunks(), d)
+            columns = {c: table.column(c).to_numpy() for c in ("vec_id", "version")}
+            save_arrays(f"{path}/{name}-{d}-{chunk}.npz", x=x, **columns, **(vertical(x / unit, turns[d]) if columnar else {}))
+            return pa.table({"dim": pa.array([d], pa.int32()), "chunk": pa.array([chunk], pa.int32())})
+
+        in_chunks = of.withColumn("chunk", F.pmod(F.xxhash64("vec_id", "version"), F.lit(max(1, n_chunks))).cast("int"))
+        out: dict[int, list[int]] = {}
+        for r in sorted(in_chunks.groupBy("dim", "chunk").applyInArrow(lay_out, "dim int, chunk int").collect()):
+            out.setdefault(r.dim, []).append(r.chunk)
+        return out
+
+    chunks = layer(rows, -(-n // CHUNK_ROWS), "all", True)
+    pieces = layer(asked, -(-n_asked // QUERY_ROWS), "asked", False)
+    # cells of dimension d are numbered from first[d] on, query piece by query piece
+    parts = {d: -(-len(chunks[d]) // PART_CHUNKS) for d in pieces}
+    first, cells = {}, 0
+    for d in pieces:
+        first[d], cells = cells, cells + len(pieces[d]) * parts[d]
     schema = "query_id long, version long, neighbour_id long, distance double"
 
     def search(batches):
         for batch in batches:
-            for d, c, piece, part in zip(*(x.to_pylist() for x in batch.columns)):
-                own = load_arrays(f"{path}/{d}-{c}.npz")
-                mine = slice(piece * len(own["x"]) // pieces, (piece + 1) * len(own["x"]) // pieces)
-                if mine.start == mine.stop:
-                    continue
-                best = Best(own["vec_id"][mine], own["x"][mine], turns[d], k)
-                for other in chunks[d][part : part + PART_CHUNKS]:
-                    chunk = own if other == c else load_arrays(f"{path}/{d}-{other}.npz")
+            for cell in batch.column(0).to_pylist():
+                d = max((x for x in first if first[x] <= cell), key=first.__getitem__)
+                piece, part = divmod(cell - first[d], parts[d])
+                own = load_arrays(f"{path}/asked-{d}-{pieces[d][piece]}.npz")
+                best = Best(own["vec_id"], own["x"], turns[d], k, unit)
+                for other in chunks[d][part * PART_CHUNKS : (part + 1) * PART_CHUNKS]:
+                    chunk = load_arrays(f"{path}/all-{d}-{other}.npz")
                     best.visit(chunk["vec_id"], chunk["x"], chunk)
                 q = best.query
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(best.ids[q]), pa.array(own["version"][mine][q]), pa.array(best.other), pa.array(np.sqrt(best.distance) * unit)],
+                    [pa.array(best.ids[q]), pa.array(own["version"][q]), pa.array(best.other), pa.array(best.distance)],
                     ["query_id", "version", "neighbour_id", "distance"],
                 )
 
-    grid = spark.createDataFrame(cells, "dim int, chunk int, piece int, part int").repartition(max(1, min(len(cells), 1 << 14)))
-    found = grid.mapInArrow(search, schema)
+    grid = spark.range(0, cells, 1, max(1, min(cells, 1 << 14)))
+    found = written(grid.mapInArrow(search, schema), "cells", rows, path)
     best_first = Window.partitionBy("query_id", "version").orderBy("distance", "neighbour_id")
     ranked = found.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
     versions = Window.partitionBy("query_id").orderBy("version")
