@@ -1,6 +1,6 @@
 """Exact Jaccard self-join of documents' word n-gram sets, through a token-group matrix.
 
-A group holds similar documents: those with the same least tokens (a token is the hash of an n-gram, so this
+A group holds similar documents: those with the same least token (a token is the hash of an n-gram, so this
 is a min-hash, which near copies mostly share) and about the same size.  The matrix says which groups have which tokens in the union of
 their members' sets.  A document q opens group g only if |q and union(g)| can reach t |q|, which any member with
 Jaccard similarity t or more needs.
@@ -13,7 +13,7 @@ Spark's part, with every document as a query:
    order; k is a tenth of the smaller set.  The order puts hot tokens last.  Prefix tokens that occur once cannot
    meet another document and stay behind (a bitmap of fixed size tells them; as it fills up, more are sent, with
    the same result).  Where a token meets several documents, its row of the matrix is counted for each (query,
-   group), and pairs that stay below k are given up.
+   group), and pairs that stay below k, or whose sizes rule out similarity t, are given up.
 3. Groups are opened in cells: up to MEMBERS of a group's members with up to QUERIES of its queries, so however
    large a group is, a task holds one cell at a time.  In a cell the bound comes first, then overlaps with the members as
    products of 0/1 matrices.  A cell tells of each text how many documents it is linked to, and a spanning forest
@@ -45,8 +45,10 @@ TOKEN_BITS = 40  #: of a token's hash that statistics and candidates go by; a cl
 BITMAP_BITS = 28
 COUNTED = 1_000_000  #: rows of the matrix that a task counts at a time
 HOT_LIMIT = 2_000_000  #: hot tokens that tasks hold; above that ``hot`` is raised
-GROUP_TOKENS = 3  #: least tokens that members of a group share
+LONGER = 10  #: prefixes are longer than it takes to share one token by this part of a set
+GROUP_TOKENS = 1  #: least tokens that members of a group share
 MEMBERS, QUERIES = 512, 2048  #: of a group, in one cell
+KNOWN_TOKENS = 5_000_000
 
 
 def sets_of(words: Words, n: int) -> list[np.ndarray]:
@@ -73,13 +75,15 @@ def least_overlap(t: float, size: int) -> int:
 
 
 def prefix_length(t: float, size: int) -> int:
-    """Two sets of similarity t or more, a and b, share at least 1 + min(|a|, |b|) // 10 tokens of these prefixes."""
-    return min(size, size - least_overlap(t, size) + 1 + size // 10)
+    """Two sets of similarity t or more, a and b, share at least 1 + min(|a|, |b|) // LONGER tokens of these prefixes:
+    what they share elsewhere is in the rest of the one whose prefix ends first in the common order."""
+    return min(size, size - least_overlap(t, size) + 1 + size // LONGER)
 
 
-def least_shared(t: float, size: Column) -> Column:
-    """How many of its prefix tokens a set shares with any similar one, whose size is t |s| at least."""
-    return 1 + F.floor(F.ceil(size * t - 1e-9) / 10)
+def least_shared(t: float, size: Column, low: Column) -> Column:
+    """How many of its prefix tokens a set shares with any similar one in a group whose sizes are ``low`` at least;
+    the size of a similar one is t |s| at least."""
+    return F.least(1 + F.floor(F.least(size, F.greatest(low, F.ceil(size * t - 1e-9))) / LONGER), F.ceil(size * t - 1e-9))
 
 
 def _ranges(sorted_tokens: np.ndarray, parts: int) -> np.ndarray:
@@ -375,9 +379,12 @@ def join(docs: DataFrame, t: float = 0.4, n: int = 4, hot: int = 16) -> tuple[Da
     shared = sent.where("part >= 0").select("part", "tokens", "keys").groupBy("part").applyInArrow(_matrix_part, "key long, group long, shared long")
     one = sets.groupBy("entity", "key").agg(F.min("doc_id").alias("doc_id"), F.countDistinct("doc_id").alias("copies"), F.first("size").alias("size"))
     one = written(one.withColumn("group", F.shiftrightunsigned("key", 32)), "entities")
+    ranges = one.groupBy("group").agg(F.min("size").alias("low"), F.max("size").alias("high"))
     candidates = (
-        shared.groupBy("key", "group").agg(F.sum("shared").alias("shared")).join(one.drop("group"), "key")
-        .where(F.col("shared") >= least_shared(t, F.col("size"))).select("entity", "doc_id", "copies", "group")
+        shared.groupBy("key", "group").agg(F.sum("shared").alias("shared")).join(one.drop("group"), "key").join(ranges, "group")
+        .where(F.col("shared") >= least_shared(t, F.col("size"), F.col("low")))
+        .where((F.col("high") >= F.col("size") * t - 1e-9) & (F.col("low") * t - 1e-9 <= F.col("size")))
+        .select("entity", "doc_id", "copies", "group")
     )
     candidates = written(candidates, "candidates", sent)
     # different sets of one key are alike to the matrix: their groups are opened in any case
@@ -402,6 +409,8 @@ def join(docs: DataFrame, t: float = 0.4, n: int = 4, hot: int = 16) -> tuple[Da
 
     def verify(batches):
         cell, held, taken = None, Cell(), set()
+        known: dict[int, np.ndarray] = {}  # sets that this task has made, up to KNOWN_TOKENS numbers
+        room = KNOWN_TOKENS
 
         def flush():
             found = held.summary(t)
@@ -410,16 +419,27 @@ def join(docs: DataFrame, t: float = 0.4, n: int = 4, hot: int = 16) -> tuple[Da
 
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns[:6]]
-            for lo, hi, texts in encoded_chunks(batch.column(6)):
-                for i, s in zip(range(lo, hi), sets_of(Words(texts), n)):
-                    now, (entity, role, copies) = tuple(c[i] for c in columns[:3]), (c[i] for c in columns[3:])
-                    if now != cell:
-                        yield from flush()
-                        cell, held, taken = now, Cell(), set()
+            new = [i for i, e in enumerate(columns[3]) if e not in known]
+            fresh: dict[int, np.ndarray] = {}
+            for lo, hi, texts in encoded_chunks(batch.column(6).take(pa.array(new, pa.int64()))):
+                for i, s in zip(new[lo:hi], sets_of(Words(texts), n)):
                     # another row with this doc_id may have another text
-                    if entity not in taken and len(s) and np.array(set_hash(s), np.uint64).astype(np.int64) == entity:
-                        taken.add(entity)
-                        held.add(entity, s, role, copies)
+                    if len(s) and np.array(set_hash(s), np.uint64).astype(np.int64) == columns[3][i]:
+                        fresh[columns[3][i]] = s
+            for *now, entity, role, copies in zip(*columns):
+                if now != cell:
+                    yield from flush()
+                    cell, held, taken = now, Cell(), set()
+                s = known[entity] if entity in known else fresh.get(entity)
+                if s is not None and entity not in taken:
+                    taken.add(entity)
+                    held.add(entity, s, role, copies)
+            for entity, s in fresh.items():
+                if len(s) > room:
+                    known, room = {}, KNOWN_TOKENS
+                if len(s) <= room:
+                    known[entity] = s
+                    room -= len(s)
         yield from flush()
 
     found = with_text.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(verify, "entity long, root long, links long")
