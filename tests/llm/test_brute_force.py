@@ -190,29 +190,147 @@ def test_log_gamma():
     assert np.allclose(pitman_yor.log_gamma(np.array([0.5, 1, 3.3, 1e6])), [math.lgamma(v) for v in (0.5, 1, 3.3, 1e6)], atol=1e-6)
 
 
-def test_pitman_yor_model(spark, sf):
+class PlainPitmanYor:
+    """Customers at tables, seated one after the other; contexts of two words, of one, and a base distribution."""
+
+    def __init__(self, tokens, base, rng):
+        self.base, self.rng, self.theta = base, rng, [1.0, 1.0]
+        self.tables = [defaultdict(lambda: defaultdict(list)) for _ in range(2)]  # context -> dish -> sizes
+        self.tokens = tokens
+        for g in tokens:
+            self.add(0, g)
+
+    def context(self, i, g):
+        return g[:2] if i == 0 else g[1:2]
+
+    def p(self, i, g):
+        if i == 2:
+            return self.base[g[2]]
+        room = self.tables[i].get(self.context(i, g), {})
+        c, t = sum(map(sum, room.values())), sum(map(len, room.values()))
+        own = room.get(g[2], [])
+        return (sum(own) - 0.5 * len(own) + (self.theta[i] + 0.5 * t) * self.p(i + 1, g)) / (self.theta[i] + c)
+
+    def add(self, i, g):
+        if i == 2:
+            return
+        room = self.tables[i][self.context(i, g)]
+        t = sum(map(len, room.values()))
+        own = room[g[2]]
+        weights = [n - 0.5 for n in own] + [(self.theta[i] + 0.5 * t) * self.p(i + 1, g)]
+        k = self.rng.choices(range(len(weights)), weights)[0]
+        if k < len(own):
+            own[k] += 1
+        else:
+            own.append(1)
+            self.add(i + 1, g)
+
+    def remove(self, i, g):
+        if i == 2:
+            return
+        own = self.tables[i][self.context(i, g)][g[2]]
+        k = self.rng.choices(range(len(own)), own)[0]
+        own[k] -= 1
+        if not own[k]:
+            del own[k]
+            self.remove(i + 1, g)
+
+    def sweep(self):
+        for g in self.tokens:
+            self.remove(0, g)
+            self.add(0, g)
+        for i in (0, 1):
+            rooms = [(sum(map(sum, r.values())), sum(map(len, r.values()))) for r in self.tables[i].values()]
+
+            def log_p(x):
+                return sum(math.lgamma(2 * x + t) - math.lgamma(2 * x) - math.lgamma(x + c) + math.lgamma(x) for c, t in rooms if c > 1) - x
+
+            new = self.theta[i] * math.exp(self.rng.gauss(0, 0.3))
+            if math.log(1 - self.rng.random()) < log_p(new) - log_p(self.theta[i]) + math.log(new / self.theta[i]):
+                self.theta[i] = new
+
+
+def test_word_restaurants_against_a_plain_sampler():
+    rng = random.Random(9)
+    sentence = lambda: [rng.choice("abcdefgh") if rng.random() < 0.5 else "x" for _ in range(12)]
+    docs = [sentence() for _ in range(25)]
+    docs += docs[:3]  # texts that occur twice
+    grams = [[tuple((["", ""] + d)[i : i + 3]) for i in range(len(d))] for d in docs]
+    flat = [g for d in grams for g in d]
+    base = {w: 1 / (20 + 5 * i) for i, w in enumerate("abcdefghx")}
+    plain, total = PlainPitmanYor(flat, base, rng), np.zeros(len(flat))
+    for k in range(300):
+        plain.sweep()
+        if k >= 60:
+            total += [plain.p(0, g) for g in flat]
+    names = {w: i for i, w in enumerate(["", *"abcdefghx"])}
+    v, u, w = (np.array([names[g[i]] for g in flat]) for i in (1, 0, 2))
+    p = np.array([-math.log(base[g[2]]) for g in flat])
+    model, dish = pitman_yor.seated(v.astype(np.uint64), u.astype(np.uint16), w.astype(np.uint32), p, np.ones(len(flat), np.uint32))
+    own, gen = np.zeros(len(model.c[0])), np.random.default_rng(4)
+    for k in range(900):
+        model.sweep(gen)
+        if k >= 100:
+            own += model.probability(0)
+    got, expected = np.log(own / 800)[dish], np.log(total / 240)
+    at = np.cumsum([0, *map(len, docs)])
+    got, expected = (np.array([x[a:b].mean() for a, b in zip(at, at[1:])]) for x in (got, expected))
+    assert np.abs(got - expected).max() < 0.04 and np.corrcoef(got, expected)[0, 1] > 0.99
+
+
+def test_tables_are_drawn_from_their_distribution():
+    rng = np.random.default_rng(2)
+    for c, other, p, theta in ((5, 3.0, 0.2, 0.7), (16, 2.0, 0.6, 1.5), (19, 4.0, 0.3, 1.0)):
+        log_weight = [math.lgamma(2 * theta + other + t) + math.lgamma(2 * c - t) - math.lgamma(t) - math.lgamma(c - t + 1) + t * math.log(2 * p) for t in range(1, c + 1)]
+        exact = np.exp(np.array(log_weight) - max(log_weight))
+        t = np.ones(20_000)
+        for _ in range(1 if c <= pitman_yor.ENUMERATED else 40):
+            t = pitman_yor.drawn(rng, np.full(len(t), float(c)), t, np.full(len(t), other), np.full(len(t), p), theta)
+        assert np.abs(np.bincount(t.astype(int), minlength=c + 1)[1:] / len(t) - exact / exact.sum()).max() < 0.02
+
+
+def test_spelling_model(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    path, shards, root = pitman_yor.fit(docs, burn_in=4, samples=4)
+    path, shards, root, often = pitman_yor.fit(docs, 8, burn_in=4, samples=4)
     model = pitman_yor.Model(path, shards, root)
     for context in (b"the", b"\0\0\0", b"\xff\xfe\xfd", "é ".encode()):
         number = int.from_bytes(context[-3:], "big") << 8
         assert abs(np.exp(model.log_probability(np.arange(number, number + 256, dtype=np.uint32))).sum() - 1) < 1e-3
-    texts = [r.text.encode() for r in docs.select("text").collect() if r.text]
-    # one pass of prediction by the model is better than by the frequencies of bytes, and of pairs of bytes
-    strings, _, n = pitman_yor.strings_of(texts)
-    perplexity = math.exp(-model.log_probability(strings).mean())
-    single = Counter(b"".join(texts))
-    assert perplexity < 0.6 * math.exp(-sum(v / n.sum() * math.log(v / n.sum()) for v in single.values()))
-    counted = pitman_yor.count_strings(docs).collect()
-    assert sum(int(np.frombuffer(r.counts, np.int64).sum()) for r in counted) == n.sum()
-    scored = {r.doc_id: r for r in pitman_yor.score(docs, burn_in=4, samples=4).collect()}
-    assert all(r.n_bytes == len(t) for r, t in zip((scored[i] for i in sorted(scored)), (r.text.encode() for r in docs.orderBy("doc_id").collect())))
-
-
-def test_strings_of_bytes():
-    strings, bounds, n = pitman_yor.strings_of([b"abcd", b"", b"xy"])
-    assert [int(s).to_bytes(4, "big") for s in strings] == [b"\0\0\0a", b"\0\0ab", b"\0abc", b"abcd", b"\0\0\0x", b"\0\0xy"]
-    assert bounds.tolist() == [0, 4, 4, 6] and n.tolist() == [4, 0, 2]
+    words = Counter(w.encode() for r in docs.select("text").collect() for w in r.text.lower().split())
+    assert often == {int(Words([w]).hashes[0]): n for w, n in words.items() if int(Words([w]).hashes[0]) in often} and max(words.values()) in often.values()
+    some = Words([b" ".join(words)])
+    strings, first = pitman_yor.strings_of(some, np.arange(len(some.hashes)))
+    log_p = np.add.reduceat(model.log_probability(strings), first)
+    n = np.array(list(words.values()))
+    # better than bytes by themselves
+    single = Counter(b for w, k in words.items() for b in (w + b" ") * k)
+    total = sum(single.values())
+    plain = -sum(v / total * math.log(v / total) for v in single.values())
+    assert -(log_p * n).sum() / total < 0.8 * plain
+
+
+def test_strings_of_words():
+    words = Words([b"abcd", b"", b"xy \n z"])
+    strings, first = pitman_yor.strings_of(words, np.array([0, 1, 2]))
+    assert [int(s).to_bytes(4, "big") for s in strings] == [b"\0\0\0a", b"\0\0ab", b"\0abc", b"abcd", b"bcd ", b"\0\0\0x", b"\0\0xy", b"\0xy ", b"\0\0\0z", b"\0\0z "]
+    assert first.tolist() == [0, 5, 8]
+
+
+def test_scores_tell_repeated_texts_apart(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda: rng.choice(["the", "of", "and", *(f"w{rng.randrange(4000)}" for _ in range(3))])
+    once = [" ".join(word() for _ in range(80)) for _ in range(150)]
+    twice = [" ".join(word() for _ in range(80)) for _ in range(20)]
+    docs = _docs(spark, [*once, *twice, *twice])
+    scored = {r.doc_id: r for r in pitman_yor.score(docs).collect()}
+    ppl = [scored[i].perplexity for i in range(len(scored))]
+    assert max(ppl[150:]) < min(ppl[:150]) and all(scored[i].n_words == 80 for i in scored)
+    assert np.allclose(ppl[150:170], ppl[170:], rtol=1e-4)
+    # the same in several blocks and shards, up to sampling
+    for name, value in (("SENT_WORDS", 500), ("SHARD_BYTES", 3000)):
+        monkeypatch.setattr(pitman_yor, name, value)
+    again = {r.doc_id: r.perplexity for r in pitman_yor.score(docs).collect()}
+    assert np.corrcoef(np.log(ppl), np.log([again[i] for i in range(len(ppl))]))[0, 1] > 0.97
 
 
 class PlainKneserNey:

@@ -103,7 +103,7 @@ def test_licences(docs, spark):
 def test_pitman_yor(docs):
     rows = pitman_yor.score(docs, burn_in=2, samples=2).collect()
     assert len(rows) == len(ROWS)
-    assert all((r.perplexity is None) == (r.n_bytes == 0) for r in rows)
+    assert all((r.perplexity is None) == (r.n_words == 0) for r in rows) and max(r.n_words for r in rows) == 60_000
     assert len({r.perplexity for r in rows if r.doc_id in (1, 10)}) == 1
 
 
