@@ -39,11 +39,15 @@ STAGES = [
     ("packing", _packing),
 ]
 
-#: A perplexity threshold is not expressible in SQL: tests/llm/test_pipeline.py checks run() by brute force.
+#: A perplexity threshold is not expressible in SQL: tests/llm/test_brute_force.py checks run() by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packs of the last stage.  Nulls, empty and very long texts, ties and repeated rows, empty tables and extra
+    columns have in each stage the result that its operator states: documents without words are rejected by the
+    first stage, rows without doc_id pass the others as they are, a null language is one of its own, extra columns are
+    carried up to the last stage, and an empty table gives no packs."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))

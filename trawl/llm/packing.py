@@ -4,9 +4,9 @@ Every document becomes a hashed bag-of-words vector, is projected to a few dimen
 place on a Hilbert curve through them.  Documents, range-sorted by that key, are laid end to end and the line is
 cut every ``capacity`` words, so each pack holds neighbours of the curve and only the last pack is not full.
 
-The place of a document on the line is a prefix sum, taken in two levels: over the buckets of the key's leading
-bits, and within a bucket.  So the packs do not depend on how the data are partitioned, and no task sees more
-than a bucket's (key, id, length) rows; texts are never shuffled.
+The place of a document on the line is a prefix sum, taken in two levels: over ranges of about equally many
+documents, and within a range.  Ranges are of (key, doc_id, length), so one key that very many documents have is
+split like any other; no task sees more than a range's (key, id, length) rows; texts are never shuffled.
 
 Defined results: a null text, or one without words, has nothing to pack and is in no pack; a text longer than a
 pack runs on over several; equal keys follow by doc_id (nulls first); repeated rows are packed as often as they
@@ -88,18 +88,24 @@ def place(docs: DataFrame, dims: int = 4, bits: int = 12) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key long, n_words long")
 
 
-def pack(docs: DataFrame, capacity: int = 2048, dims: int = 4, bits: int = 12, bucket_bits: int = 14) -> DataFrame:
+#: Documents of a range.
+RANGE_ROWS = 1 << 19
+
+
+def pack(docs: DataFrame, capacity: int = 2048, dims: int = 4, bits: int = 12) -> DataFrame:
     """Packs of ``capacity`` words: (pack_id, n_words, doc_ids, starts, lengths), the last three being parallel
     arrays: words [start, start + length) of that document, in the order of the curve."""
-    placed = written(place(docs, dims, bits).where("n_words > 0"), "placed").withColumn("bucket", F.shiftright("key", dims * bits - bucket_bits))
-    # at most 2^bucket_bits rows, whatever the input
+    placed = written(place(docs, dims, bits).where("n_words > 0"), "placed")
+    ranges = max(8, -(-placed.count() // RANGE_ROWS))
+    order = ["key", "doc_id", "n_words"]
+    placed = written(placed.repartitionByRange(ranges, *order).withColumn("bucket", F.spark_partition_id()), "line", placed)
+    # a row for each range
     before = placed.groupBy("bucket").agg(F.sum("n_words").alias("n")).withColumn(
         "base", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
-    line = Window.partitionBy("bucket").orderBy("key", "doc_id", "n_words").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     at = (
-        placed.repartitionByRange("bucket")
-        .withColumn("inner", F.coalesce(F.sum("n_words").over(line), F.lit(0)))
+        placed.withColumn("inner", F.coalesce(F.sum("n_words").over(line), F.lit(0)))
         .join(F.broadcast(before.select("bucket", "base")), "bucket")
         .withColumn("offset", F.col("base") + F.col("inner"))
     )

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawl.llm._store import written
+from trawl.llm._store import broadcast_if_small, written
 from trawl.llm._text import Words, encoded_chunks, input_parts, pack_sorted, text_chunks, unpack_sorted, window_hashes
 
 OCCURRENCE = "doc_id long, text_hash long, start_word long, end_word long, first_doc_id long, first_start_word long"
@@ -217,7 +217,10 @@ def occurrences(docs: DataFrame, window: int = 50) -> DataFrame:
                 schema = pa.schema([(c, pa.int64()) for c in ("owner_id", "owner_hash", "doc_id", "text_hash", "start")] + [("words", pa.binary()), ("phrases", pa.binary())])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 7, schema)], schema=schema)
 
-    with_seeds = base.join(per_doc, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "seeds")
+    # texts of documents without recurring phrases stay where they are
+    ids = written(per_doc.select("doc_id", "text_hash"), "seeded")
+    seeded = base.join(broadcast_if_small(ids), ["doc_id", "text_hash"], "left_semi")
+    with_seeds = seeded.join(per_doc, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "seeds")
     excerpts = with_seeds.mapInArrow(cut, "owner_id long, owner_hash long, doc_id long, text_hash long, start long, words binary, phrases binary")
     excerpts = excerpts.repartition("owner_id", "owner_hash").sortWithinPartitions("owner_id", "owner_hash", "doc_id", "text_hash", "start")
 
@@ -261,10 +264,15 @@ def remove(docs: DataFrame, window: int = 50) -> DataFrame:
     """``docs`` without the passages that occur earlier; what stands first stays.  Removed words go with the white
     space after them, n_chars (if there is such a column) is counted anew, and a document of which no word is left
     is dropped."""
-    spans = written(occurrences(docs, window), "occurrences").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    spans = occurrences(docs, window).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    spans = written(spans, "spans")
     names = docs.columns
     keyed = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
-    joined = keyed.join(spans, ["doc_id", "text_hash"], "left").select(*[f"c{i}" for i in range(len(names))], "spans")
+    ids = broadcast_if_small(written(spans.select("doc_id", "text_hash"), "marked"))
+    # documents without such passages pass by
+    others = keyed.join(ids, ["doc_id", "text_hash"], "left_anti").select(*[f"c{i}" for i in range(len(names))])
+    marked = keyed.join(ids, ["doc_id", "text_hash"], "left_semi").join(spans, ["doc_id", "text_hash"])
+    joined = marked.select(*[f"c{i}" for i in range(len(names))], "spans")
     text_at = names.index("text")
 
     def clean(batches):
@@ -298,4 +306,4 @@ def remove(docs: DataFrame, window: int = 50) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(names))]).filter(pa.array(keep))
 
     schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)])
-    return joined.mapInArrow(clean, schema).toDF(*names)
+    return joined.mapInArrow(clean, schema).unionByName(others).toDF(*names)
