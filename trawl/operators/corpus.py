@@ -28,6 +28,12 @@ class Corpus:
     occurrences: DataFrame
     encoding: Encoding = field(default_factory=Encoding)
     postings: DataFrame | None = None
+    #: occurrences of candidates (chunk_id, ...), where there is a better way than joining them with ``occurrences``
+    fetch: Callable[[DataFrame], DataFrame] | None = None
+    #: chunk_id of the chunks that postings still count for, if not all
+    live: DataFrame | None = None
+    #: (total_chunks, total_tokens), if stored
+    stored_stats: DataFrame | None = None
 
     @staticmethod
     def of(occurrences: DataFrame, encoding: Encoding | None = None) -> Corpus:
@@ -40,8 +46,17 @@ class Corpus:
         return Corpus(occurrences.where("content is not null").select(*chosen, ids.alias("chunk_id")), encoding or Encoding())
 
     def union(self, other: Corpus) -> Corpus:
-        both = self.postings.unionByName(other.with_postings().postings) if self.postings is not None else None
-        return replace(self, occurrences=self.occurrences.unionByName(other.occurrences), postings=both)
+        if self.postings is None:
+            return replace(self, occurrences=self.occurrences.unionByName(other.occurrences))
+        both = self.postings.unionByName(other.with_postings().postings)
+        # a chunk of both has postings of both
+        one = both.groupBy("trigram", "chunk_id").agg(F.max("tf").alias("tf"))
+        live = None if self.live is None else self.live.unionByName(other.occurrences.select("chunk_id"))
+        fetch = lambda candidates: self.occurrences_of(candidates).unionByName(other.occurrences_of(candidates))
+        return replace(self, occurrences=self.occurrences.unionByName(other.occurrences), postings=one, live=live, fetch=fetch, stored_stats=None)
+
+    def occurrences_of(self, candidates: DataFrame) -> DataFrame:
+        return self.fetch(candidates) if self.fetch else self.occurrences.join(candidates, "chunk_id")
 
     @property
     def chunks(self) -> DataFrame:
@@ -83,18 +98,38 @@ class Corpus:
 
     def stats(self) -> DataFrame:
         """(total_chunks, total_tokens) over distinct contents; only hashes and counts are shuffled."""
+        if self.stored_stats is not None:
+            return self.stored_stats
         one = self.occurrences.select("chunk_id", F.size(tokens(F.col("content"))).alias("n")).groupBy("chunk_id").agg(F.first("n").alias("n"))
         return one.agg(F.count("*").alias("total_chunks"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_tokens"))
 
+    def _found(self, trigrams: list[int]) -> DataFrame:
+        rows = self.postings.where(F.col("trigram").isin(trigrams))
+        rows = rows if self.live is None else rows.join(self.live, "chunk_id", "left_semi")
+        return rows.groupBy("trigram").agg(F.count("*").alias("df"))
+
+    def counts(self, trigrams: list[int]) -> tuple[list[tuple[int, int]], int, int]:
+        """(trigram, df) of each trigram, the number of chunks and of their tokens; text is scanned once."""
+        asked = list(dict.fromkeys(trigrams))
+        if self.postings is not None:
+            found = {r.trigram: r.df for r in self._found(asked).collect()}
+            return [(t, found.get(t, 0)) for t in asked], *self.stats().first()
+        hits = has_trigrams(self.encoding, F.col("content"), asked)
+        rows = self.occurrences.select("chunk_id", F.size(tokens(F.col("content"))).alias("n"), *[h.cast("int").alias(f"h{i}") for i, h in enumerate(hits)])
+        names = ["n", *(f"h{i}" for i in range(len(asked)))]
+        one = rows.groupBy("chunk_id").agg(*[F.max(c).alias(c) for c in names])
+        r = one.agg(F.count("*").alias("total"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
+        return [(t, r[f"h{i}"]) for i, t in enumerate(asked)], r.total, r.n
+
     def frequencies(self, trigrams: list[int]) -> DataFrame:
         """(trigram, df) of each trigram asked for, 0 included."""
         spark = self.occurrences.sparkSession
         asked = spark.createDataFrame([(i, t) for i, t in enumerate(dict.fromkeys(trigrams))], "i int, trigram int")
         if self.postings is not None:
-            found = self.postings.where(F.col("trigram").isin(trigrams)).groupBy("trigram").agg(F.count("*").alias("df"))
+            found = self._found(trigrams)
         else:
-            text = self.encoding.byte_string(F.col("content"))
-            hits = let(text, lambda b: F.array_compact(F.array(*[F.when(F.contains(b, F.lit(latin(t))), t) for t in dict.fromkeys(trigrams)])))
+            distinct = list(dict.fromkeys(trigrams))
+            hits = F.array_compact(F.array(*[F.when(h, t) for t, h in zip(distinct, has_trigrams(self.encoding, F.col("content"), distinct))]))
             one = self.occurrences.select("chunk_id", hits.alias("hits")).where(F.size("hits") > 0).groupBy("chunk_id").agg(F.first("hits").alias("hits"))
             found = one.select(F.explode("hits").alias("trigram")).groupBy("trigram").agg(F.count("*").alias("df"))
         # as many rows as the query has trigrams
@@ -105,6 +140,58 @@ def latin(trigram: int) -> str:
     return trigram.to_bytes(3, "big").decode("latin-1")
 
 
+_BLANK = "[ \\t\\n\\r]"
+
+
+def _direct_pattern(encoding: Encoding, trigram: int) -> tuple[str, str] | None:
+    """("text", characters) or ("pattern", regular expression) that the trigram's places in the encoded bytes have in the
+    text itself; None if there is no such simple form.  A zero byte stands for a run of blanks, or for a zero."""
+    g = latin(trigram)
+    if encoding.case_insensitive or encoding.aliases or not g.isascii() or "\0\0" in g:
+        return None
+    if "\0" not in g:
+        return "text", g
+    parts = []
+    for i, c in enumerate(g):
+        if c != "\0":
+            parts.append(f"\\x{ord(c):02x}")
+        elif i == 0:  # blanks at the start of a text are no byte
+            parts.append(f"(?:(?<=[^ \\t\\n\\r]){_BLANK}+|\\x00)")
+        elif i == 2:
+            parts.append("[ \\t\\n\\r\\x00]")
+        else:
+            parts.append(f"(?:{_BLANK}+|\\x00)")
+    return "pattern", "".join(parts)
+
+
+def has_trigrams(encoding: Encoding, content: Column, trigrams: list[int]) -> list[Column]:
+    """For each trigram, whether the content has it.  Most are looked for in the text as it is, in generated code; the
+    rest in its bytes."""
+    data = encoding.byte_string(content)
+    out = []
+    for t in trigrams:
+        kind, what = _direct_pattern(encoding, t) or ("bytes", latin(t))
+        out.append(content.rlike(what) if kind == "pattern" else F.contains(content if kind == "text" else data, F.lit(what)))
+    return out
+
+
+def count_trigrams(encoding: Encoding, content: Column, trigrams: list[int]) -> Column:
+    """An array of how often the content has each trigram, overlaps included."""
+    direct = [_direct_pattern(encoding, t) for t in trigrams]
+    if any(d is None for d in direct):
+        return let(encoding.byte_string(content), lambda b: F.array(*[occurrences_in(b, t) for t in trigrams]))
+    return F.array(*[occurrences_in(content, t) if kind == "text" else F.regexp_count(content, F.lit(_overlapping(what))) for t, (kind, what) in zip(trigrams, direct)])
+
+
+def _overlapping(pattern: str) -> str:
+    """So that a match takes no characters: what is before the first blank may end another match."""
+    head = f"(?:(?<=[^ \\t\\n\\r]){_BLANK}+|\\x00)"
+    if not pattern.startswith(head):
+        return f"(?={pattern})"
+    rest = pattern[len(head) :]
+    return f"(?<=[^ \\t\\n\\r])(?={_BLANK}+{rest})|(?=\\x00{rest})"
+
+
 def occurrences_in(text: Column, trigram: int) -> Column:
     """How often a trigram occurs in a byte string, overlaps included."""
     g = latin(trigram)

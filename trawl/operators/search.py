@@ -16,11 +16,13 @@ from pyspark.sql.window import Window
 
 from trawl.functions.patterns import Need, needed_trigrams, to_java
 from trawl.functions.text import lowered, pair_get, parse_terms, simple_lower, tokens
-from trawl.operators.corpus import Corpus, latin, let, occurrences_in
+from trawl.operators.corpus import Corpus, count_trigrams, has_trigrams, let
 from trawl.plans.options import Options
 
 RESULT = ["path", "location", "score", "file_id", "chunk_id"]
 K1, B = 1.2, 0.75
+#: Candidates that are broadcast at most, about 100 bytes each.
+FEW_CANDIDATES = 50_000
 
 
 @dataclass(frozen=True)
@@ -38,9 +40,7 @@ class Query:
         by_term = [list(dict.fromkeys(corpus.encoding.trigrams(t))) for t in terms]
         active = list(dict.fromkeys(t for ts in by_term for t in ts))
         if options.trigram_filter and active:
-            # as many rows as the query has trigrams
-            found = [(r.trigram, r.df) for r in corpus.frequencies(active).collect()]
-            total = corpus.stats().first().total_chunks
+            found, total, _ = corpus.counts(active)
             active = [t for t, _ in options.trigram_filter(found, total)]
         return Query(terms, by_term, active)
 
@@ -75,11 +75,14 @@ def _matching(corpus: Corpus, trigrams: list[int], condition: Callable[[Callable
         per_chunk = found.agg(*[F.max(F.when(F.col("trigram") == t, F.col("tf"))).alias(f"_t{i}") for i, t in enumerate(trigrams)])
         per_chunk = per_chunk.where(condition(lambda t: F.col(f"_t{place[t]}").isNotNull()))
         per_chunk = per_chunk.select("chunk_id", F.array(*[F.coalesce(f"_t{i}", F.lit(0)) for i in range(len(trigrams))]).alias("_tf"))
-        return corpus.occurrences.join(per_chunk, "chunk_id"), lambda t: F.col("_tf")[place[t]]
-    text = corpus.encoding.byte_string(F.col("content"))
-    rows = corpus.occurrences.where(let(text, lambda b: condition(lambda t: F.contains(b, F.lit(latin(t))))))
-    each = (lambda b: F.array(*[occurrences_in(b, t) for t in trigrams])) if counts else (lambda b: F.array(*[F.contains(b, F.lit(latin(t))).cast("int") for t in trigrams]))
-    return rows.withColumn("_tf", let(text, each)), lambda t: F.col("_tf")[place[t]]
+        # candidates first: what is stored of other chunks is not shuffled
+        if corpus.fetch and per_chunk.limit(FEW_CANDIDATES + 1).count() <= FEW_CANDIDATES:
+            per_chunk = F.broadcast(per_chunk)
+        return corpus.occurrences_of(per_chunk), lambda t: F.col("_tf")[place[t]]
+    has = has_trigrams(corpus.encoding, F.col("content"), trigrams)
+    rows = corpus.occurrences.where(condition(lambda t: has[place[t]]))
+    each = count_trigrams(corpus.encoding, F.col("content"), trigrams) if counts else F.array(*[h.cast("int") for h in has])
+    return rows.withColumn("_tf", each), lambda t: F.col("_tf")[place[t]]
 
 
 def _sum(parts: list[Column]) -> Column:
@@ -123,8 +126,7 @@ def _score(corpus: Corpus, query: Query, scoring: str | Callable[..., Column], t
         met = [_all([tf(t) > 0 for t in ts]) for ts in query.by_term if ts]
         return _sum([F.when(m, 1.0).otherwise(0.0) for m in met]) / max(len(query.terms), 1)
     if scoring == "bm25":
-        frequencies = [(r.trigram, r.df) for r in corpus.frequencies(query.active).collect()]
-        return bm25(frequencies, *corpus.stats().first())(active, n)
+        return bm25(*corpus.counts(query.active))(active, n)
     raise ValueError(f"no scoring {scoring!r}")
 
 
@@ -137,8 +139,9 @@ def _chunk_filters(rows: DataFrame, options: Options) -> DataFrame:
     that has it."""
     if options.after is None and options.before is None and not options.chunk_filters:
         return rows
-    chunk = Window.partitionBy("chunk_id")
-    rows = rows.withColumn("_first", F.min_by(F.struct("attrs", "mod_time_ns"), F.struct("file_id", "pos")).over(chunk)).withColumn("attrs", F.col("_first.attrs"))
+    # aggregated before it is shuffled: a chunk may be in very many files
+    first = rows.groupBy("chunk_id").agg(F.min_by(F.struct("attrs", "mod_time_ns"), F.struct("file_id", "pos")).alias("_first"))
+    rows = rows.join(first, "chunk_id").withColumn("attrs", F.col("_first.attrs"))
     time = F.coalesce(F.try_to_number(pair_get(F.col("attrs"), "timestamp"), F.lit("S9999999999999999999")).cast("long"), F.col("_first.mod_time_ns"), F.lit(0))
     if options.after is not None:
         rows = rows.where(time >= options.after)
@@ -259,10 +262,24 @@ def search_fuzzy(corpus: Corpus, text: str, k: int = 20, options: Options | None
     if not query.active:
         return _nothing(corpus)
     base = Corpus(corpus.occurrences.where("not is_tmp"), corpus.encoding, corpus.postings) if options.no_tmp else corpus
+    if base.postings is not None:
+        # the best are found in the postings alone
+        per_chunk = base.postings.where(F.col("trigram").isin(query.active))
+        per_chunk = per_chunk if base.live is None else per_chunk.join(base.live, "chunk_id", "left_semi")
+        per_chunk = per_chunk.groupBy("chunk_id").agg(F.count_distinct("trigram").alias("n"))
+        if options.no_tmp:
+            per_chunk = per_chunk.join(base.occurrences.select("chunk_id"), "chunk_id", "left_semi")
+        best = per_chunk.orderBy(F.desc("n"), "chunk_id").limit(k)
+        rows = base.occurrences_of(F.broadcast(best)).withColumn("score", F.col("n") / len(query.active))
+        rows = _text_filters(_chunk_filters(rows, options), options, query.terms)
+        rows = _resolved(_file_filters(rows, options), ["score"], ["content"] if options.proximity else None)
+        return _ordered(_reranked(rows, query.terms, options.proximity)).limit(k)
     rows, tf = _matching(base, query.active, lambda has: _any([has(t) for t in query.active]), False)
     rows = rows.withColumn("score", _score(base, query, "coverage", tf))
-    best = rows.groupBy("chunk_id").agg(F.max("score").alias("s")).orderBy(F.desc("s"), "chunk_id").limit(k).select("chunk_id")
-    rows = rows.join(best, "chunk_id", "left_semi")
+    # k rows; the least score spares hashing the chunks below it
+    best = rows.groupBy("chunk_id").agg(F.max("score").alias("s")).orderBy(F.desc("s"), "chunk_id").limit(k).collect()
+    least = min((r.s for r in best), default=0.0)
+    rows = rows.where((F.col("score") >= least) & F.col("chunk_id").isin([r.chunk_id for r in best]))
     rows = _text_filters(_chunk_filters(rows, options), options, query.terms)
     rows = _resolved(_file_filters(rows, options), ["score"], ["content"] if options.proximity else None)
     return _ordered(_reranked(rows, query.terms, options.proximity)).limit(k)
