@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trawl.cli import main
-from trawl.database import AlreadyIndexedError, AppendBoundaryError, Database, NoChunksError
+from trawl.database import AbortedError, AlreadyIndexedError, AppendBoundaryError, Database, NoChunksError
 from trawl.operators.chunkers import Chunker, lines
 from trawl.plans.options import Options
 from trawl.sources.files import read_files
@@ -118,3 +118,85 @@ def test_streams(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert places(db.search("two")) == [("a", "2-2"), ("b", "1-1")]
+
+
+def test_append_keeps_the_file(db, spark):
+    before = db.file("a").first()
+    assert db.append("a", "").all_chunks is None and db.manifest["number"] == 2
+    change = db.append("a", "more\nLicense")
+    assert db.file("a").first() == before and [r.content for r in change.new_chunks.orderBy("content").collect()] == ["License", "more\n"]
+    # the last line is completed: its old chunk goes
+    change = db.append("a", " end\n", content_hash="h", file_length=99)
+    assert [r.content for r in change.orphaned_chunks.collect()] == ["License"]
+    now = db.file("a").first()
+    assert (now.file_id, now.content_hash, now.file_length, now.mod_time_ns) == (before.file_id, "h", 99, before.mod_time_ns)
+    assert places(db.search("License", Options(only=(frozenset([before.file_id]),)))) == [("a", "4-4")]
+    db.set_file_length("a", 7)
+    assert db.file("a").first().file_id == before.file_id and db.file("a").first().file_length == 7
+    counts = {r.table: r.n_rows for r in db.record_counts().collect()}
+    db.compact()
+    assert {r.table: r.n_rows for r in db.record_counts().collect()} == counts and counts["occurrences"] == 6
+    assert places(Database.open(spark, db.root).search("License")) == [("a", "4-4")]
+
+
+def test_a_change_that_is_not_agreed_to(db, spark):
+    seen = []
+
+    def agree(change):
+        seen.append(sorted(r.content for r in change.all_chunks.collect()))
+        return False
+
+    with pytest.raises(AbortedError):
+        db.add(spark.createDataFrame([("c", "x1\nbanana split\n", 1)], FILES), agree=agree)
+    assert seen == [["banana split\n", "x1\n"]] and db.files.count() == 2
+    with pytest.raises(AbortedError):
+        db.reindex(spark.createDataFrame([("a", "x1\n", 1)], FILES), agree=agree)
+    assert places(db.search("apple")) == [("a", "1-1")]
+
+
+def test_attributes_of_chunks(db, spark):
+    def stamped(data):
+        at = 0
+        for i, line in enumerate(data.split(b"\n")):
+            yield f"{i + 1}-{i + 1}", at, at + len(line), [("timestamp", str(1000 * (i + 1)))]
+            at += len(line) + 1
+
+    db.add_chunker("stamped", stamped)
+    db.add(spark.createDataFrame([("t", "plum one\nplum two\nplum three", 5)], FILES), "stamped")
+    assert places(db.search("plum", Options(after=2000))) == [("t", "2-2"), ("t", "3-3")]
+    assert places(db.search("plum", Options(before=2000))) == [("t", "1-1")]
+    assert places(db.search("banana", Options(after=6))) == [("b", "1-1")] or places(db.search("banana", Options(after=6))) == []
+
+
+def test_forks_and_windows(db, spark):
+    other = db.fork(db.root + "-fork")
+    other.remove("a")
+    assert places(db.search("apple")) == [("a", "1-1")] and places(other.search("apple")) == []
+    db.add(spark.createDataFrame([("w", "l1 fig\nl2\nl3\n", 5)], FILES), "lines-2-1")
+    assert [(r.location, r.content) for r in db.get_chunks("w", "1-2", 0, 9).collect()] == [("1-2", "l1 fig\nl2\n"), ("2-3", "l2\nl3\n"), ("3-3", "l3\n")]
+
+
+def test_staleness_of_paths(spark, tmp_path):
+    for name in "xyz":
+        (tmp_path / "files").mkdir(exist_ok=True)
+        (tmp_path / "files" / name).write_text(f"{name} text\n")
+    folder = str(tmp_path / "files")
+    d = Database.create(spark, f"file://{tmp_path}/db")
+    d.add_paths(folder)
+    status = lambda: {r.path[-1]: r.status for r in d.check_paths(folder).collect()}
+    assert status() == dict.fromkeys("xyz", "fresh")
+    (tmp_path / "files" / "x").unlink()
+    (tmp_path / "files" / "y").write_text("changed\n")
+    (tmp_path / "files" / "z").write_text("z text\n")  # another time, the same text
+    assert status() == {"x": "missing", "y": "stale", "z": "fresh"}
+    assert {r.path[-1]: r.status for r in d.staleness(d.list_paths(folder)).collect()}["x"] == "missing"
+    d.refresh_paths(folder)
+    assert status()["y"] == "fresh" and len(places(d.search("changed"))) == 1
+
+
+def test_temporary_files_after_a_line(db):
+    db.add_tmp("tmp://x", "one\ntwo")
+    db.append_tmp("tmp://x", "s\nthree\n")
+    assert [r.content for r in db.get_chunks("tmp://x", "1-1", 0, 9).collect()] == ["one\n", "twos\n", "three\n"]
+    db.append_tmp("tmp://x", "far\n", base_line=10)
+    assert db.get_chunks("tmp://x", "11-11").first().content == "far\n"

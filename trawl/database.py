@@ -1,10 +1,12 @@
 """A searchable set of files that grows and shrinks.
 
 Everything is stored as Parquet in immutable segments: ``files`` (file_id, path, mod_time_ns, content_hash,
-file_length, strategy), ``occurrences`` (file_id, pos, chunk_id, location, byte_start, byte_end, attrs), ``chunks``
-(chunk_id, content; a content is stored once), ``postings`` (trigram, chunk_id, tf; sorted by trigram), and ``removed``
-(file_id).  A manifest names the segments that count; a new one is the last step of a change, so a change that fails has no
-effect.  Chunk ids are hashes of contents: unchanged contents keep theirs whatever happens to files.
+file_length, strategy, version), ``occurrences`` (file_id, pos, chunk_id, location, byte_start, byte_end, attrs, version),
+``chunks`` (chunk_id, content, n_tokens; a content is stored once), ``postings`` (trigram, chunk_id, tf; sorted by
+trigram), and what has gone: ``removed`` (file_id) and ``dropped`` (file_id, pos, version: what is older at that place).
+Of several rows of one file the latest version counts.  A manifest names the segments that count; a new one is the last
+step of a change, so a change that fails has no effect.  Chunk ids are hashes of contents: unchanged contents keep
+theirs whatever happens to files.  compact() writes what is alive as one segment.
 """
 
 from __future__ import annotations
@@ -25,13 +27,14 @@ from trawl.operators.corpus import ATTRS, COLUMNS, Corpus
 from trawl.plans.options import Options
 from trawl.sources.files import chunked_by_command, list_files, read_files, valid_text
 
-VERSION = "2"
+VERSION = "3"
 SCHEMAS = {
-    "files": "file_id long, path string, mod_time_ns long, content_hash string, file_length long, strategy string",
-    "occurrences": f"file_id long, pos int, chunk_id string, location string, byte_start int, byte_end int, attrs {ATTRS}",
-    "chunks": "chunk_id string, content string",
+    "files": "file_id long, path string, mod_time_ns long, content_hash string, file_length long, strategy string, version long",
+    "occurrences": f"file_id long, pos int, chunk_id string, location string, byte_start int, byte_end int, attrs {ATTRS}, version long",
+    "chunks": "chunk_id string, content string, n_tokens long",
     "postings": "trigram int, chunk_id string, tf int",
     "removed": "file_id long",
+    "dropped": "file_id long, pos int, version long",
 }
 
 
@@ -47,12 +50,17 @@ class AppendBoundaryError(ValueError):
     pass
 
 
+class AbortedError(RuntimeError):
+    """A callback did not agree to a change."""
+
+
 @dataclass(frozen=True)
 class Change:
-    """What a change did: file_ids of new files; chunks (chunk_id, content) of theirs that were not there before; those
-    that no file has any more."""
+    """What a change did: file_ids of new files; all chunks (file_id, pos, chunk_id, location, content) of theirs; chunks
+    (chunk_id, content) that were not there before; those that no file has any more."""
 
     file_ids: DataFrame | None = None
+    all_chunks: DataFrame | None = None
     new_chunks: DataFrame | None = None
     orphaned_chunks: DataFrame | None = None
 
@@ -85,7 +93,7 @@ class Database:
     @classmethod
     def create(cls, spark: SparkSession, root: str, case_insensitive: bool = False, aliases: dict[str, str] | None = None) -> Database:
         Encoding(case_insensitive, aliases or {})
-        db = cls(spark, root, {"version": VERSION, "case_insensitive": case_insensitive, "aliases": aliases or {}, "commands": {}, "number": 0, "next_file_id": 1, "segments": {k: [] for k in SCHEMAS}})
+        db = cls(spark, root, {"version": VERSION, "case_insensitive": case_insensitive, "aliases": aliases or {}, "commands": {}, "number": 0, "next_file_id": 1, "renewed": False, "segments": {k: [] for k in SCHEMAS}})
         fs, p = cls._file(spark, f"{db.root}/manifests")
         if fs.exists(p):
             raise FileExistsError(root)
@@ -113,6 +121,14 @@ class Database:
             raise RuntimeError(f"{self.root} was changed by another writer")
         self.manifest = manifest
 
+    def fork(self, root: str) -> Database:
+        """A database of its own at ``root`` that shares the segments so far; either may change without the other."""
+        segments = {k: [x if "/" in x else f"{self.root}/{k}/{x}" for x in v] for k, v in self.manifest["segments"].items()}
+        other = Database(self.spark, root, self.manifest | {"segments": segments})
+        other.registry = replace(self.registry, own=dict(self.registry.own), commands=dict(self.registry.commands))
+        other._commit({})
+        return other
+
     def copy(self) -> Database:
         """A handle on the state as it is now; changes through one are not seen by the other."""
         other = Database(self.spark, self.root, json.loads(json.dumps(self.manifest)))
@@ -147,32 +163,53 @@ class Database:
 
     # ---- tables
 
+    def _has(self, table: str) -> bool:
+        return bool(self.manifest["segments"][table])
+
     def _stored(self, table: str) -> DataFrame:
-        paths = [f"{self.root}/{table}/{s}" for s in self.manifest["segments"][table]]
+        paths = [s if "/" in s else f"{self.root}/{table}/{s}" for s in self.manifest["segments"][table]]
         return self.spark.read.schema(SCHEMAS[table]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[table])
 
-    def _live(self, table: str) -> DataFrame:
-        rows = self._stored(table)
-        return rows.join(self._stored("removed"), "file_id", "left_anti") if self.manifest["segments"]["removed"] else rows
+    def _alive(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self._stored("removed"), "file_id", "left_anti") if self._has("removed") else rows
 
     @property
     def files(self) -> DataFrame:
-        return self._live("files")
+        rows = self._stored("files")
+        if self.manifest["renewed"]:
+            names = rows.columns
+            rows = rows.groupBy("file_id").agg(F.max_by(F.struct(*names), "version").alias("r")).select("r.*")
+        return self._alive(rows).drop("version")
+
+    def _living(self, rows: DataFrame) -> DataFrame:
+        """Of stored occurrences, those that count."""
+        rows = self._alive(rows)
+        if self._has("dropped"):
+            gone = self._stored("dropped").groupBy("file_id", "pos").agg(F.max("version").alias("_until"))
+            rows = rows.join(gone, ["file_id", "pos"], "left").where("_until is null or version >= _until").drop("_until")
+        return rows
 
     @property
     def occurrences(self) -> DataFrame:
-        return self._live("occurrences")
+        return self._living(self._stored("occurrences")).drop("version")
+
+    @property
+    def _all_live(self) -> bool:
+        return not self._has("removed") and not self._has("dropped")
 
     @property
     def chunks(self) -> DataFrame:
         """(chunk_id, content) that some file has."""
+        return self._live_chunks().select("chunk_id", "content")
+
+    def _live_chunks(self) -> DataFrame:
         rows = self._stored("chunks")
-        return rows.join(self.occurrences, "chunk_id", "left_semi") if self.manifest["segments"]["removed"] else rows
+        return rows if self._all_live else rows.join(self.occurrences.select("chunk_id"), "chunk_id", "left_semi")
 
     @property
     def postings(self) -> DataFrame:
         rows = self._stored("postings")
-        return rows.join(self.occurrences, "chunk_id", "left_semi") if self.manifest["segments"]["removed"] else rows
+        return rows if self._all_live else rows.join(self.occurrences.select("chunk_id"), "chunk_id", "left_semi")
 
     def file(self, path: str) -> DataFrame:
         return self.files.where(F.col("path") == path)
@@ -222,8 +259,9 @@ class Database:
             return rows.select("path", "pos", "location", F.lit(None).cast("int").alias("byte_start"), F.lit(None).cast("int").alias("byte_end"), "content", F.array().cast(ATTRS).alias("attrs"))
         chunker = self.registry.get(strategy)
         attrs = F.col("attrs") if "attrs" in files.columns else F.array()
-        rows = files.select("path", attrs.cast(ATTRS).alias("attrs"), F.posexplode(chunk_column(F.col("text"), chunker)).alias("pos", "c"))
-        return rows.select("path", "pos", "c.*", "attrs")
+        rows = files.select("path", attrs.cast(ATTRS).alias("_attrs"), F.posexplode(chunk_column(F.col("text"), chunker)).alias("pos", "c"))
+        # a chunk's own attributes come before those of its file
+        return rows.select("path", "pos", "c.*", "_attrs").withColumn("attrs", F.concat("attrs", "_attrs")).drop("_attrs")
 
     def _text(self, files: DataFrame) -> DataFrame:
         """Files with text, file_length, content_hash and mod_time_ns."""
@@ -235,11 +273,11 @@ class Database:
         default = {"mod_time_ns": F.lit(0).cast("long"), "file_length": F.octet_length("text").cast("long"), "content_hash": F.sha2(data, 256)}
         return files.withColumns({c: v for c, v in default.items() if c not in files.columns})
 
-    def _add(self, files: DataFrame, strategy: str, removed: DataFrame | None = None) -> Change:
+    def _add(self, files: DataFrame, strategy: str, removed: DataFrame | None = None, agree: Callable[[Change], bool] | None = None) -> Change:
         files = self._text(files)
         segment = uuid.uuid4().hex
         base = self.manifest["next_file_id"]
-        one = files.select("path", "mod_time_ns", "content_hash", "file_length", F.lit(strategy).alias("strategy"))
+        one = files.select("path", "mod_time_ns", "content_hash", "file_length", F.lit(strategy).alias("strategy"), F.lit(self.manifest["number"] + 1).cast("long").alias("version"))
         numbered = one.repartitionByRange("path").sortWithinPartitions("path").withColumn("file_id", F.monotonically_increasing_id() + base)
         new_files = self._write(numbered, "files", segment)
         repeated = new_files.groupBy("path").count().where("count > 1").select("path").first()
@@ -249,14 +287,23 @@ class Database:
         aside = f"{self.root}/staging/{segment}"
         rows.write.option("compression", "zstd").parquet(aside)
         rows = self.spark.read.schema(rows.schema).parquet(aside)
-        occurrences = self._write(rows, "occurrences", segment)
+        occurrences = self._write(rows.withColumn("version", F.lit(self.manifest["number"] + 1)), "occurrences", segment)
         without = new_files.join(occurrences, "file_id", "left_anti").select("path").first()
         if without:
             raise NoChunksError(f"{without.path} has no chunks")
         distinct = rows.groupBy("chunk_id").agg(F.first("content").alias("content"))
-        new = self._write(distinct.join(self._stored("chunks").select("chunk_id"), "chunk_id", "left_anti"), "chunks", segment)
+        new = self._write_chunks(distinct, segment)
         self._write_postings(new, segment)
         segments = dict.fromkeys(("files", "occurrences", "chunks", "postings"), segment)
+        all_chunks = occurrences.join(self._stored("chunks").unionByName(new), "chunk_id").select("file_id", "pos", "chunk_id", "location", "content")
+        change = Change(new_files.select("file_id", "path"), all_chunks, new.select("chunk_id", "content"))
+        fs, p = self._file(self.spark, aside)
+        fs.delete(p, True)
+        if agree is not None and not agree(change):
+            for t in segments:
+                fs, p = self._file(self.spark, f"{self.root}/{t}/{segment}")
+                fs.delete(p, True)
+            raise AbortedError("the change was not agreed to")
         orphans = None
         if removed is not None:
             self._write(removed, "removed", segment)
@@ -265,112 +312,163 @@ class Database:
         last = new_files.agg(F.max("file_id")).first()[0]
         self._commit(segments, next_file_id=(last or base) + 1)
         if removed is not None:
-            orphans = before.join(self.occurrences, "chunk_id", "left_anti")
-        fs, p = self._file(self.spark, aside)
-        fs.delete(p, True)
-        return Change(new_files.select("file_id", "path"), new, orphans)
+            orphans = before.join(self.occurrences.select("chunk_id"), "chunk_id", "left_anti")
+        return replace(change, orphaned_chunks=orphans)
+
+    def _write_chunks(self, distinct: DataFrame, segment: str) -> DataFrame:
+        """Those of (chunk_id, content) that are not stored yet, sorted by id."""
+        new = distinct.join(self._stored("chunks").select("chunk_id"), "chunk_id", "left_anti").withColumn("n_tokens", F.size(tokens(F.col("content"))))
+        return self._write(new.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id"), "chunks", segment)
 
     def _write_postings(self, chunks: DataFrame, segment: str) -> None:
         bag = chunks.select("chunk_id", F.inline(trigram_bag(self.encoding.column(F.col("content")))))
         # sorted by trigram: a query reads the row groups of its trigrams
         self._write(bag.repartitionByRange("trigram", "chunk_id").sortWithinPartitions("trigram", "chunk_id"), "postings", segment)
 
-    def add(self, files: DataFrame, strategy: str = "line") -> Change:
-        """Add files (path, content as text or bytes; optionally mod_time_ns, attrs, file_length, content_hash)."""
+    def add(self, files: DataFrame, strategy: str = "line", agree: Callable[[Change], bool] | None = None) -> Change:
+        """Add files (path, content as text or bytes; optionally mod_time_ns, attrs, file_length, content_hash).  ``agree``
+        sees the change before it counts; if it returns False, or raises, nothing is changed."""
         known = files.select("path").join(self.files.select("path"), "path", "left_semi").first()
         if known:
             raise AlreadyIndexedError(f"{known.path} is indexed already")
-        return self._add(files, strategy)
+        return self._add(files, strategy, agree=agree)
 
     def add_paths(self, *paths: str, strategy: str = "line") -> Change:
         return self.add(read_files(self.spark, *paths), strategy)
 
-    def _ids_of(self, paths: Iterable[str]) -> DataFrame:
-        asked = self.spark.createDataFrame([(p,) for p in paths], "path string")
+    def _ids_of(self, paths: Iterable[str] | DataFrame) -> DataFrame:
+        asked = paths if isinstance(paths, DataFrame) else self.spark.createDataFrame([(p,) for p in paths], "path string")
         missing = asked.join(self.files.select("path"), "path", "left_anti").first()
         if missing:
             raise KeyError(f"no file {missing.path!r}")
         return self.files.join(asked, "path", "left_semi").select("file_id")
 
     def remove(self, *paths: str) -> Change:
+        return self.remove_all(self.spark.createDataFrame([(p,) for p in paths], "path string"))
+
+    def remove_all(self, paths: DataFrame) -> Change:
+        """Remove many files (path)."""
         before = self.chunks
         segment = uuid.uuid4().hex
         self._write(self._ids_of(paths), "removed", segment)
         self._commit({"removed": segment})
-        return Change(orphaned_chunks=before.join(self.occurrences, "chunk_id", "left_anti"))
+        return Change(orphaned_chunks=before.join(self.occurrences.select("chunk_id"), "chunk_id", "left_anti"))
 
-    def reindex(self, files: DataFrame, strategy: str = "line") -> Change:
+    def reindex(self, files: DataFrame, strategy: str = "line", agree: Callable[[Change], bool] | None = None) -> Change:
         """Replace files by new contents; they get new file ids."""
-        paths = [r.path for r in files.select("path").collect()]
-        return self._add(files, strategy, self._ids_of(paths))
+        return self._add(files, strategy, self._ids_of(files.select("path")), agree)
 
     def append(self, path: str, content: str, strategy: str | None = None, content_hash: str | None = None, mod_time_ns: int | None = None, file_length: int | None = None, base_line: int | None = None) -> Change:
-        """Add text to the end of a file.  Chunkers that can resume cut it from the file's last chunk on, which may be
-        replaced; others cut the new text alone, after ``base_line`` lines (default: those the file has)."""
+        """Add text to the end of a file, which keeps its id, and its hash, time and length unless new ones are given.
+        Chunkers that can resume cut it from the file's last chunk on, which may be replaced; others cut the new text
+        alone, after ``base_line`` lines (default: those the file has).  Only the end of the file is read and written; no
+        text is no change."""
         found = self.file(path).first()
         if found is None:
             raise KeyError(f"no file {path!r}")
+        if not content:
+            return Change()
         strategy = strategy or found.strategy
         if strategy in self.registry.commands:
             raise ValueError("a command can't cut text without a file")
         chunker = self.registry.get(strategy)
-        # one file is read by the driver
-        old = self.occurrences.where(F.col("file_id") == found.file_id).join(self._stored("chunks"), "chunk_id").orderBy("pos").collect()
-        last = old[-1] if old else None
+        own = self.occurrences.where(F.col("file_id") == found.file_id)
+        # one row
+        last = own.orderBy(F.desc("pos")).limit(1).join(self._stored("chunks"), "chunk_id").first()
+        replaced, next_pos = False, last.pos + 1 if last else 0
         if chunker.resumes and last is not None and last.byte_start is not None:
             tail = last.content + content
             size = last.byte_end - last.byte_start
             before = int(last.location.split("-")[0]) - 1
             replaced, cut = resumed(chunker, tail.encode(), (0, size))
             new = [c | {"location": shifted(c["location"], before), "byte_start": c["byte_start"] + last.byte_start, "byte_end": c["byte_end"] + last.byte_start} for c in cut]
-            kept = old[:-1] if replaced else old
+            next_pos = last.pos if replaced else next_pos
         else:
             new = chunker.chunks(content.encode())
-            if not new and content:
+            if not new:
                 raise AppendBoundaryError(f"the text appended to {path} has no chunks")
-            lines = base_line if base_line is not None else sum(r.content.count("\n") for r in old)
-            start = old[-1].byte_end or 0 if old else 0
+            lines = base_line
+            if lines is None:
+                ends = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit("")))
+                lines = own.join(self._stored("chunks"), "chunk_id").agg(F.coalesce(F.sum(ends), F.lit(0))).first()[0]
+            start = last.byte_end or 0 if last else 0
             new = [c | {"location": shifted(c["location"], lines), "byte_start": c["byte_start"] + start, "byte_end": c["byte_end"] + start} for c in new]
-            kept = old
-        rows = [(r.location, r.byte_start, r.byte_end, r.content, r.attrs) for r in kept] + [(c["location"], c["byte_start"], c["byte_end"], c["content"], []) for c in new]
-        segment, file_id = uuid.uuid4().hex, self.manifest["next_file_id"]
-        all_of = self.spark.createDataFrame([(file_id, i, *r) for i, r in enumerate(rows)], f"file_id long, pos int, location string, byte_start int, byte_end int, content string, attrs {ATTRS}")
-        all_of = all_of.withColumn("chunk_id", chunk_hash(F.col("content")))
-        length = file_length if file_length is not None else (found.file_length or 0) + len(content.encode())
-        renewed = (file_id, path, mod_time_ns if mod_time_ns is not None else found.mod_time_ns, content_hash or "", length, strategy)
-        before_change = self.chunks
-        self._write(self.spark.createDataFrame([renewed], SCHEMAS["files"]), "files", segment)
-        self._write(all_of, "occurrences", segment)
-        added = all_of.groupBy("chunk_id").agg(F.first("content").alias("content")).join(self._stored("chunks").select("chunk_id"), "chunk_id", "left_anti")
-        added = self._write(added, "chunks", segment)
+        segment, version = uuid.uuid4().hex, self.manifest["number"] + 1
+        rows = [(found.file_id, next_pos + i, c["location"], c["byte_start"], c["byte_end"], c["content"], [(a["key"], a["value"]) for a in c["attrs"]], version) for i, c in enumerate(new)]
+        tail = self.spark.createDataFrame(rows, f"file_id long, pos int, location string, byte_start int, byte_end int, content string, attrs {ATTRS}, version long")
+        tail = tail.withColumn("chunk_id", chunk_hash(F.col("content")))
+        changed = {k: v for k, v in (("content_hash", content_hash), ("mod_time_ns", mod_time_ns), ("file_length", file_length)) if v is not None}
+        segments = dict.fromkeys(("occurrences", "chunks", "postings"), segment)
+        before_change = own.select("chunk_id").where(F.col("pos") == last.pos).join(self._stored("chunks"), "chunk_id").select("chunk_id", "content") if replaced else None
+        self._write(tail, "occurrences", segment)
+        added = self._write_chunks(tail.groupBy("chunk_id").agg(F.first("content").alias("content")), segment)
         self._write_postings(added, segment)
-        self._write(self.spark.createDataFrame([(found.file_id,)], "file_id long"), "removed", segment)
-        self._commit(dict.fromkeys(SCHEMAS, segment), next_file_id=file_id + 1)
-        return Change(self.files.where(F.col("file_id") == file_id).select("file_id", "path"), added, before_change.join(self.occurrences, "chunk_id", "left_anti"))
+        if replaced:
+            self._write(self.spark.createDataFrame([(found.file_id, last.pos, version)], SCHEMAS["dropped"]), "dropped", segment)
+            segments["dropped"] = segment
+        if changed:
+            self._renew(found, segment, **changed)
+            segments["files"] = segment
+        self._commit(segments, renewed=self.manifest["renewed"] or bool(changed))
+        orphans = before_change.join(self.occurrences.select("chunk_id"), "chunk_id", "left_anti") if replaced else None
+        ids = self.spark.createDataFrame([(found.file_id, path)], "file_id long, path string")
+        return Change(ids, tail.select("file_id", "pos", "chunk_id", "location", "content"), added.select("chunk_id", "content"), orphans)
+
+    def _renew(self, found, segment: str, **changes) -> None:
+        """A new version of what is known about a file."""
+        row = found.asDict() | changes | {"version": self.manifest["number"] + 1}
+        names = [f.name for f in T._parse_datatype_string(SCHEMAS["files"])]
+        self._write(self.spark.createDataFrame([tuple(row[n] for n in names)], SCHEMAS["files"]), "files", segment)
 
     def set_file_length(self, path: str, length: int) -> None:
-        """Changes what is known about a file, not its chunks."""
-        ids = self._ids_of([path])
+        """Changes what is known about a file, not its chunks nor its id."""
+        found = self.file(path).first()
+        if found is None:
+            raise KeyError(f"no file {path!r}")
         segment = uuid.uuid4().hex
-        file_id = self.manifest["next_file_id"]
-        old = self.files.join(ids, "file_id", "left_semi")
-        self._write(old.withColumns({"file_length": F.lit(length), "file_id": F.lit(file_id)}), "files", segment)
-        self._write(self.occurrences.join(ids, "file_id", "left_semi").withColumn("file_id", F.lit(file_id)), "occurrences", segment)
-        self._write(ids, "removed", segment)
-        self._commit(dict.fromkeys(("files", "occurrences", "removed"), segment), next_file_id=file_id + 1)
+        self._renew(found, segment, file_length=length)
+        self._commit({"files": segment}, renewed=True)
+
+    def compact(self) -> None:
+        """Writes what is alive as one segment and forgets the others; their files stay for handles that read them."""
+        segment, version = uuid.uuid4().hex, F.lit(self.manifest["number"] + 1).cast("long")
+        self._write(self.files.withColumn("version", version), "files", segment)
+        self._write(self.occurrences.withColumn("version", version), "occurrences", segment)
+        self._write(self._live_chunks().repartitionByRange("chunk_id").sortWithinPartitions("chunk_id"), "chunks", segment)
+        self._write(self.postings.repartitionByRange("trigram", "chunk_id").sortWithinPartitions("trigram", "chunk_id"), "postings", segment)
+        self.manifest = self.manifest | {"segments": {k: [] for k in SCHEMAS}}
+        self._commit(dict.fromkeys(("files", "occurrences", "chunks", "postings"), segment), renewed=False)
 
     # ---- staleness
 
     def staleness(self, now: DataFrame) -> DataFrame:
-        """(path, status, file_id, strategy) against files as they are now (path, mod_time_ns, content_hash): fresh where
-        time or content are the same, missing, or stale."""
-        current = now.select("path", F.col("mod_time_ns").alias("_m"), F.col("content_hash").alias("_h"))
-        status = F.when(F.col("_m").isNull() & F.col("_h").isNull(), "missing").when((F.col("_m") == F.col("mod_time_ns")) | (F.col("_h") == F.col("content_hash")), "fresh").otherwise("stale")
+        """(path, status, file_id, strategy) against files as they are now (path, mod_time_ns, and content_hash if it is
+        known): fresh where time or content are the same, missing, or stale."""
+        known = F.col("content_hash") if "content_hash" in now.columns else F.lit(None).cast("string")
+        current = now.select("path", F.col("mod_time_ns").alias("_m"), known.alias("_h"), F.lit(True).alias("_there"))
+        fresh = (F.col("_m") == F.col("mod_time_ns")) | ((F.col("_h") == F.col("content_hash")) & (F.col("_h") != ""))
+        status = F.when(F.col("_there").isNull(), "missing").when(fresh, "fresh").otherwise("stale")
         return self.files.join(current, "path", "left").select("path", status.alias("status"), "file_id", "strategy")
 
+    def check_paths(self, *paths: str) -> DataFrame:
+        """As staleness(), against files in folders: times first, and only those that differ are read to compare contents."""
+        by_time = self.staleness(list_files(self.spark, *paths))
+        changed = by_time.where("status = 'stale'").select("path")
+        hashes = read_files(self.spark, *paths).join(changed, "path", "left_semi").select("path", F.col("content_hash").alias("_h"))
+        same = self.files.select("path", "content_hash").join(hashes, "path").where("_h = content_hash").select("path", F.lit(True).alias("_same"))
+        return by_time.join(same, "path", "left").select("path", F.when(F.col("_same"), "fresh").otherwise(F.col("status")).alias("status"), "file_id", "strategy")
+
+    def refresh_paths(self, *paths: str, strategy: str = "") -> DataFrame:
+        """As refresh(), from files in folders."""
+        found = self.check_paths(*paths)
+        return self._refresh(found, read_files(self.spark, *paths), strategy)
+
     def refresh(self, now: DataFrame, strategy: str = "") -> DataFrame:
         """Reindexes stale files from their contents now; the statuses that were found.  Missing files stay."""
-        found = self.staleness(now).cache()
+        return self._refresh(self.staleness(now), now, strategy)
+
+    def _refresh(self, found: DataFrame, now: DataFrame, strategy: str) -> DataFrame:
+        found = found.cache()
         names = [strategy] if strategy else [r.strategy for r in found.where("status = 'stale'").select("strategy").distinct().collect()]
         for name in names:
             which = found.where("status = 'stale'" if strategy else (F.col("status") == "stale") & (F.col("strategy") == name))
@@ -400,14 +498,25 @@ class Database:
         t = self.temporary[path]
         self._set_tmp(path, content, strategy or t.strategy, t.file_id)
 
-    def append_tmp(self, path: str, content: str, strategy: str = "line") -> int:
-        """Creates the file if there is none; its strategy cannot change."""
+    def append_tmp(self, path: str, content: str, strategy: str = "line", base_line: int | None = None) -> int:
+        """Creates the file if there is none; its strategy cannot change.  With ``base_line`` the new text alone is cut,
+        after so many lines."""
         t = self.temporary.get(path)
         if t is None:
             return self.add_tmp(path, content, strategy)
         if strategy != t.strategy:
             raise ValueError(f"{path} has the strategy {t.strategy}")
-        self._set_tmp(path, t.content + content, strategy, t.file_id)
+        chunker = self.registry.get(strategy)
+        if content and (base_line is not None or not chunker.resumes):
+            lines = base_line if base_line is not None else t.content.count("\n")
+            start = len(t.content.encode())
+            t.chunks += [c | {"location": shifted(c["location"], lines), "byte_start": c["byte_start"] + start, "byte_end": c["byte_end"] + start} for c in chunker.chunks(content.encode())]
+        elif content:
+            # only the end is cut again
+            end = (t.chunks[-1]["byte_start"], t.chunks[-1]["byte_end"]) if t.chunks else None
+            replaced, new = resumed(chunker, (t.content + content).encode(), end)
+            t.chunks = (t.chunks[:-1] if replaced else t.chunks) + new
+        t.content += content
         return t.file_id
 
     def remove_tmp(self, path: str) -> None:
@@ -422,12 +531,23 @@ class Database:
 
     # ---- queries
 
+    def _joined(self, occurrences: DataFrame) -> DataFrame:
+        rows = self._living(occurrences).drop("version").join(self._stored("chunks").drop("n_tokens"), "chunk_id")
+        return rows.join(self.files.select("file_id", "path", "mod_time_ns"), "file_id").withColumn("is_tmp", F.lit(False))
+
+    def _of_candidates(self, candidates: DataFrame) -> DataFrame:
+        """Occurrences of candidate chunks: ids first, then contents, files last."""
+        own = [c for c in candidates.columns if c != "chunk_id"]
+        rows = self._joined(self._stored("occurrences").join(candidates, "chunk_id"))
+        return rows.select(*[F.col(c).cast(kind).alias(c) for c, kind in COLUMNS.items()], "chunk_id", *own)
+
     def corpus(self) -> Corpus:
-        rows = self.occurrences.join(self._stored("chunks"), "chunk_id").join(self.files.select("file_id", "path", "mod_time_ns"), "file_id").withColumn("is_tmp", F.lit(False))
-        stored = replace(Corpus.of(rows, self.encoding), postings=self.postings)
+        of = Corpus.of(self._joined(self._stored("occurrences")), self.encoding)
+        live = None if self._all_live else self.occurrences.select("chunk_id")
+        stored = replace(of, postings=self._stored("postings"), fetch=self._of_candidates, live=live, stored_stats=self.stats())
         if not self.temporary:
             return stored
-        rows = [(t.file_id, p, i, c["location"], c["content"], [], 0, True) for p, t in self.temporary.items() for i, c in enumerate(t.chunks)]
+        rows = [(t.file_id, p, i, c["location"], c["content"], [(a["key"], a["value"]) for a in c["attrs"]], 0, True) for p, t in self.temporary.items() for i, c in enumerate(t.chunks)]
         tmp = self.spark.createDataFrame(rows, ", ".join(f"{c} {kind}" for c, kind in COLUMNS.items()))
         return stored.union(Corpus.of(tmp, self.encoding))
 
@@ -453,4 +573,5 @@ class Database:
         return operators.query_frequencies(self.corpus(), query)
 
     def stats(self) -> DataFrame:
-        return self.chunks.agg(F.count("*").alias("total_chunks"), F.coalesce(F.sum(F.size(tokens(F.col("content")))), F.lit(0)).cast("long").alias("total_tokens"))
+        """(total_chunks, total_tokens) of the chunks that some file has; contents are not read."""
+        return self._live_chunks().agg(F.count("*").alias("total_chunks"), F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("long").alias("total_tokens"))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNKS = "array<struct<location:string,byte_start:int,byte_end:int,content:string>>"
+CHUNKS = "array<struct<location:string,byte_start:int,byte_end:int,content:string,attrs:array<struct<key:string,value:string>>>>"
 #: location, byte range
 Span = tuple[str, int, int]
 
@@ -432,6 +432,18 @@ def word_windows(words: int = 200, overlap: int = 50, pattern: str = r"[^\t\n\f\
     return cut
 
 
+def line_blocks(size: int = 50, overlap: int = 10) -> Callable[[bytes], Iterator[Span]]:
+    """Overlapping windows of lines."""
+
+    def cut(data: bytes) -> Iterator[Span]:
+        ends = [m.end() for m in re.finditer(rb"[^\n]*\n|[^\n]+", data)]
+        for a in range(0, len(ends), max(size - overlap, 1)):
+            b = min(a + size, len(ends))
+            yield f"{a + 1}-{b}", ends[a - 1] if a else 0, ends[b - 1]
+
+    return cut
+
+
 def byte_blocks(size: int) -> Callable[[bytes], Iterator[Span]]:
     def cut(data: bytes) -> Iterator[Span]:
         for i, a in enumerate(range(0, len(data), size)):
@@ -445,7 +457,8 @@ def byte_blocks(size: int) -> Callable[[bytes], Iterator[Span]]:
 
 @dataclass(frozen=True)
 class Chunker:
-    """``cut`` gives the spans of a text.  ``resumes``: appended text is cut from the last chunk on."""
+    """``cut`` gives the spans of a text: (location, first byte, end), and attributes as a fourth, (key, value) pairs,
+    if it has any.  ``resumes``: appended text is cut from the last chunk on."""
 
     cut: Callable[[bytes], Iterator[Span]]
     resumes: bool = True
@@ -453,11 +466,16 @@ class Chunker:
     comment_syntax: str = ""
 
     def chunks(self, data: bytes) -> list[dict]:
-        return [{"location": where, "byte_start": a, "byte_end": b, "content": data[a:b].decode()} for where, a, b in (self.cut(data) if data else ())]
+        out = []
+        for where, a, b, *attrs in self.cut(data) if data else ():
+            pairs = [{"key": k, "value": v} for k, v in (attrs[0] if attrs else ())]
+            out.append({"location": where, "byte_start": a, "byte_end": b, "content": data[a:b].decode(), "attrs": pairs})
+        return out
 
 
 def named(name: str) -> Chunker:
-    """A built-in chunker: line, markdown, bracket-<language>, indent-<language>[-<tab width>]."""
+    """A built-in chunker: line, markdown, bracket-<language>, indent-<language>[-<tab width>], lines-<size>-<overlap>,
+    words-<size>-<overlap>."""
     kind, _, rest = name.partition("-")
     if name == "line":
         return Chunker(lines)
@@ -470,6 +488,9 @@ def named(name: str) -> Chunker:
         which, _, width = rest.partition("-")
         lang = language(which)
         return Chunker(indents(lang, int(width or 0)), comment_syntax=lang.comment_syntax)
+    if kind in ("lines", "words") and rest:
+        size, _, overlap = rest.partition("-")
+        return Chunker((line_blocks if kind == "lines" else word_windows)(int(size), int(overlap or 0)), resumes=False)
     raise ValueError(f"no chunker {name!r}")
 
 
@@ -523,7 +544,7 @@ def chunk_column(text: Column, chunker: Chunker) -> Column:
 
 
 def chunked(docs: DataFrame, chunker: Chunker | str, text: str = "text") -> DataFrame:
-    """``docs`` without the text, one row a chunk: pos (0, 1, ...), location, byte_start, byte_end, content."""
+    """``docs`` without the text, one row a chunk: pos (0, 1, ...), location, byte_start, byte_end, content, attrs."""
     chunker = named(chunker) if isinstance(chunker, str) else chunker
     others = [c for c in docs.columns if c != text]
     found = docs.select(*others, F.posexplode(chunk_column(F.col(text), chunker)).alias("pos", "c"))

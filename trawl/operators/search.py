@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -261,7 +261,10 @@ def search_fuzzy(corpus: Corpus, text: str, k: int = 20, options: Options | None
     query = Query.plan(corpus, text, plain)
     if not query.active:
         return _nothing(corpus)
-    base = Corpus(corpus.occurrences.where("not is_tmp"), corpus.encoding, corpus.postings) if options.no_tmp else corpus
+    base = corpus
+    if options.no_tmp:
+        fetch = (lambda c: corpus.occurrences_of(c).where("not is_tmp")) if corpus.fetch else None
+        base = replace(corpus, occurrences=corpus.occurrences.where("not is_tmp"), fetch=fetch)
     if base.postings is not None:
         # the best are found in the postings alone
         per_chunk = base.postings.where(F.col("trigram").isin(query.active))

@@ -5,15 +5,18 @@ Documents are files of lines: path "doc/<doc_id>", one chunk a line.  Scores are
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trawl.database import Change, Database
 from trawl.functions.text import Encoding, fnv1a_column, parse_terms, tokens, trigram_bag, trigram_text_column
 from trawl.operators import chunkers, search
 from trawl.operators.corpus import Corpus
 from trawl.plans.options import Options, keep_rare, keep_rarest
+from trawl.sources.files import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -414,27 +417,170 @@ def conversation_turns(spark, sf_dir):
     return c.occurrences.join(found, "chunk_id").select("path", "location", pair_get(F.col("attrs"), "role").alias("role"), "content")
 
 
-# ---- changes: documents whose doc_id is even are one set of files, the others another
+# ---- a stored database of all documents.  Ids of its files go by path, so results name files by doc_id.
 
+_databases: dict[tuple[str, str], Database] = {}
 
-@query(f"WITH {LINES} SELECT chunk_id, count(*) AS n FROM lines WHERE file_id % 2 = 0 AND chunk_id NOT IN (SELECT chunk_id FROM lines WHERE file_id % 2 = 1) GROUP BY chunk_id")
+
+def database(spark: SparkSession, sf_dir: str) -> Database:
+    """All documents, stored with their index; made once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _databases:
+        db = Database.create(spark, f"{scratch_folder(spark)}/database-{uuid.uuid4().hex}")
+        db.add(stored_files(spark, sf_dir))
+        _databases[key] = db
+    return _databases[key]
+
+
+def changed(spark: SparkSession, sf_dir: str) -> Database:
+    """One that may be changed, on the same segments."""
+    return database(spark, sf_dir).fork(f"{scratch_folder(spark)}/database-{uuid.uuid4().hex}")
+
+
+def stored_files(spark: SparkSession, sf_dir: str, text=None) -> DataFrame:
+    content = F.col("text") if text is None else text
+    return files(spark, sf_dir).select("path", content.alias("content"), (F.col("file_id") * 1000).alias("mod_time_ns"))
+
+
+_DOC = r"cast(regexp_extract(path, '(\\d+)$', 1) as long)"
+
+
+def _by_doc(found: DataFrame, *more: str) -> DataFrame:
+    return found.select(*more, "path", "location", F.round("score", 6).alias("score"), F.expr(_DOC).alias("file_id"))
+
+
+def _db(name: str, like: str, run: Callable[[Database], DataFrame]):
+    """The query ``like`` on the stored database."""
+    QUERIES[name] = lambda spark, sf_dir: _by_doc(run(database(spark, sf_dir)))
+    ORACLE[name] = ORACLE[like]
+
+
+_db("db_search_and", "search_and", lambda db: db.search(_AND))
+_db("db_search_phrase", "search_phrase", lambda db: db.search(_PHRASE))
+_db("db_search_loose", "search_loose", lambda db: db.search(_LOOSE, Options(loose=True)))
+_db("db_search_density", "search_density", lambda db: db.search("the and", Options(scoring="density")))
+_db("db_search_bm25", "search_bm25", lambda db: db.search(_PHRASE, Options(scoring="bm25")))
+_db("db_search_regex", "search_regex", lambda db: db.search_regex("(Licen[sc]ed?|[Rr]eserved) .*[a-m]"))
+_db("db_search_fuzzy", "search_fuzzy_topk", lambda db: db.search_fuzzy(_FUZZY, 20))
+_db("db_search_verify", "search_verify", lambda db: db.search("licensed UNDER", Options(verify=True, loose=True)))
+_db("db_search_filter_ratio", "search_filter_ratio", lambda db: db.search(_AND, Options(trigram_filter=keep_rare(0.05))))
+
+
+@query(ORACLE["search_multi"])
+def db_search_multi(spark, sf_dir):
+    return _by_doc(database(spark, sf_dir).search_multi("the and", {"coverage": "coverage", "overlap": "overlap", "density": "density"}, 50), "strategy")
+
+
+@query(ORACLE["score_file"])
+def db_score_file(spark, sf_dir):
+    return database(spark, sf_dir).score_file("the License", "doc/5").withColumn("score", F.round("score", 6))
+
+
+@query(ORACLE["get_chunks"])
+def db_get_chunks(spark, sf_dir):
+    return database(spark, sf_dir).get_chunks("doc/5", "2-2", 1, 2).select("path", "location", "content", "index")
+
+
+@query(ORACLE["corpus_stats"])
+def db_stats(spark, sf_dir):
+    return database(spark, sf_dir).stats()
+
+
+@query(ORACLE["query_trigram_counts"])
+def db_query_frequencies(spark, sf_dir):
+    return database(spark, sf_dir).query_frequencies(_WHOLE)
+
+
+@query("SELECT 'doc/' || doc_id AS path, doc_id * 1000 AS mod_time_ns, sha256(text) AS content_hash, octet_length(encode(text)) AS file_length, 'line' AS strategy FROM documents")
+def db_files(spark, sf_dir):
+    """What is known of each file, after the database was opened anew."""
+    return Database.open(spark, database(spark, sf_dir).root).files.drop("file_id")
+
+
+@query(f"WITH {LINES} SELECT path, CAST(pos AS INTEGER) AS pos, location, chunk_id FROM lines")
+def db_occurrences(spark, sf_dir):
+    db = database(spark, sf_dir)
+    return db.occurrences.join(db.file_paths(), "file_id").select("path", "pos", "location", "chunk_id")
+
+
+@query(f"WITH {LINES} SELECT DISTINCT chunk_id, content FROM lines")
+def db_chunks(spark, sf_dir):
+    return database(spark, sf_dir).chunks
+
+
+@query(f"{BASE} SELECT CAST('0x' || t AS INTEGER) AS trigram, chunk_id, CAST(count(*) AS INTEGER) AS tf FROM (SELECT DISTINCT ON (chunk_id) chunk_id, w FROM windows), unnest(w) AS u(t) GROUP BY chunk_id, t")
+def db_postings(spark, sf_dir):
+    return database(spark, sf_dir).postings
+
+
+@query(f"WITH {LINES} SELECT path, array_to_string(list(octet_length(encode(content)) ORDER BY pos), ',') AS lengths FROM lines GROUP BY path")
+def db_chunk_lengths(spark, sf_dir):
+    db = database(spark, sf_dir)
+    lengths = db.chunk_lengths().withColumn("lengths", F.array_join(F.transform("lengths", lambda x: x.cast("string")), ","))
+    return lengths.join(db.file_paths(), "file_id").select("path", "lengths")
+
+
+@query(f"""{BASE}, c AS (SELECT DISTINCT ON (chunk_id) chunk_id, content, w FROM windows)
+SELECT 'files' AS "table", count(*) AS n_rows, CAST(sum(octet_length(encode('doc/' || doc_id))) AS BIGINT) AS bytes FROM documents
+UNION ALL SELECT 'occurrences', count(*), CAST(sum(octet_length(encode(location))) AS BIGINT) FROM lines
+UNION ALL SELECT 'chunks', count(*), CAST(sum(octet_length(encode(content))) AS BIGINT) FROM c
+UNION ALL SELECT 'postings', CAST(sum(len(list_distinct(w))) AS BIGINT), CAST(sum(len(list_distinct(w))) * 8 AS BIGINT) FROM c""")
+def db_record_counts(spark, sf_dir):
+    return database(spark, sf_dir).record_counts()
+
+
+# ---- changes: files of even doc_id are removed, reindexed or appended to; the others stay
+
+
+def _orphans(change: Change) -> DataFrame:
+    return change.orphaned_chunks.select("chunk_id", F.octet_length("content").alias("n_bytes"))
+
+
+_EVEN = "file_id % 2 = 0"
+
+
+@query(f"WITH {LINES} SELECT chunk_id, CAST(any_value(octet_length(encode(content))) AS INTEGER) AS n_bytes FROM lines WHERE file_id % 2 = 0 AND chunk_id NOT IN (SELECT chunk_id FROM lines WHERE file_id % 2 = 1) GROUP BY chunk_id")
 def remove_orphans(spark, sf_dir):
     """Chunks that no file has any more once the even files are removed."""
-    o = corpus(spark, sf_dir).occurrences
-    gone, stay = o.where("file_id % 2 = 0"), o.where("file_id % 2 = 1")
-    return gone.join(stay.select("chunk_id"), "chunk_id", "left_anti").groupBy("chunk_id").agg(F.count("*").alias("n"))
+    return _orphans(changed(spark, sf_dir).remove_all(files(spark, sf_dir).where(_EVEN).select("path")))
 
 
+@query(f"""{BASE.replace("FROM documents)", "FROM documents WHERE doc_id % 2 = 1)")}{_bm25_sql(_PHRASE)}""")
+def db_bm25_after_remove(spark, sf_dir):
+    """Frequencies and totals are those of what is left."""
+    db = changed(spark, sf_dir)
+    db.remove_all(files(spark, sf_dir).where(_EVEN).select("path"))
+    return _by_doc(db.search(_PHRASE, Options(scoring="bm25")))
+
+
+_UPPER = "concat(upper(substring(text, 1, 1)), substring(text, 2))"
 _NEW = LINES.replace("lines AS", "new_lines AS").replace("text, '[^", "upper(substring(text, 1, 1)) || substring(text, 2), '[^")
 
 
 @query(f"WITH {LINES}, {_NEW} SELECT file_id, count(*) AS n_new FROM new_lines WHERE chunk_id NOT IN (SELECT chunk_id FROM lines) GROUP BY file_id")
 def reindex_diff(spark, sf_dir):
     """New chunks when every document begins with a capital letter."""
-    old = corpus(spark, sf_dir).occurrences
-    changed = files(spark, sf_dir).withColumn("text", F.concat(F.upper(F.substring("text", 1, 1)), F.expr("substring(text, 2)")))
-    new = Corpus.of(chunkers.chunked_lines(changed)).occurrences
-    return new.join(old.select("chunk_id"), "chunk_id", "left_anti").groupBy("file_id").agg(F.count("*").alias("n_new"))
+    db = changed(spark, sf_dir)
+    change = db.reindex(stored_files(spark, sf_dir, F.expr(_UPPER)))
+    new = change.all_chunks.join(change.new_chunks.select("chunk_id"), "chunk_id", "left_semi").join(change.file_ids, "file_id")
+    return new.groupBy(F.expr(_DOC).alias("file_id")).agg(F.count("*").alias("n_new"))
+
+
+_LAST = "(SELECT * FROM lines WHERE path = 'doc/7' ORDER BY pos DESC LIMIT 1)"
+
+
+@query(f"""WITH {LINES}, last AS {_LAST}, rest AS (
+  SELECT unnest(regexp_extract_all(content || 'and more' || chr(10) || 'License at the end', '[^\n]*\n|[^\n]+')) AS content, unnest(range(100)) AS i, pos AS p FROM last WHERE NOT suffix(content, chr(10))
+  UNION ALL SELECT unnest(regexp_extract_all('and more' || chr(10) || 'License at the end', '[^\n]*\n|[^\n]+')), unnest(range(100)), pos + 1 FROM last WHERE suffix(content, chr(10)))
+SELECT CAST(pos AS INTEGER) AS pos, location, content FROM lines WHERE path = 'doc/7' AND (pos < (SELECT pos FROM last) OR (SELECT suffix(content, chr(10)) FROM last))
+UNION ALL SELECT CAST(p + i AS INTEGER), (p + i + 1) || '-' || (p + i + 1), content FROM rest WHERE content IS NOT NULL""")
+def db_append(spark, sf_dir):
+    """A file after text was appended; its id is the one it had."""
+    db = changed(spark, sf_dir)
+    before = db.file("doc/7").first()
+    db.append("doc/7", "and more\nLicense at the end")
+    same = db.file("doc/7").where((F.col("file_id") == before.file_id) & (F.col("content_hash") == before.content_hash))
+    return db.corpus().occurrences.join(same.select("file_id"), "file_id", "left_semi").select("pos", "location", "content")
 
 
 @query("""
@@ -442,10 +588,42 @@ SELECT a.doc_id AS file_id, CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN sha25
 FROM documents a LEFT JOIN (SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN text || 'x' ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0) b ON a.doc_id = b.doc_id
 """)
 def staleness(spark, sf_dir):
-    then = files(spark, sf_dir).select("file_id", F.sha2("text", 256).alias("old"))
-    now = files(spark, sf_dir).where("file_id % 5 <> 0").select("file_id", F.sha2(F.when(F.col("file_id") % 3 == 1, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("new"))
-    status = F.when(F.col("new").isNull(), "missing").when(F.col("new") == F.col("old"), "fresh").otherwise("stale")
-    return then.join(now, "file_id", "left").select("file_id", status.alias("status"))
+    text = F.when(F.col("file_id") % 3 == 1, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    now = files(spark, sf_dir).where("file_id % 5 <> 0").select("path", F.lit(-1).cast("long").alias("mod_time_ns"), F.sha2(text, 256).alias("content_hash"))
+    return database(spark, sf_dir).staleness(now).select(F.expr(_DOC).alias("file_id"), "status")
+
+
+@query(f"WITH {LINES} SELECT path, location FROM lines WHERE file_id % 5 <> 0 AND regexp_matches(content, '^[A-Z].*License') UNION ALL SELECT 'doc/' || doc_id, '1-1' FROM documents WHERE doc_id % 5 = 0")
+def db_refresh(spark, sf_dir):
+    """Every fifth file has become one line; after a refresh it is found by it."""
+    db = changed(spark, sf_dir)
+    is_new = F.col("file_id") % 5 == 0
+    now = files(spark, sf_dir).select("path", F.when(is_new, F.lit("A new License")).otherwise(F.col("text")).alias("content"), F.when(is_new, -1).otherwise(F.col("file_id") * 1000).cast("long").alias("mod_time_ns"))
+    db.refresh(now.withColumn("content_hash", F.sha2("content", 256)))
+    found = db.search_regex("^[A-Z].*License")
+    return db.corpus().occurrences.join(found.select("chunk_id", "file_id"), ["chunk_id", "file_id"], "left_semi").select("path", "location")
+
+
+@query(f"""{BASE}, tmp AS (SELECT path, pos, (pos + 1) || '-' || (pos + 1) AS location, content, sha256(content) AS chunk_id FROM (
+  SELECT 'tmp://' || item_id AS path, unnest(l) AS content, unnest(range(len(l))) AS pos FROM (SELECT item_id, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS l FROM benchmark))),
+both_ AS (SELECT path, pos, location, content, chunk_id FROM lines UNION ALL SELECT path, pos, location, content, chunk_id FROM tmp)
+SELECT path, min_by(location, pos) AS location FROM both_ WHERE regexp_matches(content, 'the .* and') GROUP BY chunk_id, path""")
+def db_overlay(spark, sf_dir):
+    """The database with the passages of the benchmark as temporary files."""
+    db = changed(spark, sf_dir)
+    for r in table(spark, sf_dir, "benchmark").collect():  # temporary files are held by the driver
+        db.add_tmp(f"tmp://{r.item_id}", r.text)
+    return db.search_regex("the .* and").select("path", "location")
+
+
+@query(f"WITH {LINES} SELECT count(*) AS n_occurrences, count(DISTINCT chunk_id) AS n_chunks, count(DISTINCT file_id) AS n_files FROM lines WHERE file_id % 2 = 1")
+def db_compact(spark, sf_dir):
+    db = changed(spark, sf_dir)
+    db.remove_all(files(spark, sf_dir).where(_EVEN).select("path"))
+    db.compact()
+    counts = {t: df.agg(F.count("*").alias(n)) for t, n, df in (("o", "n_occurrences", db.occurrences), ("c", "n_chunks", db.chunks), ("f", "n_files", db.files))}
+    one = [df.withColumn("_one", F.lit(1)) for df in counts.values()]
+    return one[0].join(one[1], "_one").join(one[2], "_one").drop("_one")
 
 
 @query(f"""{BASE}, tmp AS (SELECT -1 - item_id AS file_id, 'tmp://' || item_id AS path, 0 AS pos, '1-1' AS location, text AS content, sha256(text) AS chunk_id FROM benchmark),

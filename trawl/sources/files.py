@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,18 @@ def chunked_by_command(files: DataFrame, command: str) -> DataFrame:
     return files.select("path").mapInArrow(run, "path string, pos int, location string, content string")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A folder that all executors share: ``spark.checkpoint.dir``, or where that is unset and everything runs in one
+    process a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="trawl-")
+
+
 def as_lines(results: DataFrame, scores: bool = False) -> DataFrame:
     """(value): "path:location" of each result, with its score to four places if wanted."""
     place = F.concat_ws(":", "path", "location")
