@@ -49,6 +49,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     first stage, rows without doc_id pass the others as they are, a null language is one of its own, extra columns are
     carried up to the last stage, and an empty table gives no packs."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"), *before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,6 +6,7 @@ values (True: belongs to a word) and gives every word a 64-bit hash, all in nump
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _libc = None
+
 #: Bytes of a batch that are handled at once; bounds the temporaries of a worker to about 100 MB.
 CHUNK_BYTES = 1 << 21
 
@@ -101,6 +107,13 @@ def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix((prefix[n:] - prefix[:-n]) * inverse[: len(hashes) - n + 1])
 
 
+def release() -> None:
+    """Give memory that this worker has no use for back to the system: workers live on and share the executor's."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list[str | None]]]:
     """Ranges of rows of about ``limit`` bytes of text together, one row at least, with their texts."""
     total = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -110,6 +123,7 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
         b = max(a + 1, int(np.searchsorted(total, before + limit, side="right")))
         yield a, b, column.slice(a, b - a).to_pylist()
         a = b
+    release()
 
 
 def encoded_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from trawl.llm._components import components
 from trawl.llm._store import broadcast_if_small, discard, load_arrays, new_path, save_arrays, written
-from trawl.llm._text import Words, encoded_chunks, input_parts, mix, ngram_hashes, pack_sorted, unpack_sorted
+from trawl.llm._text import Words, encoded_chunks, input_parts, mix, ngram_hashes, pack_sorted, release, unpack_sorted
 
 TOKEN_BITS = 40  #: of a token's hash that statistics and candidates go by; a clash only adds work
 BITMAP_BITS = 28
@@ -133,6 +133,7 @@ def token_statistics(docs: DataFrame, n: int, hot: int, parts: int) -> str:
         tokens = tokens[first]
         common = count > hot
         slots = np.unique(mix(tokens[count > 1]) >> np.uint64(64 - BITMAP_BITS))
+        release()
         return pa.table(
             {
                 "repeated": pa.array([pack_sorted(slots)], pa.binary()),
@@ -243,6 +244,8 @@ def _matrix_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pairs = pairs[:0]
         step = stop
     yield batch_of(_counted(np.concatenate([pairs, *found])))
+    del tokens, keys, pairs, found
+    release()
 
 
 def _counted(pairs: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trawl.llm._store import broadcast_if_small, written
-from trawl.llm._text import Words, encoded_chunks, input_parts, pack_sorted, text_chunks, unpack_sorted, window_hashes
+from trawl.llm._text import Words, encoded_chunks, input_parts, pack_sorted, release, text_chunks, unpack_sorted, window_hashes
 
 OCCURRENCE = "doc_id long, text_hash long, start_word long, end_word long, first_doc_id long, first_start_word long"
 
@@ -117,6 +117,7 @@ def _recurring(table: pa.Table) -> pa.Table:
     cut = np.flatnonzero((doc[1:] != doc[:-1]) | (text[1:] != text[:-1])) + 1 if len(doc) else np.zeros(0, np.int64)
     cut = np.concatenate([[0], cut, [len(doc)]]) if len(doc) else np.zeros(1, np.int64)
     spans = list(zip(cut[:-1].tolist(), cut[1:].tolist()))
+    release()
     return pa.table(
         {
             "doc_id": pa.array(doc[cut[:-1]]),
