@@ -43,13 +43,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.llm._store import discard, load_arrays, new_path, save_arrays, written
-from trawl.llm._text import Words, encoded_chunks, input_parts, mix
+from trawl.llm._text import Words, encoded_chunks, input_parts, mix, release
 
 THETA = 1.0
 D = 0.5
 ENUMERATED = 16
 #: Of text, for a shard of words; words that a task gathers before it sends them.
-SHARD_BYTES, SENT_WORDS = 1 << 23, 2_000_000
+SHARD_BYTES, SENT_WORDS = 1 << 23, 1_200_000
 SPACE = 32
 
 
@@ -176,7 +176,8 @@ def drawn(rng: np.random.Generator, c: np.ndarray, t: np.ndarray, other: np.ndar
 
 
 class Restaurants:
-    """Restaurants of two words over those of one, of a shard: dishes (context, word) with their customers."""
+    """Restaurants of two words over those of one, of a shard: dishes (context, word) with their customers.  Totals of
+    restaurants follow each change; only dishes of several customers are ever drawn."""
 
     def __init__(self, of_two: np.ndarray, of_one: np.ndarray, up: np.ndarray, customers: np.ndarray, base: np.ndarray):
         """Of each dish of two words the restaurant, its dish of one word and customers; of each dish of one word the
@@ -185,58 +186,68 @@ class Restaurants:
         self.base, self.theta = base, [THETA, THETA]
         self.c = [customers.astype(np.float64), np.bincount(up, minlength=len(of_one)).astype(np.float64)]
         self.t = [np.ones(len(c)) for c in self.c]
-        self.size = [int(r.max()) + 1 if len(r) else 0 for r in self.restaurant]
-
-    def totals(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        return np.bincount(self.restaurant[i], self.c[i], self.size[i]), np.bincount(self.restaurant[i], self.t[i], self.size[i])
+        self.cc = [np.bincount(r, c) for r, c in zip(self.restaurant, self.c)]
+        self.tt = [np.bincount(r, t) for r, t in zip(self.restaurant, self.t)]
+        self.drawn_of_two = np.flatnonzero(self.c[0] > 1)
 
     def probability(self, i: int) -> np.ndarray:
         """Of each dish of the level."""
         below = self.base if i else self.probability(1)[self.up]
-        cc, tt = self.totals(i)
         r, theta = self.restaurant[i], self.theta[i]
-        return (self.c[i] - D * self.t[i] + (theta + D * tt[r]) * below) / (theta + cc[r])
+        left = (theta + D * self.tt[i]) / (theta + self.cc[i])
+        return (self.c[i] - D * self.t[i]) / (theta + self.cc[i])[r] + left[r] * below
+
+    def _set_tables(self, i: int, at: np.ndarray, t: np.ndarray) -> None:
+        change = t - self.t[i][at]
+        moved = np.flatnonzero(change)
+        at, change = at[moved], change[moved]
+        self.t[i][at] += change
+        np.add.at(self.tt[i], self.restaurant[i][at], change)
+        if not i:
+            up = self.up[at]
+            np.add.at(self.c[1], up, change)
+            np.add.at(self.cc[1], self.restaurant[1][up], change)
+            # no more tables than customers; drawn anew in this sweep
+            over = up[self.t[1][up] > self.c[1][up]]
+            if len(over):
+                over = np.unique(over)
+                self._set_tables(1, over, self.c[1][over])
 
     def sweep(self, rng: np.random.Generator) -> None:
         for i in (0, 1):
-            third = rng.integers(0, 3, len(self.c[i]))
-            several = self.c[i] > 1
+            several = self.drawn_of_two if not i else np.flatnonzero(self.c[1] > 1)
+            third = rng.integers(0, 3, len(several))
             for now in range(3):
-                at = np.flatnonzero(several & (third == now))
+                at = several[third == now]
                 if not len(at):
                     continue
-                _, tt = self.totals(i)
                 p, above = (self.base[at], None) if i else self._without_own(at)
-                other = tt[self.restaurant[i][at]] - self.t[i][at]
-                self.t[i][at] = drawn(rng, self.c[i][at], self.t[i][at], other, np.minimum(p, 1.0), self.theta[i], above)
-                if not i:
-                    self.c[1] = np.bincount(self.up, self.t[0], len(self.c[1]))
-                    self.t[1] = np.minimum(self.t[1], self.c[1])  # drawn anew in this sweep
+                other = self.tt[i][self.restaurant[i][at]] - self.t[i][at]
+                self._set_tables(i, at, drawn(rng, self.c[i][at], self.t[i][at], other, np.minimum(p, 1.0), self.theta[i], above))
             self._concentration(rng, i)
 
     def _without_own(self, at: np.ndarray) -> tuple[np.ndarray, Above]:
         """The parent's probability of some dishes of two words, each without its own tables among the customers."""
-        cc, tt = self.totals(1)
         up, own, theta = self.up[at], self.t[0][at], self.theta[1]
         r = self.restaurant[1][up]
         c = self.c[1][up] - own
         t = np.minimum(self.t[1][up], c)
-        left = theta + D * (tt[r] - self.t[1][up] + t)
-        return (c - D * t + left * self.base[up]) / (theta + cc[r] - own), Above(c, self.t[1][up], cc[r] - own, theta)
+        left = theta + D * (self.tt[1][r] - self.t[1][up] + t)
+        total = self.cc[1][r] - own
+        return (c - D * t + left * self.base[up]) / (theta + total), Above(c, self.t[1][up], total, theta)
 
     def _concentration(self, rng: np.random.Generator, i: int) -> None:
-        cc, tt = self.totals(i)
-        several = cc > 1  # a restaurant of one customer says nothing
-        cc, tt = cc[several], tt[several]
+        several = self.cc[i] > 1  # a restaurant of one customer says nothing
+        # few numbers of customers and tables are different
+        (c, n_c), (t, n_t) = (np.unique(x[several], return_counts=True) for x in (self.cc[i], self.tt[i]))
 
         def log_p(x: float) -> float:
-            n, one = len(cc), np.array([x, 2 * x])
-            g = log_gamma(one)
-            return float(log_gamma(2 * x + tt).sum() - n * g[1] - log_gamma(x + cc).sum() + n * g[0]) - x
+            one = log_gamma(np.array([x, 2 * x]))
+            return float((n_t * (log_gamma(2 * x + t) - one[1])).sum() - (n_c * (log_gamma(x + c) - one[0])).sum()) - x
 
         now = self.theta[i]
         new = now * math.exp(rng.normal(0, 0.3))
-        if len(cc) and math.log(1 - rng.random()) < log_p(new) - log_p(now) + math.log(new / now):
+        if len(c) and math.log(1 - rng.random()) < log_p(new) - log_p(now) + math.log(new / now):
             self.theta[i] = new
 
 
@@ -488,7 +499,13 @@ def send_words(docs: DataFrame, path: str, byte_shards: list[int], root: np.ndar
             v, u, w, p, doc = (np.concatenate([h[i] for h in held]) for i in range(5))
             shard = shard_of(v, u, often, n_words, shards)
             v >>= np.uint64(64 - V_BITS)
-            at = np.lexsort([w.astype(np.uint64) << np.uint64(32) | doc, v << np.uint64(16) | u])
+            # by shard, v, u, word and document
+            at = np.argsort(v << np.uint64(16) | u)
+            context = _numbered((v << np.uint64(16) | u)[at])
+            key = context << 32 | w[at].astype(np.int64)
+            order = np.argsort(key)
+            at = at[order]
+            at = at[np.argsort(_numbered(key[order]) << 32 | doc[at].astype(np.int64))]
             at = at[np.argsort(shard[at], kind="stable")]
             shard, v, u, w, p, doc = (x[at] for x in (shard, v, u, w, p, doc))
             new = np.ones(len(v), bool)
@@ -544,22 +561,34 @@ def send_words(docs: DataFrame, path: str, byte_shards: list[int], root: np.ndar
 def seated(v: np.ndarray, u: np.ndarray, w: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[Restaurants, np.ndarray]:
     """The restaurants of a shard, and for each row its dish of two words."""
     two = v << np.uint64(16) | u.astype(np.uint64)
-    at = np.lexsort([w, two])
-    s_two, s_w = two[at], w[at]
-    new_two = np.ones(len(at), bool)
-    new_two[1:] = s_two[1:] != s_two[:-1]
-    new = new_two.copy()
-    new[1:] |= s_w[1:] != s_w[:-1]
+    at = np.argsort(two)
+    context = _numbered(two[at])
+    key = context << 32 | w[at].astype(np.int64)
+    order = np.argsort(key)
+    at, key, context = at[order], key[order], context[order]
+    new = np.ones(len(at), bool)
+    new[1:] = key[1:] != key[:-1]
     first = np.flatnonzero(new)
     dish = np.empty(len(at), np.int64)
     dish[at] = np.cumsum(new) - 1
     customers = np.add.reduceat(n[at].astype(np.int64), first)
-    of_two = (np.cumsum(new_two) - 1)[first]
-    dv, dw = v[at][first], s_w[first]
-    key, where, up = np.unique(mix(mix(dv) + dw.astype(np.uint64)), return_index=True, return_inverse=True)
-    contexts, of_one = np.unique(dv[where], return_inverse=True)
-    base = np.exp(-p[at][first][where].astype(np.float64))
-    return Restaurants(of_two, of_one, up, customers, base), dish
+    at, of_two = at[first], context[first]
+    # contexts of two words ascend with the word that ends them
+    one_key = _numbered(v[at]) << 32 | w[at].astype(np.int64)
+    order = np.argsort(one_key)
+    number = _numbered(one_key[order])
+    up = np.empty(len(at), np.int64)
+    up[order] = number
+    where = order[np.flatnonzero(np.diff(number, prepend=-1))]
+    base = np.exp(-p[at][where].astype(np.float64))
+    return Restaurants(of_two, one_key[where] >> 32, up, customers, base), dish
+
+
+def _numbered(ascending: np.ndarray) -> np.ndarray:
+    """0 for the first value, 1 for the next different one, ..."""
+    new = np.zeros(len(ascending), np.int64)
+    new[1:] = ascending[1:] != ascending[:-1]
+    return np.cumsum(new)
 
 
 def score(docs: DataFrame, burn_in: int = 6, samples: int = 4, rounds: int = 2, seed: int = 1) -> DataFrame:
@@ -595,6 +624,8 @@ def score(docs: DataFrame, burn_in: int = 6, samples: int = 4, rounds: int = 2,
             which, place = np.unique(c["doc"][a:b], return_inverse=True)
             docs_of.append(which.tobytes())
             sums.append(np.bincount(place, log_p[a:b]).astype(np.float32).tobytes())
+        del model, dish, c, log_p
+        release()
         return pa.table({"block": pa.array(blocks, pa.int64()), "docs": pa.array(docs_of, pa.binary()), "sums": pa.array(sums, pa.binary()), "doc_ids": pa.nulls(len(blocks), pa.list_(pa.int64())), "n_words": pa.nulls(len(blocks), pa.list_(pa.int64()))})
 
     def gather(table: pa.Table) -> pa.Table:
