@@ -25,6 +25,10 @@ def parser() -> argparse.ArgumentParser:
 
     c = command("create", "db")
     c.add_argument("--case-insensitive", action="store_true")
+    c.add_argument("--alias", action="append", default=[], help="two characters: the first is taken for the second")
+    c = command("stale", "db", "paths")
+    c.add_argument("--refresh", action="store_true", help="reindex stale files")
+    command("compact", "db")
     for name in ("add", "reindex"):
         command(name, "db", "paths").add_argument("--strategy", default="line")
     command("remove", "db", "paths")
@@ -41,12 +45,16 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--proximity", type=int, default=0)
         c.add_argument("-k", type=int, default=20)
         c.add_argument("-n", type=int, default=100)
-    command("score", "db", "query", "path")
+    command("score", "db", "query", "path").add_argument("--score", choices=["coverage", "density", "overlap", "bm25"])
     c = command("chunks", "db", "path", "location")
     c.add_argument("--before", type=int, default=0)
     c.add_argument("--after", type=int, default=0)
     command("strategy", "db", "action", "name").add_argument("--run", default="")
-    c = command("chunk", "strategy", "path")
+    command("chunk", "strategy", "path")
+    for kind in ("lines", "words"):
+        c = command(f"chunk-{kind}-overlap", "path")
+        c.add_argument("--size", type=int, default=50 if kind == "lines" else 200)
+        c.add_argument("--overlap", type=int, default=10 if kind == "lines" else 50)
     return p
 
 
@@ -65,15 +73,16 @@ def results(db: Database, args: argparse.Namespace):
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> list[str]:
     """Prints lines, and returns them."""
     args = parser().parse_args(argv)
-    if args.command == "chunk":
+    if args.command.startswith("chunk") and args.command != "chunks":
+        name = args.strategy if args.command == "chunk" else f"{args.command.split('-')[1]}-{args.size}-{args.overlap}"
         with open(args.path, "rb") as f:
-            out = [f"{c['location']}\t{c['content']}" for c in chunkers.named(args.strategy).chunks(f.read())]
+            out = [f"{c['location']}\t{c['content']}" for c in chunkers.named(name).chunks(f.read())]
         print(*out, sep="\n")
         return out
     spark = spark or SparkSession.builder.appName("trawl").getOrCreate()
     out: list[str] = []
     if args.command == "create":
-        Database.create(spark, args.db, args.case_insensitive)
+        Database.create(spark, args.db, args.case_insensitive, {a[0]: a[1] for a in args.alias if len(a) == 2})
     else:
         db = Database.open(spark, args.db)
         if args.command == "add":
@@ -84,6 +93,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
             db.reindex(read_files(spark, *args.paths), args.strategy)
         elif args.command == "remove":
             db.remove(*args.paths)
+        elif args.command == "stale":
+            found = db.refresh_paths(*args.paths) if args.refresh else db.check_paths(*args.paths)
+            out = [f"{r.status}\t{r.path}" for r in found.where("status <> 'fresh'").orderBy("path").toLocalIterator()]
+        elif args.command == "compact":
+            db.compact()
         elif args.command == "search":
             out = [r.value for r in as_lines(results(db, args)).toLocalIterator()]
         elif args.command == "bench":
@@ -94,7 +108,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
         elif args.command == "score":
             from pyspark.sql import functions as F
 
-            scored = db.score_file(args.query, args.path).withColumn("path", F.lit(args.path))
+            scored = db.score_file(args.query, args.path, Options(scoring=args.score)).withColumn("path", F.lit(args.path))
             out = [r.value for r in as_lines(scored, scores=True).toLocalIterator()]
         elif args.command == "chunks":
             out = [r.value for r in as_json(db.get_chunks(args.path, args.location, args.before, args.after)).toLocalIterator()]

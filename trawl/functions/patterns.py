@@ -18,12 +18,22 @@ class PatternError(ValueError):
 def to_java(pattern: str) -> str:
     """An equivalent Java pattern; raises PatternError for what RE2 does not know."""
     out, i, in_class = ["(?d)"], 0, False
+    many_lines = [False]  # whether (?m) holds, for each group that is open
     while i < len(pattern):
         c, two = pattern[i], pattern[i : i + 2]
         if c == "\\":
             if len(two) < 2:
                 raise PatternError("a backslash ends the pattern")
             letter = two[1]
+            if letter == "Q" and not in_class:
+                end = pattern.find("\\E", i + 2)
+                literal = pattern[i + 2 : end if end >= 0 else len(pattern)]
+                out += [x if x.isalnum() or not x.isascii() else f"\\x{ord(x):02x}" for x in literal]
+                i = end + 2 if end >= 0 else len(pattern)
+                continue
+            if letter == "E" and not in_class:  # closes nothing
+                i += 2
+                continue
             if letter.isdigit() and letter != "0" or letter in "kGZXRhHvV" and letter != "v":
                 raise PatternError(f"{two} is not supported")
             if letter in "sdw":
@@ -79,15 +89,34 @@ def to_java(pattern: str) -> str:
                 if "U" in group[2]:
                     raise PatternError("the flag U is not supported")
                 out.append(group[0])
+            flags = group[2] or ""
+            on, _, off = flags.partition("-")
+            now = (many_lines[-1] or "m" in on) and "m" not in off
+            if group[1] or group[3] == ":":
+                many_lines.append(now)
+            else:
+                many_lines[-1] = now
             i += group.end()
             continue
         if c == "$":
             # without (?m), RE2's $ is the end of the text only
-            out.append("$" if re.search(r"\(\?[a-zA-Z]*m", pattern[:i]) else r"\z")
+            out.append("$" if many_lines[-1] else r"\z")
             i += 1
             continue
         if c in "*+?}" and pattern[i + 1 : i + 2] == "+":
             raise PatternError("possessive repetition is not supported")
+        if c == "(":
+            many_lines.append(many_lines[-1])
+        elif c == ")" and len(many_lines) > 1:
+            many_lines.pop()
+        if c == "{":
+            counted = re.match(r"\{(\d+)(?:,(\d*))?\}", pattern[i:])
+            if counted and max(int(x) for x in counted.groups() if x) > 1000:
+                raise PatternError("a repetition of more than 1000")
+            # else it is a character like others
+            out.append(c if counted else "\\{")
+            i += 1
+            continue
         out.append(c)
         i += 1
     if in_class:
@@ -95,7 +124,12 @@ def to_java(pattern: str) -> str:
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         try:
-            re.compile(re.sub(r"\\[pP](\{\^?\w+\}|\w)|\\[QE]", "x", pattern.replace(r"\z", r"\Z")))
+            plain = re.sub(r"\\Q.*?(\\E|\Z)", "x", pattern, flags=re.DOTALL)
+            plain = re.sub(r"\\[pP](\{\^?\w+\}|\w)|\\E|\\x\{[0-9A-Fa-f]+\}", "x", plain.replace(r"\z", r"\Z"))
+            # Python takes {,n} for a repetition, and flags only at the start
+            plain = re.sub(r"\{(?=,)", r"\\{", plain)
+            plain = re.sub(r"\(\?[imsU-]+\)", "(?:)", plain)
+            re.compile(plain)
         except re.error as e:
             raise PatternError(str(e)) from e
     return "".join(out)
