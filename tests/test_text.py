@@ -56,12 +56,12 @@ def test_columns_agree_with_python(spark):
             assert Counter(r.w) == T.token_bag(r.t) and r.h == T.fnv1a(r.t)
 
 
-@pytest.mark.parametrize("pattern,java", [("a.b", "(?d)a.b"), ("x$", r"(?d)x\z"), (r"\s", r"(?d)[\t\n\f\r ]"), (r"[\s\d]", r"(?d)[\t\n\f\r 0-9]"), ("[[:alpha:]]", r"(?d)[\p{Alpha}]"), ("(?P<n>a)", "(?d)(a)"), ("(?i)a", "(?d)(?i)a")])
+@pytest.mark.parametrize("pattern,java", [("a.b", "(?d)a.b"), ("x$", r"(?d)x\z"), (r"\s", r"(?d)[\t\n\f\r ]"), (r"[\s\d]", r"(?d)[\t\n\f\r 0-9]"), ("[[:alpha:]]", r"(?d)[\p{Alpha}]"), ("(?P<n>a)", "(?d)(a)"), ("(?i)a", "(?d)(?i)a"), (r"\x{41}", r"(?d)\x{41}"), (r"\Q(a\E+", r"(?d)\x28a+"), ("a{,2}", r"(?d)a\{,2}"), ("(?m:^a)$", r"(?d)(?m:^a)\z"), ("((?m)a$)$", r"(?d)((?m)a$)\z"), ("a{2,}", "(?d)a{2,}")])
 def test_patterns(pattern, java):
     assert to_java(pattern) == java
 
 
-@pytest.mark.parametrize("pattern", ["(", "a**", "(?=a)", r"(a)\1", "(?U)a", "a++", "[a", "\\", "(?<!a)b"])
+@pytest.mark.parametrize("pattern", ["(", "a**", "(?=a)", r"(a)\1", "(?U)a", "a++", "a{1001}", "[a", "\\", "(?<!a)b"])
 def test_bad_patterns(pattern):
     with pytest.raises(PatternError):
         to_java(pattern)
@@ -84,3 +84,20 @@ def test_trigrams_lie_across_characters(text):
     starts = [i for i, b in enumerate(data) if b & 0xC0 != 0x80] + [len(data)]
     expected = [int.from_bytes(data[i : i + 3], "big") for i in range(len(data) - 2) if not any(a <= i and i + 3 <= b for a, b in zip(starts, starts[1:]))]
     assert e.trigrams(text) == expected
+
+
+def test_direct_conditions_equal_those_on_bytes(spark):
+    from trawl.operators.corpus import count_trigrams, has_trigrams
+
+    texts = ["", " ab", "ab ", "a b", "  a  b  ab", "ab\n\tcd ab", "\0ab\0 ab", "aaaa", "a a a a", "x ab", "x  ab ab ab", "é ab", "ab\0", "a\0\0b"]
+    asked = [int.from_bytes(t, "big") for t in (b"ab\0", b"\0ab", b"a\0b", b"aaa", b"\0a\0", b"b\0a", b"\0\0b", b"a\0\0")]
+    encoding = T.Encoding()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, content string")
+    has = has_trigrams(encoding, F.col("content"), asked)
+    rows = df.select("content", F.array(*has).alias("has"), count_trigrams(encoding, F.col("content"), asked[:6]).alias("n")).collect()
+    for r in rows:
+        data = encoding.encode(r.content)
+        windows = [data[i : i + 3] for i in range(len(data) - 2)]
+        expected = [windows.count(t.to_bytes(3, "big")) for t in asked]
+        assert list(r.has) == [n > 0 for n in expected], r.content
+        assert list(r.n) == expected[:6], r.content

@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,11 +95,11 @@ def trigram_text_column(c: Column) -> Column:
     return F.concat(byte(16), byte(8), byte(0))
 
 
-def _counted_trigrams(encoded: pd.Series) -> pd.Series:
-    texts = [t.encode() if t is not None else b"" for t in encoded]
-    out: list[list[dict[str, int]]] = []
-    for a in range(0, len(texts), 512):
-        part = texts[a : a + 512]
+def _counted_trigrams(encoded: pa.Array) -> pa.Array:
+    """A list of (trigram, tf) for each text, made without an object for each trigram."""
+    trigrams, counts, lengths = [], [], []
+    for a in range(0, len(encoded), 512):
+        part = [t.encode() if t is not None else b"" for t in encoded.slice(a, 512).to_pylist()]
         sizes = np.fromiter(map(len, part), np.int64, len(part))
         data = np.frombuffer(b"".join(part) + b"\0\0", np.uint8).astype(np.int64)
         row = np.repeat(np.arange(len(part)), sizes)
@@ -110,17 +110,18 @@ def _counted_trigrams(encoded: pd.Series) -> pd.Series:
         follows &= (z & 0xC0) == 0x80
         ok &= ~(follows & (x >= 0x80) & ((x & 0xE0) != 0xC0))[: len(row)]
         keys, count = np.unique(((row << 24) | (x << 16 | y << 8 | z)[: len(row)])[ok], return_counts=True)
-        cut = np.searchsorted(keys >> 24, np.arange(len(part) + 1))
-        trigram = (keys & 0xFFFFFF).tolist()
-        count = count.tolist()
-        for i, j in zip(cut, cut[1:]):
-            out.append([{"trigram": t, "tf": n} for t, n in zip(trigram[i:j], count[i:j])])
-    return pd.Series(out)
+        lengths.append(np.diff(np.searchsorted(keys >> 24, np.arange(len(part) + 1))))
+        trigrams.append((keys & 0xFFFFFF).astype(np.int32))
+        counts.append(count.astype(np.int32))
+    empty = [np.zeros(0, np.int32)]
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths or empty))]).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(trigrams or empty)), pa.array(np.concatenate(counts or empty))], ["trigram", "tf"])
+    return pa.ListArray.from_arrays(pa.array(offsets), pairs)
 
 
 def trigram_bag(encoded: Column) -> Column:
     """From encoded text to array<struct<trigram, tf>>, one entry for each distinct trigram: no shuffle to count."""
-    return F.pandas_udf(_counted_trigrams, "array<struct<trigram:int,tf:int>>")(encoded)
+    return F.arrow_udf(_counted_trigrams, "array<struct<trigram:int,tf:int>>")(encoded)
 
 
 def tokens(c: Column) -> Column:
