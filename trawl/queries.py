@@ -141,7 +141,7 @@ def chunk_random_access(spark, sf_dir):
 def _state_machine(name: str, source: str, key: str, text: str):
     def run(spark, sf_dir):
         docs = table(spark, sf_dir, source).select(F.col(key).alias("file_id"), F.col(text).alias("text"))
-        return chunkers.chunked(docs, name)
+        return chunkers.chunked(docs, name).drop("attrs")
 
     return run
 
@@ -153,10 +153,18 @@ QUERIES |= {
 }
 
 
-@query(None)
+_IN, _OUT = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+
+
+@query(f"""
+WITH l AS (SELECT doc_id AS file_id, octet_length(encode(regexp_extract(text, '^{_OUT}*'))) AS p, regexp_extract_all(text, '{_IN}+{_OUT}*') AS l FROM documents),
+w AS (SELECT file_id, p, l, unnest(range(0, len(l), 30)) AS a FROM l),
+c AS (SELECT file_id, a // 30 AS n, p + octet_length(encode(array_to_string(l[1:a], ''))) AS b, regexp_replace(array_to_string(l[a + 1:a + 40], ''), '{_OUT}+$', '') AS content FROM w)
+SELECT file_id, CAST(n AS INTEGER) AS pos, 'w' || (n + 1) AS location, CAST(b AS INTEGER) AS byte_start, CAST(b + octet_length(encode(content)) AS INTEGER) AS byte_end, content FROM c
+""")
 def chunk_word_pattern(spark, sf_dir):
     chunker = chunkers.Chunker(chunkers.word_windows(40, 10, r"\w+"), resumes=False)
-    return chunkers.chunked(files(spark, sf_dir).select("file_id", "text"), chunker)
+    return chunkers.chunked(files(spark, sf_dir).select("file_id", "text"), chunker).drop("attrs")
 
 
 # ---- trigrams, tokens, statistics
