@@ -467,6 +467,16 @@ def test_repeats(spark, seed):
         assert left.get(i, []) == [w for p, w in enumerate(t.split()) if p not in expected[i]]
 
 
+def test_a_passage_in_every_document(spark):
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(30)]
+    texts = [" ".join([rng.choice(WORDS) for _ in range(rng.randrange(20))] + passage + [rng.choice(WORDS) for _ in range(rng.randrange(20))]) for _ in range(120)]
+    expected = plain_repeats(texts, 12)
+    left = {r.doc_id: r.text.split() for r in repeats.remove(_docs(spark, texts), 12).collect()}
+    for i, t in enumerate(texts):
+        assert left.get(i, []) == [w for p, w in enumerate(t.split()) if p not in expected[i]]
+
+
 def test_window_hashes_agree():
     words = Words([b"a b c d a b c d"])
     h = window_hashes(words.hashes, 4)
