@@ -200,3 +200,39 @@ def test_temporary_files_after_a_line(db):
     assert [r.content for r in db.get_chunks("tmp://x", "1-1", 0, 9).collect()] == ["one\n", "twos\n", "three\n"]
     db.append_tmp("tmp://x", "far\n", base_line=10)
     assert db.get_chunks("tmp://x", "11-11").first().content == "far\n"
+
+
+def test_paths_are_skipped_by_hash(spark, tmp_path):
+    folder = tmp_path / "files"
+    folder.mkdir()
+    for name in "xy":
+        (folder / name).write_text(f"{name} text\n")
+    d = Database.create(spark, f"file://{tmp_path}/db")
+    change = d.add_paths(str(folder))
+    assert sorted(r.text for r in change.contents.collect()) == ["x text\n", "y text\n"]
+    before = {r.path[-1]: r.file_id for r in d.files.collect()}
+    (folder / "y").write_text("other\n")
+    (folder / "z").write_text("z text\n")
+    d.reindex_paths(str(folder))
+    after = {r.path[-1]: r.file_id for r in d.files.collect()}
+    assert after["x"] == before["x"] and after["y"] != before["y"] and sorted(after) == ["x", "y", "z"]
+    cache = d.chunk_cache(d.files.select("path"))
+    path = d.files.where("path like '%z'").first().path
+    assert cache.get_chunks(path, "1-1").first().content == "z text\n"
+    assert [r.content for r in cache.contents(d.search("other")).collect()] == ["other\n"]
+    cache.close()
+
+
+def test_command_line_of_windows_and_staleness(spark, tmp_path):
+    f = tmp_path / "one.txt"
+    f.write_text("l1\nl2\nl3\n")
+    assert main(["chunk-lines-overlap", str(f), "--size", "2", "--overlap", "1"])[0] == "1-2\tl1\nl2\n"
+    assert main(["chunk-words-overlap", str(f), "--size", "2", "--overlap", "0"]) == ["w1\tl1\nl2", "w2\tl3"]
+    root = f"file://{tmp_path}/db"
+    main(["create", root, "--alias", "- "], spark)
+    main(["add", root, str(f)], spark)
+    assert main(["stale", root, str(f)], spark) == []
+    f.write_text("changed-text\n")
+    [line] = main(["stale", root, str(f), "--refresh"], spark)
+    assert line.startswith("stale\t") and main(["stale", root, str(f)], spark) == []
+    assert len(main(["search", root, "--contains", '"changed text"'], spark)) == 1

@@ -61,6 +61,7 @@ class Change:
 
     file_ids: DataFrame | None = None
     all_chunks: DataFrame | None = None
+    contents: DataFrame | None = None  #: (path, text) that was indexed
     new_chunks: DataFrame | None = None
     orphaned_chunks: DataFrame | None = None
 
@@ -296,7 +297,7 @@ class Database:
         self._write_postings(new, segment)
         segments = dict.fromkeys(("files", "occurrences", "chunks", "postings"), segment)
         all_chunks = occurrences.join(self._stored("chunks").unionByName(new), "chunk_id").select("file_id", "pos", "chunk_id", "location", "content")
-        change = Change(new_files.select("file_id", "path"), all_chunks, new.select("chunk_id", "content"))
+        change = Change(new_files.select("file_id", "path"), all_chunks, files.select("path", "text"), new.select("chunk_id", "content"))
         fs, p = self._file(self.spark, aside)
         fs.delete(p, True)
         if agree is not None and not agree(change):
@@ -336,6 +337,14 @@ class Database:
     def add_paths(self, *paths: str, strategy: str = "line") -> Change:
         return self.add(read_files(self.spark, *paths), strategy)
 
+    def reindex_paths(self, *paths: str, strategy: str = "line") -> Change:
+        """Index files in folders again, new ones included; those whose content has the hash that is known are neither
+        cut nor written."""
+        now = read_files(self.spark, *paths)
+        known = self.files.select("path", "content_hash")
+        changed = now.join(known, ["path", "content_hash"], "left_anti")
+        return self._add(changed, strategy, self.files.join(changed.select("path"), "path", "left_semi").select("file_id"))
+
     def _ids_of(self, paths: Iterable[str] | DataFrame) -> DataFrame:
         asked = paths if isinstance(paths, DataFrame) else self.spark.createDataFrame([(p,) for p in paths], "path string")
         missing = asked.join(self.files.select("path"), "path", "left_anti").first()
@@ -412,7 +421,7 @@ class Database:
         self._commit(segments, renewed=self.manifest["renewed"] or bool(changed))
         orphans = before_change.join(self.occurrences.select("chunk_id"), "chunk_id", "left_anti") if replaced else None
         ids = self.spark.createDataFrame([(found.file_id, path)], "file_id long, path string")
-        return Change(ids, tail.select("file_id", "pos", "chunk_id", "location", "content"), added.select("chunk_id", "content"), orphans)
+        return Change(ids, tail.select("file_id", "pos", "chunk_id", "location", "content"), None, added.select("chunk_id", "content"), orphans)
 
     def _renew(self, found, segment: str, **changes) -> None:
         """A new version of what is known about a file."""
@@ -569,9 +578,32 @@ class Database:
     def get_chunks(self, path: str, location: str, before: int = 0, after: int = 0) -> DataFrame:
         return operators.get_chunks(self.corpus(), path, location, before, after)
 
+    def chunk_cache(self, paths: DataFrame) -> ChunkCache:
+        """Chunks of some files (path), held by the executors for many retrievals."""
+        return ChunkCache(self, paths)
+
     def query_frequencies(self, query: str) -> DataFrame:
         return operators.query_frequencies(self.corpus(), query)
 
     def stats(self) -> DataFrame:
         """(total_chunks, total_tokens) of the chunks that some file has; contents are not read."""
         return self._live_chunks().agg(F.count("*").alias("total_chunks"), F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("long").alias("total_tokens"))
+
+
+class ChunkCache:
+    """Chunks of some files of a database as it was, persisted until close()."""
+
+    def __init__(self, db: Database, paths: DataFrame):
+        of = db.corpus()
+        self._corpus = Corpus(of.occurrences.join(paths.select("path").distinct(), "path", "left_semi").persist(), of.encoding)
+
+    def get_chunks(self, path: str, location: str, before: int = 0, after: int = 0) -> DataFrame:
+        return operators.get_chunks(self._corpus, path, location, before, after)
+
+    def contents(self, results: DataFrame) -> DataFrame:
+        """Results (path, location, ...) with the content of each."""
+        first = self._corpus.occurrences.groupBy("path", "location").agg(F.min_by("content", "pos").alias("content"))
+        return results.join(first, ["path", "location"])
+
+    def close(self) -> None:
+        self._corpus.occurrences.unpersist()

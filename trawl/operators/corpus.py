@@ -103,6 +103,12 @@ class Corpus:
         one = self.occurrences.select("chunk_id", F.size(tokens(F.col("content"))).alias("n")).groupBy("chunk_id").agg(F.first("n").alias("n"))
         return one.agg(F.count("*").alias("total_chunks"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_tokens"))
 
+    def trigram_bitmaps(self) -> DataFrame:
+        """(bucket, bitmap): the set of trigrams that occur, 32,768 to a bitmap."""
+        t = F.col("trigram").cast("long")
+        found = self.with_postings().postings.select(t.alias("trigram"))
+        return found.groupBy(F.bitmap_bucket_number("trigram").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("trigram")).alias("bitmap"))
+
     def _found(self, trigrams: list[int]) -> DataFrame:
         rows = self.postings.where(F.col("trigram").isin(trigrams))
         rows = rows if self.live is None else rows.join(self.live, "chunk_id", "left_semi")

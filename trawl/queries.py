@@ -182,6 +182,11 @@ def trigram_counts_by_file(spark, sf_dir):
     return bags.groupBy("file_id", "trigram").agg(F.sum("tf").alias("tf")).groupBy("file_id").agg(F.count("*").alias("n_trigrams"), F.sum("tf").alias("n_windows"))
 
 
+@query(f"{BASE} SELECT bucket, count(*) AS n FROM (SELECT DISTINCT t, 1 + (CAST('0x' || t AS BIGINT) - 1) // 32768 AS bucket FROM windows, unnest(w) AS u(t) WHERE t <> '000000') GROUP BY bucket")
+def trigram_bitmaps(spark, sf_dir):
+    return corpus(spark, sf_dir).trigram_bitmaps().select("bucket", F.bitmap_count("bitmap").alias("n"))
+
+
 @query(f"WITH {LINES} SELECT file_id, token, count(*) AS cnt FROM (SELECT file_id, unnest({TOKENS}) AS token FROM lines) GROUP BY file_id, token")
 def token_bag(spark, sf_dir):
     return corpus(spark, sf_dir).file_tokens()
@@ -537,6 +542,14 @@ def db_record_counts(spark, sf_dir):
     return database(spark, sf_dir).record_counts()
 
 
+@query(f"WITH {LINES}, {WINDOWS} SELECT path, location, content FROM (SELECT any_value(path) AS path, min_by(location, pos) AS location, any_value(content) AS content FROM windows WHERE {_condition(_AND)} GROUP BY chunk_id, file_id)")
+def db_contents_of_results(spark, sf_dir):
+    """Results with their contents, through the cache of the files they are in."""
+    db = database(spark, sf_dir)
+    found = db.search(_AND)
+    return db.chunk_cache(found.select("path")).contents(found).select("path", "location", "content")
+
+
 # ---- changes: files of even doc_id are removed, reindexed or appended to; the others stay
 
 
