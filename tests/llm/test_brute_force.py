@@ -604,6 +604,25 @@ def test_matching_statistics(templates, tokens):
         assert automaton.ends[state] == {(t, e) for t, x in enumerate(templates) for e in range(n, len(x) + 1) if x[e - n : e] == run}
 
 
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 20), st.integers(1, 6)), max_size=8), st.integers(0, 6))
+@settings(max_examples=200, deadline=None)
+def test_chains(fragments, max_gap):
+    def follows(a, b):
+        return a[0] + a[2] <= b[0] <= a[0] + a[2] + max_gap and a[1] + a[2] <= b[1] <= a[1] + a[2] + max_gap
+
+    def chains_from(path):
+        yield path
+        for f in set(fragments):
+            if follows(path[-1], f):
+                yield from chains_from([*path, f])
+
+    every = [c for f in set(fragments) for c in chains_from([f])]
+    found = licences.chains(fragments, max_gap)
+    assert max((c for _, _, c, _ in found), default=0) == max((sum(f[2] for f in c) for c in every), default=0)
+    possible = {(c[0][0], c[-1][0] + c[-1][2], sum(f[2] for f in c), len(c)) for c in every}
+    assert set(found) <= possible and sum(n for *_, n in found) == len(set(fragments))
+
+
 def test_licence_spans(spark):
     header = licences.TEMPLATES["gpl-header"]
     words = header.split()

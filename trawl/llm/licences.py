@@ -100,10 +100,13 @@ def chains(fragments: list[tuple[int, int, int]], max_gap: int) -> list[tuple[in
     Each fragment ends the best chain up to it; chains are then taken by tokens covered, each fragment once."""
     fragments = sorted(set(fragments))
     best: list[tuple[int, int]] = []
+    reach = max((n for _, _, n in fragments), default=0) + max_gap
     for j, (s, t, n) in enumerate(fragments):
         top = (n, -1)
         for i in range(j - 1, -1, -1):
             ps, pt, pn = fragments[i]
+            if ps + reach < s:  # so do all before
+                break
             if ps + pn <= s <= ps + pn + max_gap and pt + pn <= t <= pt + pn + max_gap:
                 top = max(top, (best[i][0] + n, i))
         best.append(top)
