@@ -49,7 +49,7 @@ THETA = 1.0
 D = 0.5
 ENUMERATED = 16
 #: Of text, for a shard of words; words that a task gathers before it sends them.
-SHARD_BYTES, SENT_WORDS = 1 << 23, 1_200_000
+SHARD_BYTES, SENT_WORDS = 1 << 22, 1_200_000
 SPACE = 32
 
 
@@ -611,7 +611,8 @@ def score(docs: DataFrame, burn_in: int = 6, samples: int = 4, rounds: int = 2,
         c = {k: np.concatenate(x) for k, x in parts.items()}
         del parts
         rng = np.random.Generator(np.random.PCG64([seed, shard]))
-        model, dish = seated(c["v"], c["u"], c["w"], c["p"], c["n"])
+        model, dish = seated(c.pop("v"), c.pop("u"), c.pop("w"), c.pop("p"), c["n"])
+        release()
         for _ in range(burn_in):
             model.sweep(rng)
         mean = np.zeros(len(model.c[0]))
