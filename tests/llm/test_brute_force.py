@@ -380,6 +380,40 @@ def test_kneser_ney_probabilities():
     assert abs(sum(plain.p(("w1", "w2", v)) for v in {x for t in texts for x in t.split()} | {"unknown"}) - 1) < 1e-9
 
 
+def test_quality_classifier_counts_all_trusted_text(spark, monkeypatch):
+    for name, value in (("SHARD_BYTES", 9000), ("COUNTED_WORDS", 3000), ("SCORED_BYTES", 5000), ("CUT_BYTES", 2000)):
+        monkeypatch.setattr(kneser_ney, name, value)
+    rng = random.Random(7)
+    text = lambda prefix: " ".join(f"{prefix}{int(rng.paretovariate(0.7)) % 900}" for _ in range(rng.randrange(1, 12)))
+    rows = [(i, text("w"), "en") for i in range(4500)] + [(i, text("r"), "xx") for i in range(4500, 4530)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    trusted = {i for i, _, _ in rows if i < 4300 or 4500 <= i < 4506}
+    labels = spark.createDataFrame([(i, int(i in trusted), 0) for i, _, _ in rows], "doc_id long, quality int, toxic int")
+    hashes = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "xxhash64(doc_id) AS h").collect()}
+    texts = {i: t for i, t, _ in rows}
+    in_turn = [sorted((i for i in trusted if (i < 4500) == en), key=lambda i: (hashes[i], i)) for en in (True, False)]
+    en, both = (([x[::2] for x in langs], [x[1::2] for x in langs]) for langs in (in_turn[:1], in_turn))
+
+    def model(parts):
+        trains, calibrates = (sum(x, []) for x in parts)
+        plain = PlainKneserNey([texts[i] for i in trains], 3)
+
+        def nll(i):
+            s = ["<s>"] * 2 + texts[i].split()
+            return -sum(math.log(plain.p(tuple(s[j - 2 : j + 1]))) for j in range(2, len(s))), len(s) - 2
+
+        own = [nll(i) for i in calibrates]
+        mean = sum(x for x, _ in own) / sum(n for _, n in own)
+        ppl = lambda x, n: math.exp((x + 20 * mean) / (n + 20))
+        return lambda i: ppl(*nll(i)), np.quantile([ppl(*x) for x in own], 0.995, method="higher")
+
+    (of_en, limit), (of_both, _) = model(en), model(both)
+    for r in kneser_ney.score(docs, labels, shards=3).collect():
+        assert r.perplexity == pytest.approx((of_en if r.doc_id < 4500 else of_both)(r.doc_id), rel=1e-5)
+        assert r.threshold == (pytest.approx(limit, rel=1e-5) if r.doc_id < 4500 else None)
+        assert r.keep == (r.threshold is None or r.perplexity <= r.threshold)
+
+
 def test_quality_classifier_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     scored = queries.op3_quality_classifier(spark, sf).select("doc_id", "keep")

@@ -1,14 +1,19 @@
 """Quality classifier: interpolated modified Kneser-Ney n-gram model of trusted text.
 
-Fitting is bounded by ``max_docs``: for each language, and once for all together ("*"), up to ``max_docs`` trusted
-documents (labelled quality 1 and not toxic, the least by a hash of doc_id) train a model and as many others
-calibrate it.  The threshold of a language is a high quantile of the calibration documents' perplexity.  A language
-with fewer than ``min_docs`` trusted documents to train on gets its perplexity from the model of all together, but
-no threshold: other languages' documents say nothing of what is usual in it.  One task fits one language; the model's tables, keyed by n-gram hash, go to
-the shared folder as range shards.
+A language's trusted documents (labelled quality 1 and not toxic), in order of a hash of doc_id, in turn train its model
+and calibrate it: all of them, none is left out.  The threshold of a language is a high quantile of the calibration documents'
+perplexity.  A language with fewer than ``min_docs`` trusted documents to train on gets its perplexity from the model
+of all languages together, but no threshold: other languages' documents say nothing of what is usual in it.  That
+model is fitted only if there is such a language.
 
-Scoring covers every document.  A task sorts the n-gram keys of a batch and merge-joins them with the shards,
-one shard after the other; since the model is bounded, it travels to the documents and no text is shuffled.
+1. Each task counts the n-grams of its training text and sends them to shards by the hash of their last two words.  A
+   shard holds all n-grams of at least two words that end so: it writes their counts, and continuation counts of the shorter ones.
+2. What it knows of contexts and of single words goes to shards by their own hash, which add it up and write it.
+   Counts of counts come back to the driver, which computes the discounts.
+
+The files hold counts; probabilities are computed from what is looked up.  Scoring covers every document.  A task
+sorts the n-gram keys of a piece of text and merge-joins them with the shards, one after the other: the model, a part of
+the corpus, travels to the documents and no text is shuffled.
 
 The classifier's perplexity draws short texts towards the language's mean: exp((nll + k m) / (n + k)) for n
 words, k = ``prior_words`` and m the calibration mean a word; of two words one is often rare, which says little.
@@ -22,60 +27,91 @@ is null and every document that has words is kept; an empty table gives no rows;
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from trawl.llm._store import load_arrays, new_path, save_arrays
-from trawl.llm._text import Words, encoded_chunks, mix, powers
+from trawl.llm._store import broadcast_if_small, discard, files_of, load_columns, new_path, save_columns, written
+from trawl.llm._text import Words, encoded_chunks, mix, powers, release
 
-POOLED = "*"
-#: Of text that is looked up at once: a worker also holds the models.
-SCORED_BYTES = 1 << 19
+#: Of text that is looked up at once, and cut into words at once.
+SCORED_BYTES, CUT_BYTES = 1 << 22, 1 << 19
+#: Of training text, for a shard; words that a task counts before it sends them.
+SHARD_BYTES, COUNTED_WORDS = 1 << 22, 1_000_000
 _START = np.uint64(0xA5A5A5A5DEADBEEF)
 _BASE = powers(0xC2B2AE3D27D4EB4F, 8)
+#: nll is summed in this unit, so that no order of summing matters.
+_UNIT = 2.0**20
 
 
-def _keys(hashes: np.ndarray, bounds: np.ndarray, order: int) -> list[np.ndarray]:
-    """For m = 1..order, keys of the m words that end at each position; before a text stand start marks."""
+def _columns(hashes: np.ndarray, bounds: np.ndarray, order: int) -> list[np.ndarray]:
+    """The word at each position, the one before it, ...; before a text stand start marks."""
     n = len(hashes)
     back = np.arange(n) - np.repeat(bounds[:-1], np.diff(bounds))
-    total, out = np.zeros(n, np.uint64), []
-    for m in range(order):
+    out = [hashes]
+    for m in range(1, order):
         shifted = np.full(n, _START)
         if m < n:
             ok = back[m:] >= m
             shifted[m:][ok] = hashes[: n - m][ok]
-        total = total + shifted * _BASE[m]
-        out.append(mix(total + np.uint64(m + 1)))
+        out.append(shifted)
     return out
 
 
-def _context_keys(keys: list[np.ndarray], bounds: np.ndarray) -> list[np.ndarray]:
-    """For m = 1..order-1, the key of the m words before each position."""
-    out = []
-    for m, k in enumerate(keys[:-1], 1):
-        start = mix((np.full(m, _START) * _BASE[:m]).sum(keepdims=True) + np.uint64(m))
-        c = np.concatenate([start, k[:-1]])
-        c[bounds[:-1][np.diff(bounds) > 0]] = start
-        out.append(c)
-    return out
+def _key(columns: list[np.ndarray]) -> np.ndarray:
+    """Key of the words whose last one is in the first column."""
+    total = np.zeros(len(columns[0]), np.uint64)
+    for c, b in zip(columns, _BASE):
+        total += c * b
+    return mix(total + np.uint64(len(columns)))
 
 
-def _unique(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct values in order, where each first occurs, how often."""
+def _unique(a: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, where each first occurs, how often (with ``n``: where one counts as so many)."""
     at = np.argsort(a, kind="stable")
     s = a[at]
     first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    if n is not None and len(s):
+        return s[first], at[first], np.add.reduceat(n[at], first)
     return s[first], at[first], np.diff(np.concatenate([first, [len(s)]]))
 
 
+def _summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Distinct keys in order, and of each value the sum for each."""
+    at = np.argsort(keys, kind="stable")
+    s = keys[at]
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    return [s[first], *(np.add.reduceat(v[at].astype(np.int64), first) if len(s) else v.astype(np.int64) for v in values)]
+
+
+def _small(a: np.ndarray) -> np.ndarray:
+    return a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+
+
+def save_table(uri: str, key: np.ndarray, **values: np.ndarray) -> None:
+    """Different values are few: they are stored once, and their number for each key."""
+    code = np.zeros(len(key), np.int64)
+    for v in values.values():
+        distinct, at = np.unique(v, return_inverse=True)
+        code = np.unique(code * max(1, len(distinct)) + at, return_inverse=True)[1]
+    first = np.unique(code, return_index=True)[1]
+    save_columns(f"{uri}.values", **{k: v[first] for k, v in values.items()})
+    save_columns(uri, key=key, code=_small(code))
+
+
+def counts_of_counts(counts: np.ndarray) -> list[int]:
+    return [int((counts == i).sum()) for i in (1, 2, 3, 4)]
+
+
 def discounts(counts: np.ndarray) -> np.ndarray:
     """D for counts 0, 1, 2 and 3 or more, from the counts of counts."""
-    n = [0.0] + [float((counts == i).sum()) for i in (1, 2, 3, 4)]
+    return discounts_of(counts_of_counts(counts))
+
+
+def discounts_of(counted: list[int]) -> np.ndarray:
+    n = [0.0, *map(float, counted)]
     if not n[1]:
         return np.array([0.0, 0.5, 1.0, 1.5])
     y = n[1] / (n[1] + 2 * n[2])
@@ -83,104 +119,263 @@ def discounts(counts: np.ndarray) -> np.ndarray:
     return np.array([min(max(x, 0.05 * i), 0.95 * i) for i, x in enumerate(d)])
 
 
+def edges_of(shards: int) -> np.ndarray:
+    """Where ranges of keys begin, but for the first."""
+    return np.array([-(-(i << 32) // shards) << 32 for i in range(1, shards)], np.uint64)
+
+
+def count_grams(columns: list[np.ndarray], n: np.ndarray) -> tuple[dict[int, tuple[np.ndarray, ...]], dict[int, list[np.ndarray]]]:
+    """Of words that occur n times: by order (key, count, where it occurs), where all but the highest order have
+    continuation counts; and by order, for the contexts of its n-grams, (key, total, n-grams of count 1, of 2, of more)."""
+    order, grams, contexts = len(columns), {}, {}
+    key, at, count = _unique(_key(columns), n)
+    for m in range(order, 0, -1):
+        grams[m] = key, count, at
+        if m > 1:
+            contexts[m] = _summed(_key([c[at] for c in columns[1:m]]), count, count == 1, count == 2, count > 2)
+            key, first, count = _unique(_key([c[at] for c in columns[: m - 1]]))
+            at = at[first]
+    return grams, contexts
+
+
 def train(hashes: np.ndarray, bounds: np.ndarray, order: int) -> dict[str, np.ndarray]:
-    """Tables of the model: sorted ``key``, ``logp`` (interpolated, NaN where the n-gram is only a context) and
-    ``logb`` (log of the weight that a context leaves to the order below); ``unknown``: log p of a new word."""
-    keys = _keys(hashes, bounds, order)
-    contexts = [np.zeros(len(hashes), np.uint64), *_context_keys(keys, bounds)]
-    grams = []
-    for m in range(order):
-        gram, at, count = _unique(keys[m])
-        grams.append((gram, at, count))
-    parts = []
-    below_p: np.ndarray | None = None
-    for m in range(order):
-        gram, at, count = grams[m]
-        if m < order - 1:  # continuation counts: in how many distinct longer n-grams it is the end
-            longer_at = grams[m + 1][1]
-            count = np.bincount(np.searchsorted(gram, keys[m][longer_at]), minlength=len(gram))
-        d = discounts(count)[np.minimum(count, 3)]
-        context, _, _ = _unique(contexts[m][at])
-        which = np.searchsorted(context, contexts[m][at])
-        total = np.bincount(which, count, len(context))
-        left = np.bincount(which, d, len(context)) / total
-        lower = 1.0 / (len(gram) + 1) if m == 0 else below_p[np.searchsorted(grams[m - 1][0], keys[m - 1][at])]
-        p = (count - d) / total[which] + left[which] * lower
-        below_p = p
-        parts.append((gram, np.log(p), None))
-        if m == 0:
-            unknown = np.log(left[0] / (len(gram) + 1)) if len(left) else 0.0
-        else:
-            parts.append((context, None, np.log(left)))
-    key = _unique(np.concatenate([g for g, _, _ in parts]))[0]
-    logp, logb = np.full(len(key), np.nan, np.float32), np.zeros(len(key), np.float32)
-    for g, p, b in parts:
-        (logp if b is None else logb)[np.searchsorted(key, g)] = p if b is None else b
-    return {"key": key, "logp": logp, "logb": logb, "unknown": np.array([unknown])}
+    """The model in one piece: tables as the shards', with the key by which each row has its shard."""
+    columns = _columns(hashes, bounds, order)
+    grams, contexts = count_grams(columns, np.ones(len(hashes), np.int64))
+    d, total, unknown = weights({m: (*counts_of_counts(c), len(c), int(c.sum())) for m, (_, c, _) in grams.items()}, order)
+    key, n, at = joined_grams(grams)
+    return {
+        "grams": {"key": key, "n": n, "home": _key([c[at] for c in columns[:2]])},
+        "words": {"key": grams[1][0], "n": grams[1][1], "home": grams[1][0]},
+        "contexts": dict(zip(("key", "total", "n1", "n2", "n3"), joined_contexts(list(contexts.values())))),
+        "discounts": d, "total": total, "unknown": np.array([unknown]),
+    }
+
+
+def joined_grams(grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Those of at least two words, in order of their keys."""
+    parts = [np.concatenate([np.zeros(0, kind), *(grams[m][i] for m in grams if m > 1)]) for i, kind in enumerate((np.uint64, np.int64, np.int64))]
+    at = np.argsort(parts[0])
+    return [x[at] for x in parts]
+
+
+def joined_contexts(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Contexts of all orders: keys of different numbers of words differ."""
+    return _summed(*(np.concatenate([np.zeros(0, np.uint64 if not i else np.int64), *(p[i] for p in parts)]) for i in range(5)))
+
+
+def weights(counted: dict[int, tuple[int, ...]], order: int) -> tuple[np.ndarray, float, float]:
+    """From (counts of counts, size, total) of each order: discounts by order, total of single words, log p of a new word."""
+    d = np.array([discounts_of(counted[m][:4]) for m in range(1, order + 1)])
+    n1, n2, _, _, size, total = counted[1]
+    left = d[0][1] * n1 + d[0][2] * n2 + d[0][3] * (size - n1 - n2)
+    return d, float(max(total, 1)), float(np.log(left / total / (size + 1))) if total else 0.0
 
 
 class Shards:
-    """A model as range shards of its keys, held up to ``held_bytes`` and loaded again beyond that."""
-
-    def __init__(self, uri: str | None, tables: list[dict[str, np.ndarray]] | None, edges: np.ndarray, unknown: float, held_bytes: int = 1 << 28):
-        self.uri, self.edges, self.unknown, self.room = uri, edges, unknown, held_bytes
-        self.held = dict(enumerate(tables)) if tables else {}
-
-    def _table(self, i: int) -> dict[str, np.ndarray]:
-        if i in self.held:
-            return self.held[i]
-        table = load_arrays(f"{self.uri}/{i}.npz")
-        size = sum(a.nbytes for a in table.values())
-        if size <= self.room:
-            self.room -= size
-            self.held[i] = table
-        return table
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """logp and logb of the keys; NaN and 0 where the model has none."""
-        at = np.argsort(keys)
-        s = keys[at]
-        logp, logb = np.full(len(keys), np.nan, np.float32), np.zeros(len(keys), np.float32)
-        cut = np.searchsorted(s, self.edges)
-        for i, (a, b) in enumerate(zip([0, *cut], [*cut, len(s)])):
-            if a < b:
-                t = self._table(i)
-                j = np.minimum(np.searchsorted(t["key"], s[a:b]), len(t["key"]) - 1)
-                hit = t["key"][j] == s[a:b] if len(t["key"]) else np.zeros(b - a, bool)
-                logp[at[a:b][hit]] = t["logp"][j[hit]]
-                logb[at[a:b][hit]] = t["logb"][j[hit]]
-        return logp, logb
+    """A model as range shards of keys: ``grams`` by their last two words, ``words`` and ``contexts``."""
+
+    def __init__(self, uri: str | None, tables: list[dict] | None, edges: np.ndarray, unknown: float, discounts: np.ndarray | None = None, total: float = 1.0, files: frozenset[str] = frozenset()):
+        self.uri, self.edges, self.unknown, self.files = uri, edges, unknown, files
+        self.d, self.total = (tables[0]["discounts"], tables[0]["total"]) if tables else (discounts, total)
+        self.held = {(kind, i): t[kind] for i, t in enumerate(tables or []) for kind in ("grams", "words", "contexts")}
+
+    def _table(self, kind: str, i: int) -> dict[str, np.ndarray] | None:
+        """None of a range without keys, which has no file."""
+        if (kind, i) not in self.held and f"{kind}-{i}" in self.files:
+            self.held[kind, i] = load_columns(f"{self.uri}/{kind}-{i}") | load_columns(f"{self.uri}/{kind}-{i}.values")
+        return self.held.get((kind, i))
+
+    def find(self, kind: str, at: np.ndarray, home: np.ndarray, keys: list[np.ndarray], values: tuple[str, ...]) -> list[list[np.ndarray]]:
+        """For each of several keys at each position, what the table has; 0 where it has none.  ``at``: order of ``home``,
+        by which a position has its shard."""
+        out = [[np.zeros(len(home), np.float32) for _ in values] for _ in keys]
+        cut = np.searchsorted(home[at], self.edges)
+        for i, (a, b) in enumerate(zip([0, *cut], [*cut, len(at)])):
+            if a < b and (t := self._table(kind, i)) is not None and len(t["key"]):
+                for key, own in zip(keys, out):
+                    q = key[at[a:b]]
+                    j = np.minimum(np.searchsorted(t["key"], q), len(t["key"]) - 1)
+                    hit = np.flatnonzero(t["key"][j] == q)
+                    which = t["code"][j[hit]] if "code" in t else j[hit]
+                    for v, x in zip(values, own):
+                        x[at[a:b][hit]] = t[v][which]
+        return out
 
     def nll(self, hashes: np.ndarray, bounds: np.ndarray, order: int) -> np.ndarray:
         """Negative log-likelihood of each text."""
         if not len(hashes):
             return np.zeros(len(bounds) - 1)
-        keys = _keys(hashes, bounds, order)
-        contexts = _context_keys(keys, bounds)
-        n = len(hashes)
-        found = self.find(np.concatenate([*keys, *contexts]))
-        logp = found[0][: order * n].reshape(order, n)
-        logb = found[1][order * n :].reshape(order - 1, n)
-        score = np.where(np.isnan(logp[0]), self.unknown, logp[0]).astype(np.float64)
+        columns = _columns(hashes, bounds, order)
+        keys = [_key(columns[: m + 1]) for m in range(order)]
+        del columns
+        sorted_by = [np.argsort(k) for k in keys[:2]]
+        count = self.find("words", sorted_by[0], keys[0], keys[:1], ("n",)) + (self.find("grams", sorted_by[1], keys[1], keys[1:], ("n",)) if order > 1 else [])
+        gain = lambda m, c: c - self.d[m][np.minimum(c, 3).astype(np.int8)]
+        p = gain(0, count[0][0]) / self.total + np.exp(self.unknown)
+        first = bounds[:-1][np.diff(bounds) > 0]
         for m in range(1, order):
-            score = np.where(np.isnan(logp[m]), score + logb[m - 1], logp[m])
-        total = np.concatenate([[0.0], np.cumsum(-score)])
-        return total[bounds[1:]] - total[bounds[:-1]]
+            by = sorted_by[m - 1] if m <= 2 else np.argsort(keys[m - 1])
+            own = self.find("contexts", by, keys[m - 1], [keys[m - 1]], ("total", "n1", "n2", "n3"))[0]
+            mark = _key([np.full(1, _START)] * m)
+            start = self.find("contexts", np.zeros(1, np.int64), mark, [mark], ("total", "n1", "n2", "n3"))[0]
+            own = [np.concatenate([s, x[:-1]]) for s, x in zip(start, own)]  # of the words before each position
+            for s, x in zip(start, own):
+                x[first] = s
+            total = np.maximum(own[0], 1)
+            left = own[1] * self.d[m][1] + own[2] * self.d[m][2] + own[3] * self.d[m][3]
+            p = np.where(own[0] > 0, (gain(m, count[m][0]) + left * p) / total, p)
+        out = np.zeros(len(bounds) - 1)
+        out[np.diff(bounds) > 0] = np.add.reduceat(-np.log(p), first)
+        return out
 
 
 def split(model: dict[str, np.ndarray], shards: int) -> tuple[list[dict[str, np.ndarray]], np.ndarray]:
-    cut = [len(model["key"]) * i // shards for i in range(1, shards)]
-    edges = model["key"][cut] if len(model["key"]) else np.zeros(0, np.uint64)
-    ends = [0, *cut, len(model["key"])] if len(edges) else [0, 0]
-    return [{k: model[k][a:b] for k in ("key", "logp", "logb")} for a, b in zip(ends, ends[1:])], edges
+    edges = edges_of(shards)
+    tables = [{"discounts": model["discounts"], "total": model["total"]} for _ in range(shards)]
+    for kind in ("grams", "words", "contexts"):
+        t = model[kind]
+        which = np.searchsorted(edges, t.get("home", t["key"]), side="right")
+        at = np.argsort(t["key"])
+        for i, own in enumerate(tables):
+            own[kind] = {k: v[at[which[at] == i]] for k, v in t.items()}
+    return tables, edges
 
 
 def perplexity(nll, n, mean: float, prior_words: float):
     return np.exp(np.minimum((nll + prior_words * mean) / (n + prior_words), 700.0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, order: int, max_docs: int, min_docs: int, quantile: float, prior_words: float, shards: int) -> list[Row]:
-    """Fit each language; rows (lang, uri, edges, unknown, mean, threshold), as many as there are languages."""
+def hashes_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and bounds of the words of texts, cut a piece at a time."""
+    end = np.cumsum([len(t) for t in texts])
+    hashes, sizes, a = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(end, (end[a - 1] if a else 0) + CUT_BYTES, side="right")))
+        words = Words(texts[a:b])
+        hashes.append(words.hashes)
+        sizes.append(np.diff(words.bounds))
+        a = b
+    return np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
+def _blob(a: np.ndarray, ascending: bool = False) -> bytes:
+    """Byte plane by byte plane, compressed; of ascending numbers the differences."""
+    a = np.diff(a, prepend=a.dtype.type(0)) if ascending else a
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unblob(block: pa.Scalar, kind, ascending: bool = False) -> np.ndarray:
+    packed = block.as_py()
+    planes = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd")
+    a = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+    return np.cumsum(a, dtype=kind) if ascending else a
+
+
+def _unblobbed(column: pa.ChunkedArray, kind, ascending: bool = False) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(_unblob(b, kind, ascending) for b in column)])
+
+
+def count_trusted(texts: DataFrame, order: int, shards: list[int], uri: str) -> dict[int, dict[int, tuple[int, ...]]]:
+    """Write the shards of the models of ``texts`` (model, text); of each model and order, counts of counts, size and total."""
+    base = np.concatenate([[0], np.cumsum(shards)])
+    edges = [edges_of(s) for s in shards]
+    sent_as = ("words", "places", "n")
+
+    def count(batches):
+        held: list[list[np.ndarray]] = []
+
+        def flush():
+            nonlocal held
+            model, *columns = (np.concatenate([h[i] for h in held]) for i in range(1 + order))
+            held = []
+            home, full = _key(columns[:2]), _key(columns)
+            at = np.lexsort((full, home, model))
+            model, home, full = model[at], home[at], full[at]
+            first = np.flatnonzero(np.concatenate([[True], (full[1:] != full[:-1]) | (model[1:] != model[:-1])]))
+            n = np.diff(np.concatenate([first, [len(full)]])).astype(np.uint32)
+            model, home, columns = model[first], home[first], [c[at][first] for c in columns]
+            shard = np.zeros(len(first), np.int64)
+            for g in np.unique(model):
+                shard[model == g] = base[g] + np.searchsorted(edges[g], home[model == g], side="right")
+            cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+            ends = [*cut[1:], len(shard)]
+            # different words are few: they are sent once, and their numbers at each place
+            blobs = []
+            for a, b in zip(cut, ends):
+                distinct, at = np.unique(np.concatenate([c[a:b] for c in columns]), return_inverse=True)
+                blobs.append((_blob(distinct, True), _blob(at.astype(np.uint32)), _blob(n[a:b])))
+            return pa.RecordBatch.from_arrays([pa.array(shard[cut], pa.int32()), *(pa.array(x, pa.binary()) for x in zip(*blobs))], ["shard", *sent_as])
+
+        for batch in batches:
+            for a, b, part in encoded_chunks(batch.column(1), CUT_BYTES):
+                cutted = Words(part)
+                if len(cutted.hashes):
+                    of = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)
+                    held.append([np.repeat(of, np.diff(cutted.bounds)), *_columns(cutted.hashes, cutted.bounds, order)])
+                if sum(len(h[0]) for h in held) >= COUNTED_WORDS:
+                    yield flush()
+        if held:
+            yield flush()
+        release()
+
+    sums = ("n1", "n2", "n3", "n4", "size", "total")
+
+    def told(model: int, counted: dict[int, np.ndarray]) -> list[dict]:
+        """Rows of what the driver sums up."""
+        return [{"shard": -1 - model, "m": m} | dict(zip(sums, (*counts_of_counts(c), len(c), int(c.sum())))) for m, c in counted.items()]
+
+    part_schema = pa.schema([("shard", pa.int32()), ("m", pa.int32()), *((k, pa.binary()) for k in ("key", "a", "b", "c", "d")), *((k, pa.int64()) for k in sums)])
+
+    def grams_of(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        g = int(np.searchsorted(base, shard, side="right")) - 1
+        at = [_unblob(w, np.uint64, True)[_unblob(p, np.uint32)].reshape(order, -1) for w, p in zip(table.column("words"), table.column("places"))]
+        grams, contexts = count_grams(list(np.concatenate(at, axis=1)), _unblobbed(table.column("n"), np.uint32).astype(np.int64))
+        key, n, _ = joined_grams(grams)
+        save_table(f"{uri}/{g}/grams-{shard - base[g]}", key, n=n)
+        rows = told(g, {m: grams[m][1] for m in range(2, order + 1)})
+        for m, columns in ((1, grams[1][:2]), (2, joined_contexts(list(contexts.values())))):
+            cut = [0, *np.searchsorted(columns[0], edges[g]), len(columns[0])]
+            for i, (a, b) in enumerate(zip(cut, cut[1:])):
+                if a < b:
+                    blobs = [_blob(columns[0][a:b], True), *(_blob(x[a:b].astype(np.uint64)) for x in columns[1:])]
+                    rows.append({"shard": int(base[g]) + i, "m": m} | dict(zip(("key", "a", "b", "c", "d"), blobs)))
+        del grams, contexts, key, n
+        release()
+        return pa.Table.from_pylist(rows, part_schema)
+
+    def contexts_of(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        if shard < 0:
+            return table.select(["shard", "m", *sums])
+        g = int(np.searchsorted(base, shard, side="right")) - 1
+        m = table.column("m").to_numpy()
+        own, others = table.filter(pa.array(m == 1)), table.filter(pa.array(m == 2))
+        key, n = _summed(*(_unblobbed(own.column(k), np.uint64, k == "key") for k in ("key", "a")))
+        save_table(f"{uri}/{g}/words-{shard - base[g]}", key, n=n)
+        parts = _summed(*(_unblobbed(others.column(k), np.uint64, k == "key") for k in ("key", "a", "b", "c", "d")))
+        save_table(f"{uri}/{g}/contexts-{shard - base[g]}", parts[0], **dict(zip(("total", "n1", "n2", "n3"), parts[1:])))
+        release()
+        return pa.Table.from_pylist(told(g, {1: n}), part_schema).select(["shard", "m", *sums])
+
+    blobs = ", ".join(f"{k} binary" for k in sent_as)
+    long = ", ".join(f"{k} long" for k in sums)
+    sent = texts.select("model", "text").mapInArrow(count, f"shard int, {blobs}")
+    parts = sent.groupBy("shard").applyInArrow(grams_of, f"shard int, m int, key binary, a binary, b binary, c binary, d binary, {long}")
+    # written, for the shuffle files to go at once
+    rows = written(parts.groupBy("shard").applyInArrow(contexts_of, f"shard int, m int, {long}"), "counts")
+    found: dict[int, dict[int, tuple[int, ...]]] = {g: {m: (0,) * 6 for m in range(1, order + 1)} for g in range(len(shards))}
+    for r in rows.groupBy("shard", "m").agg(*(F.sum(k).alias(k) for k in sums)).collect():
+        found[-1 - r.shard][r.m] = tuple(r[k] for k in sums)
+    discard(texts.sparkSession, rows)
+    return found
+
+
+def fit(docs: DataFrame, labels: DataFrame, order: int, min_docs: int, quantile: float, prior_words: float, shards: int) -> tuple[dict[str, dict], dict | None]:
+    """The model of each language that has one, and that of all together if a language has none."""
+    spark = docs.sparkSession
     trusted = (
         labels.where("doc_id is not null").groupBy("doc_id")
         .agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
@@ -189,74 +384,93 @@ def fit(docs: DataFrame, labels: DataFrame, order: int, max_docs: int, min_docs:
     base = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
     known = base.select("doc_id", "lang").join(trusted, "doc_id", "left_semi").distinct()
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = known.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= 2 * max_docs)
-    # at most 2 max_docs rows a language, and as many for all together: small whatever the corpus holds
-    pooled = ranked.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(2 * max_docs).select("doc_id", "lang", F.lit(True).alias("pooled"))
-    ranked = ranked.join(pooled, ["doc_id", "lang"], "left")
-    sample = base.join(F.broadcast(ranked), ["doc_id", "lang"])
-    both = sample.withColumn("group", F.explode(F.when(F.col("pooled"), F.array("lang", F.lit(POOLED))).otherwise(F.array("lang"))))
-    root = new_path(docs.sparkSession, "kneser-ney")
-
-    def fit_one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank", "doc_id", "text"])
-        texts = [("" if t is None else t).lower().encode() for t in pdf["text"]]
-        known_words = Words(texts)
-        size, odd = np.diff(known_words.bounds), pdf["rank"].to_numpy() % 2 == 1
-        # ranks alternate: of an odd number, one less calibrates
-        if (size[odd] > 0).sum() < min_docs or (size[~odd] > 0).sum() < max(1, min_docs - 1):
-            return pd.DataFrame(columns=["lang", "uri", "edges", "unknown", "mean", "threshold"])
-
-        def part(mask):
-            keep = np.repeat(mask, size)
-            return known_words.hashes[keep], np.concatenate([[0], np.cumsum(size[mask])])
-
-        tables, edges = split(model := train(*part(odd), order), shards)
-        lang = pdf["group"].iloc[0]
-        uri = f"{root}/{lang.encode().hex() or 'none'}"
-        for i, t in enumerate(tables):
-            save_arrays(f"{uri}/{i}.npz", **t)
-        unknown = float(model["unknown"][0])
-        rest = part(~odd & (size > 0))
-        n = np.diff(rest[1])
-        nll = Shards(None, tables, edges, unknown).nll(*rest, order)
-        mean = float(nll.sum() / n.sum())
-        threshold = None if lang == POOLED else float(np.quantile(perplexity(nll, n, mean, prior_words), quantile, method="higher"))
-        return pd.DataFrame([{"lang": lang, "uri": uri, "edges": edges.astype(np.int64).tolist(), "unknown": unknown, "mean": mean, "threshold": threshold}])
-
-    return both.groupBy("group").applyInPandas(fit_one, "lang string, uri string, edges array<long>, unknown double, mean double, threshold double").collect()
-
-
-def score(
-    docs: DataFrame, labels: DataFrame, order: int = 3, max_docs: int = 2000, min_docs: int = 20, quantile: float = 0.995, prior_words: float = 20.0, shards: int = 8
-) -> DataFrame:
+    # ranks alternate: of an odd number, one less calibrates
+    roles = written(known.select("doc_id", "lang", (F.row_number().over(by_hash) % 2 == 1).alias("trains")), "roles")
+    joined = broadcast_if_small(roles)
+    sizes = base.select("doc_id", "lang", F.octet_length("text").alias("size")).where(F.col("text").rlike(r"[^ \t\n\r\x0b\f]")).join(joined, ["doc_id", "lang"], "left")
+    # a row for each language and use
+    counted = {(r.lang, r.trains): (r.n, r.size) for r in sizes.groupBy("lang", "trains").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()}
+    rows = lambda langs, trains: sum(counted.get((x, trains), (0, 0))[0] for x in langs)
+    enough = lambda langs: rows(langs, True) >= max(1, min_docs) and rows(langs, False) >= max(1, min_docs - 1)
+    every = sorted({x for x, _ in counted})
+    groups = [[x] for x in every if enough([x])]
+    pooled = len(groups) if len(groups) < len(every) and enough(every) else None
+    if pooled is not None:
+        groups.append(every)
+    if not groups:
+        discard(spark, roles)
+        return {}, None
+    in_model = {x: [g for g, langs in enumerate(groups) if x in langs] for x in every}
+    models_of = F.create_map(*(y for x, gs in in_model.items() for y in (F.lit(x), F.array(*map(F.lit, gs)).cast("array<int>"))))
+    used = base.where(F.col("lang").isin([x for x, gs in in_model.items() if gs])).join(joined, ["doc_id", "lang"])
+    used = used.select("trains", F.explode(models_of[F.col("lang")]).alias("model"), "text")
+    uri = new_path(spark, "kneser-ney")
+    parts = [max(shards, -(-sum(counted.get((x, True), (0, 0))[1] for x in langs) // SHARD_BYTES)) for langs in groups]
+    models = []
+    for g, told in count_trusted(used.where("trains"), order, parts, uri).items():
+        d, total, unknown = weights(told, order)
+        models.append({"uri": f"{uri}/{g}", "files": files_of(f"{uri}/{g}"), "shards": parts[g], "unknown": unknown, "discounts": d, "total": total})
+
+    def calibrate(batches):
+        held: dict[int, Shards] = {}
+        for batch in batches:
+            for a, b, part in encoded_chunks(batch.column(1), SCORED_BYTES):
+                of = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)
+                for g in np.unique(of).tolist():
+                    hashes, bounds = hashes_of([part[i] for i in np.flatnonzero(of == g)])
+                    n = np.diff(bounds)
+                    nll = opened(held, g, models[g]).nll(hashes, bounds, order)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), g, np.int32)), pa.array(nll), pa.array(n)], ["model", "nll", "n"])
+
+    told = written(used.where("not trains").select("model", "text").mapInArrow(calibrate, "model int, nll double, n long").where("n > 0"), "calibration", roles)
+    for r in told.groupBy("model").agg(F.sum(F.round(F.col("nll") * _UNIT).cast("long")).alias("nll"), F.sum("n").alias("n")).collect():
+        models[r.model] |= {"mean": r.nll / _UNIT / r.n, "threshold": None}
+    mean = F.element_at(F.array(*(F.lit(m["mean"]) for m in models)), F.col("model") + 1)
+    drawn = told.select("model", ((F.col("nll") + F.lit(prior_words) * mean) / (F.col("n") + F.lit(prior_words))).alias("x"))
+    # the quantile of all, the higher of two: a task sorts the numbers of a language
+    whole, ascending = Window.partitionBy("model"), Window.partitionBy("model").orderBy("x")
+    place = F.ceil(F.lit(quantile) * (F.count("*").over(whole) - 1)) + 1
+    for r in drawn.select("model", "x", (F.row_number().over(ascending) == place).alias("here")).where("here").collect():
+        if r.model != pooled:
+            models[r.model]["threshold"] = float(np.exp(min(r.x, 700.0)))
+    discard(spark, told)
+    return {langs[0]: m for g, (langs, m) in enumerate(zip(groups, models)) if g != pooled}, None if pooled is None else models[pooled]
+
+
+def opened(held: dict, key, model: dict) -> Shards:
+    if key not in held:
+        held[key] = Shards(model["uri"], None, edges_of(model["shards"]), model["unknown"], model["discounts"], model["total"], model["files"])
+    return held[key]
+
+
+def score(docs: DataFrame, labels: DataFrame, order: int = 3, min_docs: int = 20, quantile: float = 0.995, prior_words: float = 20.0, shards: int = 8) -> DataFrame:
     """``docs`` with n_words, perplexity, threshold and keep appended (a column of ``docs`` with one of these names
     is replaced)."""
-    models = {r.lang: r for r in fit(docs, labels, order, max_docs, min_docs, quantile, prior_words, shards)}
+    models, pooled = fit(docs, labels, order, min_docs, quantile, prior_words, shards)
     added = ["n_words", "perplexity", "threshold", "keep"]
     docs = docs.drop(*added)
     names = docs.columns
     text_at, lang_at = names.index("text"), names.index("lang")
 
     def run(batches):
-        held: dict[str, Shards] = {}
+        held: dict[str | None, Shards] = {}
         for batch in batches:
             langs = [x or "" for x in batch.column(lang_at).to_pylist()]
             for a, b, part in encoded_chunks(batch.column(text_at), SCORED_BYTES):
                 n, ppl, limit = np.zeros(b - a, np.int64), np.full(b - a, np.nan), np.full(b - a, np.nan)
-                which = np.array([x if x in models else POOLED for x in langs[a:b]])
-                for lang in set(which.tolist()):
-                    rows = np.flatnonzero(which == lang)
-                    words = Words([part[i] for i in rows])
-                    n[rows] = np.diff(words.bounds)
-                    m = models.get(lang)
+                of: dict[str | None, list[int]] = {}
+                for i, x in enumerate(langs[a:b]):
+                    of.setdefault(x if x in models else None, []).append(i)
+                for lang, rows in of.items():
+                    hashes, bounds = hashes_of([part[i] for i in rows])
+                    n[rows] = np.diff(bounds)
+                    m = models.get(lang, pooled)
                     if m is None:
                         continue
-                    if m.threshold is not None:
-                        limit[rows] = m.threshold
-                    if lang not in held:
-                        held[lang] = Shards(m.uri, None, np.array(m.edges, np.int64).astype(np.uint64), m.unknown)
-                    nll = held[lang].nll(words.hashes, words.bounds, order)
-                    ppl[rows] = np.where(n[rows] > 0, perplexity(nll, n[rows], m.mean, prior_words), np.nan)
+                    if m["threshold"] is not None:
+                        limit[rows] = m["threshold"]
+                    nll = opened(held, lang, m).nll(hashes, bounds, order)
+                    ppl[rows] = np.where(n[rows] > 0, perplexity(nll, n[rows], m["mean"], prior_words), np.nan)
                 keep = (n > 0) & ~(ppl > limit)
                 yield pa.RecordBatch.from_arrays(
                     [c.slice(a, b - a) for c in batch.columns]
