@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from trawl.llm import _components, bpe, caps, chat, jaccard, kneser_ney, licences, packing, pitman_yor, queries, repeats, topk
-from trawl.llm._text import Words, window_hashes
+from trawl.llm._text import Words, mix, window_hashes
 
 WORDS = [f"w{i}" for i in range(60)]
 
@@ -309,6 +309,22 @@ def test_spelling_model(spark, sf):
     assert -(log_p * n).sum() / total < 0.8 * plain
 
 
+def test_frequent_words_are_dealt_out_evenly():
+    rng = np.random.default_rng(3)
+    share = 1 / np.arange(1, 20_001)
+    share /= share.sum()
+    for shards in (8, 128):
+        v, u = mix(rng.choice(20_000, 400_000, p=share).astype(np.uint64)), rng.integers(0, 1 << 16, 400_000)
+        distinct, n = np.unique(v, return_counts=True)
+        often = {int(h): int(c) for h, c in zip(distinct, n) if c * 16 * shards > len(v)}
+        shard = pitman_yor.shard_of(v, u, often, len(v), shards)
+        assert np.bincount(shard, minlength=shards).max() < 1.4 * len(v) / shards
+        for h in often:
+            pieces = -(-2 * often[h] * shards // len(v))
+            own = shard[v == np.uint64(h)]
+            assert len(np.unique(own)) == min(pieces, shards) and all(len(np.unique(shard[(v == np.uint64(h)) & (u == x)])) == 1 for x in u[v == np.uint64(h)][:3])  # by u
+
+
 def test_strings_of_words():
     words = Words([b"abcd", b"", b"xy \n z"])
     strings, first = pitman_yor.strings_of(words, np.array([0, 1, 2]))

@@ -10,8 +10,8 @@ the number of byte strings that words have.
    context; a shard samples its restaurants, and rounds of sweeps alternate with reseating the root, whose 256
    dishes' customers are the shards' tables.
 2. Words.  Each task sends (v, u, w, document, count) of its words, with the probability of the spelling of w, to
-   the shard of v.  A v that is behind more words than half a shard has several restaurants, by the word before it, so
-   that no shard holds much more than others.  A shard holds its restaurants of both levels, samples their
+   the shard of v.  A v that is behind more words than half a shard has several restaurants, by the word before it, and
+   frequent v are dealt out to the shards with least, so that no shard holds much more than others.  A shard holds its restaurants of both levels, samples their
    seating, and tells each document the sum of the log probabilities of its words.  Sums come back by block of documents.
 
 Seating is sampled by Gibbs sweeps.  Given the c customers of a dish, the number t of their tables has, with discount
@@ -34,6 +34,7 @@ get equal results; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import math
 from dataclasses import dataclass
 
@@ -326,7 +327,7 @@ def root_probability(rng: np.random.Generator, customers: np.ndarray, sweeps: in
 
 def count_strings(docs: DataFrame, shards: int) -> DataFrame:
     """(shard, strings, counts): blocks of uint32 strings and int64 counts; with shard -1, hashes and counts of words
-    that are more than a quarter of what a shard of words holds."""
+    that are more than a sixteenth of what a shard of words holds."""
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -337,7 +338,7 @@ def count_strings(docs: DataFrame, shards: int) -> DataFrame:
                 if not len(words.hashes):
                     continue
                 distinct, at, n = np.unique(words.hashes, return_index=True, return_counts=True)
-                for i in np.flatnonzero(n * 4.0 * shards > len(words.hashes)).tolist():
+                for i in np.flatnonzero(n * 16.0 * shards > len(words.hashes)).tolist():
                     often[int(distinct[i])] = often.get(int(distinct[i]), 0) + int(n[i])
                 strings, first = strings_of(words, at)
                 held.append(counted(strings, np.repeat(n, np.diff(np.concatenate([first, [len(strings)]])))))
@@ -376,7 +377,7 @@ def fit(docs: DataFrame, shards_of_words: int, burn_in: int = 8, samples: int =
     spark = docs.sparkSession
     strings = written(count_strings(docs, shards_of_words).groupBy("shard").applyInArrow(gather, "shard int, strings binary, counts binary"), "strings")
     often: dict[int, int] = {}
-    for r in strings.where("shard < 0").collect():  # at most 4 for each shard of words and task
+    for r in strings.where("shard < 0").collect():  # at most 16 for each shard of words and piece of text
         often = dict(zip(np.frombuffer(r.strings, np.uint64).tolist(), np.frombuffer(r.counts, np.int64).tolist()))
     path = new_path(spark, "pitman-yor")
     root = np.full(256, 1 / 256)
@@ -472,19 +473,37 @@ SENT = {"v": np.uint64, "u": np.uint16, "w": np.uint32, "p": np.float16, "doc":
 V_BITS = 40
 
 
-def shard_of(v: np.ndarray, u: np.ndarray, often: dict[int, int], words: int, shards: int) -> np.ndarray:
+def placed(often: dict[int, int], words: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Frequent v in order, where each one's pieces begin, and the pieces' shards: the largest first, each to the shard that
+    has least of them, those of one v to different shards as far as there are so many."""
+    pieces = {h: max(1, -(-2 * n * shards // max(1, words))) for h, n in often.items()}
+    least = [(0.0, s) for s in range(shards)]
+    where: dict[int, list[int]] = {}
+    for h in sorted(often, key=lambda h: (-often[h] / pieces[h], h)):
+        taken = [heapq.heappop(least) for _ in range(min(pieces[h], shards))]
+        where[h] = [taken[i % len(taken)][1] for i in range(pieces[h])]
+        for i, (load, s) in enumerate(taken):
+            heapq.heappush(least, (load + often[h] / pieces[h] * len(range(i, pieces[h], len(taken))), s))
+    v = sorted(often)
+    return np.array(v, np.uint64), np.cumsum([0, *(pieces[h] for h in v)]), np.array([s for h in v for s in where[h]], np.int64)
+
+
+def shard_of(v: np.ndarray, u: np.ndarray, often: dict[int, int], words: int, shards: int, places: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Shard of each word; frequent v are spread over several, by u."""
-    out = v.copy()
-    for h, n in often.items():
-        pieces = -(-2 * n * shards // max(1, words))
-        if pieces > 1:
-            at = np.flatnonzero(v == np.uint64(h))
-            out[at] += mix(u[at].astype(np.uint64)) % np.uint64(pieces) + np.uint64(1)
-    return (mix(out) % np.uint64(shards)).astype(np.int64)
+    frequent, first, where = places or placed(often, words, shards)
+    out = (mix(v) % np.uint64(shards)).astype(np.int64)
+    if len(frequent):
+        j = np.minimum(np.searchsorted(frequent, v), len(frequent) - 1)
+        at = np.flatnonzero(frequent[j] == v)
+        j = j[at]
+        piece = mix(u[at].astype(np.uint64)) % (first[j + 1] - first[j]).astype(np.uint64)
+        out[at] = where[first[j] + piece.astype(np.int64)]
+    return out
 
 
 def send_words(docs: DataFrame, path: str, byte_shards: list[int], root: np.ndarray, often: dict[int, int], shards: int, n_words: int) -> DataFrame:
     """Blocks (shard, block, columns of SENT), and with shard -1 the block's documents (doc_id, number of words)."""
+    places = placed(often, n_words, shards)
 
     def run(batches):
         from pyspark import TaskContext
@@ -495,9 +514,11 @@ def send_words(docs: DataFrame, path: str, byte_shards: list[int], root: np.ndar
         sizes: list[np.ndarray] = []
 
         def flush():
-            nonlocal block
+            """The block of what is held; its arrays are gone before it is sent."""
+            nonlocal block, held, ids, sizes
             v, u, w, p, doc = (np.concatenate([h[i] for h in held]) for i in range(5))
-            shard = shard_of(v, u, often, n_words, shards)
+            held = []
+            shard = shard_of(v, u, often, n_words, shards, places)
             v >>= np.uint64(64 - V_BITS)
             # by shard, v, u, word and document
             at = np.argsort(v << np.uint64(16) | u)
@@ -523,12 +544,13 @@ def send_words(docs: DataFrame, path: str, byte_shards: list[int], root: np.ndar
                     x = [x[cut[s] : cut[s + 1]] for s in full]
                 blobs.append(pa.array([None, *map(_planes, x)], pa.binary()))
             total = np.concatenate(sizes)
-            yield pa.RecordBatch.from_arrays(
+            sent = pa.RecordBatch.from_arrays(
                 [pa.array([-1, *full], pa.int32()), pa.array([block] * (1 + len(full)), pa.int64()), *blobs,
                  pa.array([pa.concat_arrays(ids).to_pylist(), *[None] * len(full)], pa.list_(pa.int64())), pa.array([total.tolist(), *[None] * len(full)], pa.list_(pa.int64()))],
                 ["shard", "block", *columns, "doc_ids", "n_words"],
             )
-            block += 1
+            block, ids, sizes = block + 1, [], []
+            return sent
 
         for batch in batches:
             for a, b, texts in encoded_chunks(batch.column(1)):
@@ -547,12 +569,13 @@ def send_words(docs: DataFrame, path: str, byte_shards: list[int], root: np.ndar
                     u[2:] = np.where(place[2:] > 1, (h[:-2] >> np.uint64(48)).astype(np.uint16), 0)
                     held.append([v, u, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), p, (before + words.text_of_word()).astype(np.uint32)])
                 if sum(len(x[0]) for x in held) >= SENT_WORDS:
-                    yield from flush()
-                    held, ids, sizes = [], [], []
+                    yield flush()
+                    release()
         if ids:
             if not held:
                 held.append([np.zeros(0, k) for k in (np.uint64, np.uint16, np.uint32, np.float16, np.uint32)])
-            yield from flush()
+            yield flush()
+            release()
 
     columns = ", ".join(f"{k} binary" for k in SENT)
     return docs.mapInArrow(run, f"shard int, block long, {columns}, doc_ids array<long>, n_words array<long>")
