@@ -3,13 +3,14 @@
 import math
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from trawl.llm import _components, bpe, caps, chat, jaccard, kneser_ney, licences, packing, pitman_yor, queries, repeats, topk
+from trawl.llm import _components, _store, bpe, caps, chat, jaccard, kneser_ney, licences, packing, pitman_yor, queries, repeats, topk
 from trawl.llm._text import Words, mix, window_hashes
 
 WORDS = [f"w{i}" for i in range(60)]
@@ -430,6 +431,44 @@ def test_quality_classifier_counts_all_trusted_text(spark, monkeypatch):
         assert r.keep == (r.threshold is None or r.perplexity <= r.threshold)
 
 
+def most_shuffled(spark, run):
+    """What run() returns, and the bytes that the stage with most of them wrote for others meanwhile."""
+    context = spark.sparkContext._jsc.sc()
+
+    def stages():
+        context.listenerBus().waitUntilEmpty()
+        found = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    before = stages()
+    result = run()
+    return result, max(n for i, n in stages().items() if i not in before)
+
+
+def test_quality_classifier_sends_its_counts_in_rounds(spark, monkeypatch):
+    rng = random.Random(8)
+    text = lambda prefix: " ".join(f"{prefix}{int(rng.paretovariate(0.5)) % 90_000}" for _ in range(100))
+    rows = [(i, text("w"), "en") for i in range(1200)] + [(i, text("r"), "xx") for i in range(1200, 1230)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 1100 or i > 1220), 0) for i, _, _ in rows], "doc_id long, quality int, toxic int")
+    folder = Path(_store.shared_dir(spark).removeprefix("file://"))
+    stored = lambda: {x.name for x in folder.iterdir() if not x.name.startswith("kneser-ney")}
+    there = stored()
+
+    def scored():
+        return sorted(tuple(r) for r in kneser_ney.score(docs, labels).collect())
+
+    whole, sent_whole = most_shuffled(spark, scored)
+    monkeypatch.setattr(kneser_ney, "ROUND_BYTES", 50_000, raising=False)
+    in_rounds, sent = most_shuffled(spark, scored)
+    assert in_rounds == whole and len(whole) == len(rows)
+    assert sent < 0.4 * sent_whole
+    # the same if trusted documents are too many for a broadcast
+    monkeypatch.setattr(kneser_ney, "broadcast_if_small", lambda table: table)
+    assert scored() == whole
+    assert stored() == there
+
+
 def test_quality_classifier_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     scored = queries.op3_quality_classifier(spark, sf).select("doc_id", "keep")

@@ -8,8 +8,9 @@ model is fitted only if there is such a language.
 
 1. Each task counts the n-grams of its training text and sends them to shards by the hash of their last two words.  A
    shard holds all n-grams of at least two words that end so: it writes their counts, and continuation counts of the shorter ones.
-2. What it knows of contexts and of single words goes to shards by their own hash, which add it up and write it.
-   Counts of counts come back to the driver, which computes the discounts.
+   That takes several rounds over the text, each for some of the shards: only what is sent in one is on disk at once.
+2. What it knows of contexts and of single words goes to shards by their own hash, which add it up and write it, in
+   rounds too.  Counts of counts come back to the driver, which computes the discounts.
 
 The files hold counts; probabilities are computed from what is looked up.  Scoring covers every document.  A task
 sorts the n-gram keys of a piece of text and merge-joins them with the shards, one after the other: the model, a part of
@@ -26,6 +27,8 @@ is null and every document that has words is kept; an empty table gives no rows;
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +43,8 @@ from trawl.llm._text import Words, encoded_chunks, mix, powers, release
 SCORED_BYTES, CUT_BYTES = 1 << 22, 1 << 19
 #: Of training text, for a shard; words that a task counts before it sends them.
 SHARD_BYTES, COUNTED_WORDS = 1 << 22, 1_000_000
+#: Rounds at most in which n-grams are sent; of training text, for a round.
+ROUNDS, ROUND_BYTES = 4, 1 << 25
 _START = np.uint64(0xA5A5A5A5DEADBEEF)
 _BASE = powers(0xC2B2AE3D27D4EB4F, 8)
 #: nll is summed in this unit, so that no order of summing matters.
@@ -277,48 +282,54 @@ def _unblobbed(column: pa.ChunkedArray, kind, ascending: bool = False) -> np.nda
     return np.concatenate([np.zeros(0, kind), *(_unblob(b, kind, ascending) for b in column)])
 
 
-def count_trusted(texts: DataFrame, order: int, shards: list[int], uri: str) -> dict[int, dict[int, tuple[int, ...]]]:
-    """Write the shards of the models of ``texts`` (model, text); of each model and order, counts of counts, size and total."""
+def count_trusted(texts: DataFrame, order: int, shards: list[int], uri: str, rounds: int = 1, *used: DataFrame) -> dict[int, dict[int, tuple[int, ...]]]:
+    """Write the shards of the models of ``texts`` (model, text); of each model and order, counts of counts, size and total.
+    ``texts`` is read once a round; ``used``: tables of written() that nothing reads after that."""
     base = np.concatenate([[0], np.cumsum(shards)])
     edges = [edges_of(s) for s in shards]
     sent_as = ("words", "places", "n")
 
-    def count(batches):
-        held: list[list[np.ndarray]] = []
-
-        def flush():
-            nonlocal held
-            model, *columns = (np.concatenate([h[i] for h in held]) for i in range(1 + order))
-            held = []
-            home, full = _key(columns[:2]), _key(columns)
-            at = np.lexsort((full, home, model))
-            model, home, full = model[at], home[at], full[at]
-            first = np.flatnonzero(np.concatenate([[True], (full[1:] != full[:-1]) | (model[1:] != model[:-1])]))
-            n = np.diff(np.concatenate([first, [len(full)]])).astype(np.uint32)
-            model, home, columns = model[first], home[first], [c[at][first] for c in columns]
-            shard = np.zeros(len(first), np.int64)
-            for g in np.unique(model):
-                shard[model == g] = base[g] + np.searchsorted(edges[g], home[model == g], side="right")
-            cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-            ends = [*cut[1:], len(shard)]
-            # different words are few: they are sent once, and their numbers at each place
-            blobs = []
-            for a, b in zip(cut, ends):
-                distinct, at = np.unique(np.concatenate([c[a:b] for c in columns]), return_inverse=True)
-                blobs.append((_blob(distinct, True), _blob(at.astype(np.uint32)), _blob(n[a:b])))
-            return pa.RecordBatch.from_arrays([pa.array(shard[cut], pa.int32()), *(pa.array(x, pa.binary()) for x in zip(*blobs))], ["shard", *sent_as])
-
-        for batch in batches:
-            for a, b, part in encoded_chunks(batch.column(1), CUT_BYTES):
-                cutted = Words(part)
-                if len(cutted.hashes):
-                    of = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)
-                    held.append([np.repeat(of, np.diff(cutted.bounds)), *_columns(cutted.hashes, cutted.bounds, order)])
-                if sum(len(h[0]) for h in held) >= COUNTED_WORDS:
-                    yield flush()
-        if held:
-            yield flush()
-        release()
+    def counted_in(turn: int):
+        def count(batches):
+            held: list[list[np.ndarray]] = []
+
+            def flush():
+                nonlocal held
+                shard, *columns = (np.concatenate([h[i] for h in held]) for i in range(1 + order))
+                held = []
+                full = _key(columns)
+                at = np.lexsort((full, shard))
+                shard, full = shard[at], full[at]
+                first = np.flatnonzero(np.concatenate([[True], (full[1:] != full[:-1]) | (shard[1:] != shard[:-1])]))
+                n = np.diff(np.concatenate([first, [len(full)]])).astype(np.uint32)
+                shard, columns = shard[first], [c[at][first] for c in columns]
+                cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+                ends = [*cut[1:], len(shard)]
+                # different words are few: they are sent once, and their numbers at each place
+                blobs = []
+                for a, b in zip(cut, ends):
+                    distinct, at = np.unique(np.concatenate([c[a:b] for c in columns]), return_inverse=True)
+                    blobs.append((_blob(distinct, True), _blob(at.astype(np.uint32)), _blob(n[a:b])))
+                return pa.RecordBatch.from_arrays([pa.array(shard[cut], pa.int32()), *(pa.array(x, pa.binary()) for x in zip(*blobs))], ["shard", *sent_as])
+
+            for batch in batches:
+                for a, b, part in encoded_chunks(batch.column(1), CUT_BYTES):
+                    cutted = Words(part)
+                    of = np.repeat(batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False), np.diff(cutted.bounds))
+                    columns = _columns(cutted.hashes, cutted.bounds, order)
+                    home, shard = _key(columns[:2]), np.zeros(len(of), np.int64)
+                    for g in np.unique(of):
+                        shard[of == g] = base[g] + np.searchsorted(edges[g], home[of == g], side="right")
+                    now = np.flatnonzero(shard % rounds == turn)
+                    if len(now):
+                        held.append([x[now] for x in (shard, *columns)])
+                    if sum(len(h[0]) for h in held) >= COUNTED_WORDS:
+                        yield flush()
+            if held:
+                yield flush()
+            release()
+
+        return count
 
     sums = ("n1", "n2", "n3", "n4", "size", "total")
 
@@ -348,8 +359,6 @@ def count_trusted(texts: DataFrame, order: int, shards: list[int], uri: str) ->
 
     def contexts_of(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        if shard < 0:
-            return table.select(["shard", "m", *sums])
         g = int(np.searchsorted(base, shard, side="right")) - 1
         m = table.column("m").to_numpy()
         own, others = table.filter(pa.array(m == 1)), table.filter(pa.array(m == 2))
@@ -362,14 +371,22 @@ def count_trusted(texts: DataFrame, order: int, shards: list[int], uri: str) ->
 
     blobs = ", ".join(f"{k} binary" for k in sent_as)
     long = ", ".join(f"{k} long" for k in sums)
-    sent = texts.select("model", "text").mapInArrow(count, f"shard int, {blobs}")
-    parts = sent.groupBy("shard").applyInArrow(grams_of, f"shard int, m int, key binary, a binary, b binary, c binary, d binary, {long}")
-    # written, for the shuffle files to go at once
-    rows = written(parts.groupBy("shard").applyInArrow(contexts_of, f"shard int, m int, {long}"), "counts")
+    told_as = f"shard int, m int, {long}"
+    parts, ends = [], []
+    # each written, for its shuffle files to go at once
+    for turn in range(rounds):
+        sent = texts.select("model", "text").mapInArrow(counted_in(turn), f"shard int, {blobs}")
+        parts.append(written(sent.groupBy("shard").applyInArrow(grams_of, f"shard int, m int, key binary, a binary, b binary, c binary, d binary, {long}"), "parts"))
+    discard(texts.sparkSession, *used)
+    every = reduce(DataFrame.unionAll, parts)
+    for turn in range(rounds):
+        own = every.where(f"shard >= 0 and shard % {rounds} = {turn}")
+        ends.append(written(own.groupBy("shard").applyInArrow(contexts_of, told_as), "counts"))
+    rows = reduce(DataFrame.unionAll, ends, every.where("shard < 0").select("shard", "m", *sums))
     found: dict[int, dict[int, tuple[int, ...]]] = {g: {m: (0,) * 6 for m in range(1, order + 1)} for g in range(len(shards))}
     for r in rows.groupBy("shard", "m").agg(*(F.sum(k).alias(k) for k in sums)).collect():
         found[-1 - r.shard][r.m] = tuple(r[k] for k in sums)
-    discard(texts.sparkSession, rows)
+    discard(texts.sparkSession, *parts, *ends)
     return found
 
 
@@ -405,9 +422,15 @@ def fit(docs: DataFrame, labels: DataFrame, order: int, min_docs: int, quantile:
     used = base.where(F.col("lang").isin([x for x, gs in in_model.items() if gs])).join(joined, ["doc_id", "lang"])
     used = used.select("trains", F.explode(models_of[F.col("lang")]).alias("model"), "text")
     uri = new_path(spark, "kneser-ney")
-    parts = [max(shards, -(-sum(counted.get((x, True), (0, 0))[1] for x in langs) // SHARD_BYTES)) for langs in groups]
+    trained = [sum(counted.get((x, True), (0, 0))[1] for x in langs) for langs in groups]
+    parts = [max(shards, -(-size // SHARD_BYTES)) for size in trained]
+    rounds = min(ROUNDS, max(1, -(-sum(trained) // ROUND_BYTES)))
+    trains, calibrates = (used.where(x).select("model", "text") for x in ("trains", "not trains"))
+    stored = []
+    if joined is roles:  # the join shuffles the texts: not in each round, nor beside the model
+        stored = [trains, calibrates] = [written(trains, "trains"), written(calibrates, "calibrates")]
     models = []
-    for g, told in count_trusted(used.where("trains"), order, parts, uri).items():
+    for g, told in count_trusted(trains, order, parts, uri, rounds, *stored[:1]).items():
         d, total, unknown = weights(told, order)
         models.append({"uri": f"{uri}/{g}", "files": files_of(f"{uri}/{g}"), "shards": parts[g], "unknown": unknown, "discounts": d, "total": total})
 
@@ -422,7 +445,7 @@ def fit(docs: DataFrame, labels: DataFrame, order: int, min_docs: int, quantile:
                     nll = opened(held, g, models[g]).nll(hashes, bounds, order)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), g, np.int32)), pa.array(nll), pa.array(n)], ["model", "nll", "n"])
 
-    told = written(used.where("not trains").select("model", "text").mapInArrow(calibrate, "model int, nll double, n long").where("n > 0"), "calibration", roles)
+    told = written(calibrates.mapInArrow(calibrate, "model int, nll double, n long").where("n > 0"), "calibration", roles, *stored[1:])
     for r in told.groupBy("model").agg(F.sum(F.round(F.col("nll") * _UNIT).cast("long")).alias("nll"), F.sum("n").alias("n")).collect():
         models[r.model] |= {"mean": r.nll / _UNIT / r.n, "threshold": None}
     mean = F.element_at(F.array(*(F.lit(m["mean"]) for m in models)), F.col("model") + 1)
