@@ -10,10 +10,10 @@ Spark's part, with every document as a query:
 1. Token statistics over all documents.  Tokens are sent as sorted, difference-coded blocks of 40 bits to the
    task of their range, which tells those that occur once, and those that occur in more than ``hot`` documents.
 2. Two sets of similarity t share at least k tokens among the first (1 - t) |s| + k of each, in any global
-   order; k is a tenth of the smaller set.  The order puts hot tokens last.  Prefix tokens that occur once cannot
-   meet another document and stay behind (a bitmap of fixed size tells them; as it fills up, more are sent, with
+   order; k is a tenth of the smaller set.  The order puts hot tokens last, the most frequent at the very end, so that
+   prefixes avoid tokens that very many documents have.  Prefix tokens that occur once cannot meet another document and stay behind (a bitmap of fixed size tells them; as it fills up, more are sent, with
    the same result).  Where a token meets several documents, its row of the matrix is counted for each (query,
-   group), and pairs that stay below k, or whose sizes rule out similarity t, are given up.
+   group) of about the same size, and pairs that stay below k, or whose sizes rule out similarity t, are given up.
 3. Groups are opened in cells: up to MEMBERS of a group's members with up to QUERIES of its queries, so however
    large a group is, a task holds one cell at a time.  In a cell the bound comes first, then overlaps with the members as
    products of 0/1 matrices.  A cell tells of each text how many documents it is linked to, and a spanning forest
@@ -49,6 +49,8 @@ LONGER = 10  #: prefixes are longer than it takes to share one token by this par
 GROUP_TOKENS = 1  #: least tokens that members of a group share
 MEMBERS, QUERIES = 512, 2048  #: of a group, in one cell
 KNOWN_TOKENS = 5_000_000
+STEP = 1.5  #: sizes in a group differ by this factor at most
+HASH_BITS = 26  #: of a group's number; the bits above them are its class of sizes
 
 
 def sets_of(words: Words, n: int) -> list[np.ndarray]:
@@ -148,56 +150,65 @@ def token_statistics(docs: DataFrame, n: int, hot: int, parts: int) -> str:
         "token-statistics",
     )
     path = new_path(spark, "token-filter") + "/filter.npz"
-    hot_rows = found.select(F.explode(F.arrays_zip("hot", "df")).alias("h")).select("h.hot", "h.df")
+    hot_rows = found.select(F.explode(F.arrays_zip("hot", "df")).alias("h")).select("h.hot", F.col("h.df").cast("int").alias("df"))
     # raise the limit rather than let the list that every task holds grow without bound
     while hot_rows.where(F.col("df") > hot).count() > HOT_LIMIT:
         hot *= 2
-    kept_hot = hot_rows.where(F.col("df") > hot).select("hot")
+    kept_hot = hot_rows.where(F.col("df") > hot)
 
     def save(pieces):
         bitmap = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
-        tokens = []
+        tokens, counts = [], []
         for batch in pieces:
-            for repeated, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for repeated, some, df in zip(*(c.to_pylist() for c in batch.columns)):
                 if repeated is not None:
                     slot = unpack_sorted(repeated)
                     np.bitwise_or.at(bitmap, (slot >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (slot & np.uint64(7)).astype(np.uint8)))
                 if some is not None:
                     tokens.append(some)
-        save_arrays(path, bitmap=bitmap, hot=np.sort(np.array(tokens, np.uint64)))
+                    counts.append(df)
+        at = np.argsort(np.array(tokens, np.uint64))
+        save_arrays(path, bitmap=bitmap, hot=np.array(tokens, np.uint64)[at], df=np.array(counts, np.int32)[at])
         yield pa.RecordBatch.from_arrays([pa.array([len(tokens)], pa.int64())], ["n"])
 
     # one task folds the parts into a file of fixed size
-    both = found.select("repeated", F.lit(None).cast("long").alias("hot")).unionByName(kept_hot.select(F.lit(None).cast("binary").alias("repeated"), "hot"))
+    both = found.select("repeated", F.lit(None).cast("long").alias("hot"), F.lit(None).cast("int").alias("df")).unionByName(kept_hot.select(F.lit(None).cast("binary").alias("repeated"), "hot", "df"))
     both.coalesce(1).mapInArrow(save, "n long").collect()
     return path
 
 
 class _Order:
-    """Prefixes in the global order: tokens that are not hot first, each part by hash."""
+    """Prefixes in the global order: tokens that are not hot by hash, then the hot ones by frequency and hash."""
 
     def __init__(self, path: str, t: float):
         loaded = load_arrays(path)
-        self.bitmap, self.hot, self.t = loaded["bitmap"], loaded["hot"], t
+        self.bitmap, self.hot, self.df, self.t = loaded["bitmap"], loaded["hot"], loaded["df"], t
 
     def prefix(self, tokens: np.ndarray) -> tuple[np.ndarray, int]:
         """Prefix of a set, shortened, and the number of its group."""
         s = _shorten(tokens)
         if len(self.hot):
-            is_hot = self.hot[np.minimum(np.searchsorted(self.hot, s), len(self.hot) - 1)] == s
-            s = np.concatenate([s[~is_hot], s[is_hot]])
+            at = np.minimum(np.searchsorted(self.hot, s), len(self.hot) - 1)
+            is_hot = self.hot[at] == s
+            s = np.concatenate([s[~is_hot], s[is_hot][np.argsort(self.df[at[is_hot]], kind="stable")]])
         s = s[: prefix_length(self.t, len(tokens))]
         least = mix(tokens[:GROUP_TOKENS]).sum(dtype=np.uint64, keepdims=True)
-        group = mix(least + np.uint64(int(math.log(len(tokens), 1.5)))) >> np.uint64(32)
-        return s, int(group[0])
+        size = int(math.log(len(tokens), STEP))
+        return s, size << HASH_BITS | int(mix(least + np.uint64(size))[0] >> np.uint64(64 - HASH_BITS))
 
     def met(self, tokens: np.ndarray) -> np.ndarray:
         slot = mix(tokens) >> np.uint64(64 - BITMAP_BITS)
         return (self.bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _matrix_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, group, shared): the tokens of one range that a query shares with a group's union.  Counts of one
+def classes_apart(t: float) -> int:
+    """By how many classes of sizes two sets of similarity t differ at most."""
+    return math.floor(-math.log(t) / math.log(STEP) + 1e-9) + 1
+
+
+def _matrix_part(batches: Iterator[pa.RecordBatch], apart: int) -> Iterator[pa.RecordBatch]:
+    """(key, group, shared): the tokens of one range that a query shares with a group's union, for groups of up to
+    ``apart`` classes of sizes from the query's.  Counts of one
     (key, group) come in several rows, so that a task holds no more than about COUNTED of them."""
     blocks = [(unpack_sorted(t.as_py()), np.frombuffer(k.as_py(), np.uint64)) for b in batches for t, k in zip(b.column("tokens"), b.column("keys"))]
     tokens, keys = (np.concatenate([b[i] for b in blocks]) for i in (0, 1))
@@ -229,7 +240,10 @@ def _matrix_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.searchsorted(run_of_group, np.arange(stop - step), side="right")  # groups of a run end here
         alone = np.concatenate([first[1:], [True]])  # the last entity of its group: no partner in its own group
         begin = number + alone
-        n = last[run] - begin
+        # and, as groups go by sizes, up to those that are too large for it
+        size_of = lambda g: g >> HASH_BITS
+        reach = np.searchsorted(run_of_group * 4096 + size_of(groups), run * 4096 + size_of(g) + apart, side="right")
+        n = np.maximum(np.minimum(last[run], reach) - begin, 0)
         key, total, lo = keys[which], np.cumsum(n), 0
         while lo < len(n):
             hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + COUNTED, side="right")))
@@ -375,11 +389,16 @@ def join(docs: DataFrame, t: float = 0.4, n: int = 4, hot: int = 16) -> tuple[Da
                 ["part", "tokens", "keys", "sets"],
             )
 
+    apart = classes_apart(t)
+
+    def matrix_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _matrix_part(batches, apart)
+
     sent = written(
         docs.mapInArrow(send, "part int, tokens binary, keys binary, sets array<struct<doc_id:long,text_hash:long,entity:long,key:long,size:long>>"), "prefixes"
     )
     sets = written(sent.where("part = -1").select(F.inline("sets")), "sets")
-    shared = sent.where("part >= 0").select("part", "tokens", "keys").groupBy("part").applyInArrow(_matrix_part, "key long, group long, shared long")
+    shared = sent.where("part >= 0").select("part", "tokens", "keys").groupBy("part").applyInArrow(matrix_part, "key long, group long, shared long")
     one = sets.groupBy("entity", "key").agg(F.min("doc_id").alias("doc_id"), F.countDistinct("doc_id").alias("copies"), F.first("size").alias("size"))
     one = written(one.withColumn("group", F.shiftrightunsigned("key", 32)), "entities")
     ranges = one.groupBy("group").agg(F.min("size").alias("low"), F.max("size").alias("high"))
